@@ -49,11 +49,15 @@ def mean_turnover(n: int, bound: int | None = None) -> Column:
     limit = bound or lookback_days(n)
     # Where the n-th last row is too old, fewer than n rows lie in the date range,
     # so the date frame alone is the window; otherwise the row frame is.
-    by_date = by_security().rangeBetween(-limit, 0)
     full = F.coalesce(F.lag("trade_date", n - 1).over(by_security()) >= F.date_sub("trade_date", limit), F.lit(False))
     rate = F.col("turnover_rate")
-    present = F.when(full, F.count(rate).over(_rows(n))).otherwise(F.count(rate).over(by_date))
-    mean = F.when(full, F.avg(rate).over(_rows(n))).otherwise(F.avg(rate).over(by_date))
+
+    def by_date(aggregate: str) -> Column:
+        return F.expr(f"{aggregate}(turnover_rate) over (partition by security_id order by trade_date"
+                      f" range between interval {limit} days preceding and current row)")
+
+    present = F.when(full, F.count(rate).over(_rows(n))).otherwise(by_date("count"))
+    mean = F.when(full, F.avg(rate).over(_rows(n))).otherwise(by_date("avg"))
     return F.when(rate.isNotNull() & (present >= need), mean)
 
 

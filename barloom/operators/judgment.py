@@ -81,21 +81,20 @@ def relative_strength(bars: DataFrame, members: DataFrame, index_code: str, day:
     the first and on the last day of the members' window.
     """
     days = market_window(bars, day, window + 1)
-    recent = bars.join(F.broadcast(days), "trade_date", "left_semi").select(
-        "security_id", "trade_date", post_close().alias("px")
+    own = bars.join(F.broadcast(days), "trade_date", "left_semi").withColumn("px", post_close()).groupBy("security_id").agg(
+        F.count("*").alias("n"), F.min("trade_date").alias("d0"), F.max("trade_date").alias("d1"),
+        F.min_by("px", "trade_date").alias("c0"), F.max_by("px", "trade_date").alias("c1"),
     )
-    own = recent.groupBy("security_id").agg(
-        F.count("*").alias("n"), F.min_by("px", "trade_date").alias("c0"), F.max_by("px", "trade_date").alias("c1")
-    ).where("n >= 2 and c0 > 0").select("security_id", (F.col("c1") / F.col("c0") - 1).alias("stock_return"))
     inside = asof.valid_on(members.where(F.col("index_code") == index_code), day).select("security_id").distinct()
-    theirs = recent.join(inside, "security_id", "left_semi")
-    first, last = theirs.agg(F.min("trade_date")).scalar(), theirs.agg(F.max("trade_date")).scalar()
-    ends = theirs.groupBy("security_id").agg(
-        F.max(F.when(F.col("trade_date") == first, F.col("px"))).alias("c0"),
-        F.max(F.when(F.col("trade_date") == last, F.col("px"))).alias("c1"),
-    )
-    bench = ends.where(first < last).agg(F.avg(F.try_divide("c1", F.nullif("c0", F.lit(0.0))) - 1)).scalar()
-    return own.withColumn("bench_return", bench).withColumn(
+    change = F.try_divide("c1", F.nullif("c0", F.lit(0.0))) - 1
+    # Grouped by first and last day: at most (window + 1) squared rows are left to choose from.
+    spans = own.join(inside, "security_id", "left_semi").groupBy("d0", "d1").agg(F.avg(change).alias("mean"))
+    first, last = F.min("d0"), F.max("d1")
+    bench = spans.agg(
+        first.alias("first"), last.alias("last"), F.collect_list(F.struct("d0", "d1", "mean")).alias("s")
+    ).select(F.expr("get(filter(s, e -> e.d0 = first and e.d1 = last and first < last), 0).mean").alias("mean")).scalar()
+    usable = own.where("n >= 2 and c0 > 0").select("security_id", (F.col("c1") / F.col("c0") - 1).alias("stock_return"))
+    return usable.withColumn("bench_return", bench).withColumn(
         "relative_strength", F.col("stock_return") - F.col("bench_return")
     )
 

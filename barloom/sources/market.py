@@ -128,7 +128,8 @@ class Market:
         return self.raw_bars.select(
             "security_id", "trade_date",
             (F.col("close") * (1000 + F.col("security_id")) / 10.0).alias("total_mv"),
-            F.when(~odd, F.col("volume") / 1000.0).alias("turnover_rate"),
+            # A power of two keeps the sums exact, so equal means tie in every engine.
+            F.when(~odd, F.col("volume") / 1024.0).alias("turnover_rate"),
         )
 
     @cached_property

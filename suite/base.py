@@ -3,8 +3,10 @@
 A query returns a DataFrame; `cols` names its output columns and their
 presentation, applied alike to the DataFrame and to the checking SQL:
 d = date as ISO text, i = whole number, s = text, b = boolean as 0/1,
-f = double as computed, fN = double rounded to N digits (sums and means differ in the
-last bits with the order of addition), l = text list joined by commas.
+f = double as computed, fN = double rounded to N digits, l = text list joined by
+commas. Sums and means differ in the last bits with the order of addition, hence
+the rounding; a small nudge keeps values off exact halves, where the two engines'
+round functions disagree.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+NUDGE = "3.14159e-{}"
+
+
+def _nudge(digits: int) -> str:
+    return NUDGE.format(digits + 3)
 
 
 def _spark_out(c: str, t: str) -> Column:
@@ -52,7 +59,7 @@ def _spark_out(c: str, t: str) -> Column:
         return F.array_join(col, ",")
     if t.startswith("f"):
         x = col.cast("double")
-        return F.round(x, int(t[1:])) if t[1:] else x
+        return F.round(x + F.lit(float(_nudge(int(t[1:])))), int(t[1:])) if t[1:] else x
     return col.cast("string")
 
 
@@ -64,7 +71,8 @@ def _sql_out(c: str, t: str) -> str:
     if t == "b":
         return f"cast(cast({c} as integer) as bigint)"
     if t.startswith("f"):
-        return f"round(cast({c} as double), {int(t[1:])})" if t[1:] else f"cast({c} as double)"
+        n = t[1:]
+        return f"round(cast({c} as double) + cast({_nudge(int(n))} as double), {n})" if n else f"cast({c} as double)"
     return f"cast({c} as varchar)"
 
 

@@ -39,7 +39,7 @@ VIEWS: dict[str, tuple[str, str]] = {
                                          when board = 'bse' then 0.30 else 0.20 end as double) as pct from listing) l using (security_id)"""),
     "basic": ("bars0", """
         select security_id, trade_date, close * (1000 + security_id) / 10.0 as total_mv,
-               case when (security_id + day(trade_date)) % 17 = 0 then null else volume / 1000.0 end as turnover_rate
+               case when (security_id + day(trade_date)) % 17 = 0 then null else volume / 1024.0 end as turnover_rate
         from bars0"""),
     "cal": ("bars0", """
         select cal_date, is_open,
