@@ -10,6 +10,7 @@ from barloom import rules
 from barloom.functions import market as mk, scoring as sc, values as v
 from barloom.operators import asof, ranking
 from barloom.operators.prices import post_close
+from barloom.session import durable
 
 
 def percentiles(factors: DataFrame, by: list[str], *, counted: str | None = None,
@@ -142,7 +143,8 @@ def cards(master: DataFrame, bars: DataFrame, factors: DataFrame, members: DataF
           group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
     """One card per security of the master, as one wide join."""
     names = list(rules.SEED_FACTORS)
-    today = factors.where((F.col("trade_date") == F.lit(day)) & F.col("factor_name").isin(*names))
+    # One day's values, read by several cross-sections below.
+    today = durable(factors.where((F.col("trade_date") == F.lit(day)) & F.col("factor_name").isin(*names)))
     profile = factor_profile(today, industry, level, group_limit=group_limit)
     if universe in ("ALL", "*", "all", ""):
         shares = wide(profile, "pct_market", names, "_pct")

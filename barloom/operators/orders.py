@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom import rules
 from barloom.functions import market as mk, symbols as sy, trading as tr, values as v
@@ -73,6 +73,14 @@ def difference(current: DataFrame, target: DataFrame, by: list[str] | None = Non
     )
 
 
+def board_rules(spark: SparkSession) -> DataFrame:
+    """The fixed rules as a table, one row per board."""
+    return spark.createDataFrame(
+        [(b, *rules.LOT_RULE[b], rules.PRICE_LIMIT[b], rules.ST_PRICE_LIMIT[b]) for b in rules.BOARDS],
+        "board string, smallest int, step int, pct double, st_pct double",
+    )
+
+
 def screen(orders: DataFrame, quotes: DataFrame, positions: DataFrame, *, cash: float, limits: Limits = Limits(),
            costs: tr.Costs | None = None) -> DataFrame:
     """Verdict per order against quotes and holdings as given: ok, reasons, adjusted_qty.
@@ -96,22 +104,26 @@ def screen(orders: DataFrame, quotes: DataFrame, positions: DataFrame, *, cash:
         .join(quoted, "exchange_code", "left").join(held, "exchange_code", "left")
     )
     known = sy.market_part(F.col("exchange_code")).isin("SH", "SZ", "BJ")
-    rows = rows.withColumn("board", F.when(known, sy.board_of(F.col("exchange_code"))))
-    board = F.col("board")
-    smallest = mk.by_board({b: r[0] for b, r in rules.LOT_RULE.items()}, board)
-    step = mk.by_board({b: r[1] for b, r in rules.LOT_RULE.items()}, board)
+    # The rule columns come from a joined table: as nested CASEs they would be
+    # repeated in every test below and outgrow a generated method.
+    rows = rows.withColumn("board", F.when(known, sy.board_of(F.col("exchange_code")))).join(
+        F.broadcast(board_rules(orders.sparkSession)), "board", "left"
+    )
+    smallest, step = F.col("smallest"), F.col("step")
     odd = (step > 1) & (F.col("quantity") % step != 0)
-    rows = rows.withColumn("qty", F.when(odd, mk.board_lot(F.col("quantity"), board)).otherwise(F.col("quantity")))
+    lot = F.when(F.col("quantity") < smallest, 0).otherwise(smallest + F.floor((F.col("quantity") - smallest) / step) * step)
+    rows = rows.withColumn("qty", F.when(odd, lot).otherwise(F.col("quantity")))
 
     def live(c: str):
         return F.when(F.col(c) != 0, F.col(c))
 
     price = F.coalesce("limit_price", live("q_price"), live("q_ask"), live("q_bid"))
-    pre, st = F.coalesce("q_pre_close", F.lit(0.0)), mk.flag(F.col("q_is_st"))
+    pre = F.coalesce("q_pre_close", F.lit(0.0))
+    pct = F.when(F.col("q_is_st") == 1, F.col("st_pct")).otherwise(F.col("pct"))
     rows = rows.withColumns({
         "px": price,
-        "up": F.coalesce("q_up_limit", F.when(pre > 0, mk.up_limit(pre, board, st))),
-        "down": F.coalesce("q_down_limit", F.when(pre > 0, mk.down_limit(pre, board, st))),
+        "up": F.coalesce("q_up_limit", F.when(pre > 0, F.round(pre * (1 + pct) + 1e-9, 2))),
+        "down": F.coalesce("q_down_limit", F.when(pre > 0, F.round(pre * (1 - pct) + 1e-9, 2))),
         "lot_note": F.when(odd, F.lit("lot_adjusted")),
     }).withColumn("notional", F.col("px") * F.col("qty"))
     quoted_row = F.coalesce("quoted", F.lit(False))
@@ -124,7 +136,7 @@ def screen(orders: DataFrame, quotes: DataFrame, positions: DataFrame, *, cash:
     reason = (
         F.when(~(buy | sell), "bad_side")
         .when(F.col("quantity") <= 0, "bad_quantity")
-        .when(board.isNull(), "unknown_code")
+        .when(F.col("board").isNull(), "unknown_code")
         .when(F.col("quantity") < smallest, "below_min_lot")
         .when(F.col("px").isNull() | (F.col("px") <= 0), "no_price")
         .when(quoted_row & F.lit(limits.reject_suspended) & halted, "suspended")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from barloom import rules
 from barloom.functions import trading as tr, values as v
 from barloom.operators.calendar import take_effect
+from barloom.session import durable
 
 YEAR = rules.TRADING_DAYS_YEAR
 
@@ -65,9 +66,10 @@ def portfolio_series(weights: DataFrame, returns: DataFrame, execution: DataFram
         "security_id", F.col("trade_date").alias("exec_date"),
         tr.buy_block(F.col("open"), F.col("close"), F.col("up_limit"), F.col("suspended")).alias("reason"),
     )
-    holdings = acting.drop("trade_date").join(blocked, ["security_id", "exec_date"]).where("reason is null").select(
+    # Turnover, holding spans and earnings all read the holdings: compute them once.
+    holdings = durable(acting.drop("trade_date").join(blocked, ["security_id", "exec_date"]).where("reason is null").select(
         *by, "exec_date", "security_id", "weight"
-    )
+    ))
     traded = rebalance_turnover(holdings, by).withColumnRenamed("exec_date", "trade_date")
     earned = held_days(holdings, by, last_day).join(returns.select("security_id", "trade_date", "ret"),
                                                     ["security_id", "trade_date"])

@@ -43,11 +43,11 @@ def _ranked(rows: DataFrame, by: list[str], code: str, bounded: bool, prefix: st
 
 
 def target_weights(panel: DataFrame, methods: list[str] | str = "equal", top_n: int | None = None, *,
-                   by: list[str] | None = None, code: str = "exchange_code") -> DataFrame:
+                   by: list[str] | None = None, code: str = "exchange_code", keep: list[str] | None = None) -> DataFrame:
     """Weights summing to 1 per group, all asked methods in one pass.
 
     `by` defaults to the day; add e.g. the factor name to weigh many panels at
-    once. The output is long: by..., code, weight_method, weight.
+    once. The output is long: by..., code, keep..., weight_method, weight.
     """
     methods = [methods] if isinstance(methods, str) else list(methods)
     for m in methods:
@@ -71,8 +71,8 @@ def target_weights(panel: DataFrame, methods: list[str] | str = "equal", top_n:
             kinds = out.groupBy(*by).agg(F.countDistinct("industry").alias("__k"))
             out = ranking.null_safe_join(out, kinds, by)
         weights["industry_neutral"] = F.col("__i_rank") / _triangle(F.col("__i_n")) / F.col("__k")
-    wide = out.select(*by, code, *[weights[m].alias(m) for m in methods])
-    return wide.unpivot(by + [code], methods, "weight_method", "weight")
+    ids = by + [code] + (keep or [])
+    return out.select(*ids, *[weights[m].alias(m) for m in methods]).unpivot(ids, methods, "weight_method", "weight")
 
 
 def normalized(weights: DataFrame, by: list[str], *, tol: float = 1e-6, renormalize: bool = True) -> DataFrame:

@@ -159,9 +159,7 @@ def panel(bars: DataFrame, factors: DataFrame, master: DataFrame, spec: Spec, *,
 
 def weight_series(panel_rows: DataFrame, spec: Spec) -> DataFrame:
     """Target weights per factor, method and day."""
-    w = wt.target_weights(panel_rows, list(spec.methods), spec.top_n, by=["factor_name", "trade_date"], code="exchange_code")
-    codes = panel_rows.select("factor_name", "trade_date", "exchange_code", "security_id")
-    return w.join(codes, ["factor_name", "trade_date", "exchange_code"])
+    return wt.target_weights(panel_rows, list(spec.methods), spec.top_n, by=["factor_name", "trade_date"], keep=["security_id"])
 
 
 def tradability_preview(weights: DataFrame, bars: DataFrame) -> DataFrame:

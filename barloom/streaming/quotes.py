@@ -9,9 +9,11 @@ from barloom.schemas import landed
 
 
 def read_quotes(spark: SparkSession, path: str, *, schema: T.StructType | None = None,
-                files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over landed snapshots (dt= / ts= partitions or plain files)."""
+                files_per_trigger: int | None = None, file_glob: str | None = None) -> DataFrame:
+    """File stream over a folder of landed snapshots (dt= / ts= partitions or plain files)."""
     reader = spark.readStream.schema(schema or landed("realtime_quote"))
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
@@ -116,6 +118,7 @@ def start_to_parquet(df: DataFrame, path: str, checkpoint: str, *, partition_by:
     return writer.trigger(availableNow=True).start()
 
 
-def incremental(spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType) -> StreamingQuery:
+def incremental(spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType, *,
+                file_glob: str | None = None) -> StreamingQuery:
     """Incremental sync of a landed dataset: only files not seen before are appended to the target."""
-    return start_to_parquet(read_quotes(spark, source, schema=schema), target, checkpoint)
+    return start_to_parquet(read_quotes(spark, source, schema=schema, file_glob=file_glob), target, checkpoint)

@@ -13,8 +13,7 @@ from suite.base import query
 
 def _quote_stream(m):
     """The events as a file stream of quotes: code = user, price = value."""
-    path = f"{m.sf_dir}/events.parquet"
-    raw = m.spark.readStream.schema(m.spark.read.parquet(path).schema).parquet(path)
+    raw = qs.read_quotes(m.spark, m.sf_dir, schema=m.table("events").schema, file_glob="events.parquet")
     return raw.select(
         F.col("user_id").cast("string").alias("exchange_code"), F.col("ts").cast("timestamp").alias("snapshot_ts"),
         F.col("value").alias("price"), F.col("event_id"),
@@ -44,10 +43,9 @@ def _(m):
 
 @query("ST3_incremental_landing", "event_type:s n:i", "select event_type, count(*) as n from events group by 1")
 def _(m):
-    root, path = _scratch(m), f"{m.sf_dir}/events.parquet"
-    schema = m.spark.read.parquet(path).schema
+    root, schema = _scratch(m), m.table("events").schema
     for _run in range(2):  # the second run finds nothing new
-        qs.incremental(m.spark, path, f"{root}/landed", f"{root}/checkpoint", schema).awaitTermination()
+        qs.incremental(m.spark, m.sf_dir, f"{root}/landed", f"{root}/checkpoint", schema, file_glob="events.parquet").awaitTermination()
     return m.spark.read.parquet(f"{root}/landed").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
