@@ -46,16 +46,22 @@ TABLES = {
     "dataset_version": "dataset string, version string, row_count bigint, published timestamp, note string",
 }
 
-# table -> (partition source column, partition column, unit), unit None = the column itself
+# table -> (day column, partition column, unit). The unit is a size choice: replacing a
+# day rewrites its partition, so a table with very large days takes the unit "day".
 LAYOUT = {
     "daily_bar": ("trade_date", "month", "month"),
     "daily_basic": ("trade_date", "month", "month"),
     "fin_statement": ("ann_date", "ann_year", "year"),
+    "suspend": ("suspend_date", "month", "month"),
+    "factor_value": ("trade_date", "month", "month"),
 }
+# leading partition columns before the date unit
+LEADING = {"factor_value": ["factor_name", "version"]}
 SORT_KEYS = {
     "daily_bar": ["security_id", "trade_date"],
     "daily_basic": ["security_id", "trade_date"],
     "fin_statement": ["security_id", "ann_date", "report_date"],
+    "factor_value": ["trade_date", "security_id"],
 }
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from barloom.functions import values as v
-from barloom.schemas import LAYOUT, SORT_KEYS, table as table_schema
+from barloom.schemas import LAYOUT, LEADING, SORT_KEYS, table as table_schema
 from barloom.sources.lake import delete_path, path_exists
 
 # artefact kind -> keys (its partition columns)
@@ -23,14 +24,14 @@ def table_path(root: str, name: str) -> str:
 
 
 def read(spark: SparkSession, root: str, name: str, *, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    """A service table; a date range also prunes its month or year partitions."""
+    """A service table; a date range also prunes its partitions."""
     df = spark.read.parquet(table_path(root, name))
     if name in LAYOUT:
         day, part, unit = LAYOUT[name]
         if start is not None:
-            df = df.where((F.col(day) >= F.lit(start)) & (F.col(part) >= F.trunc(F.lit(start), unit)))
+            df = df.where((F.col(day) >= F.lit(start)) & (F.col(part) >= F.lit(_unit_start(start, unit))))
         if end is not None:
-            df = df.where((F.col(day) <= F.lit(end)) & (F.col(part) <= F.trunc(F.lit(end), unit)))
+            df = df.where((F.col(day) <= F.lit(end)) & (F.col(part) <= F.lit(_unit_start(end, unit))))
         df = df.drop(part)
     return v.null_nan(df)
 
@@ -41,23 +42,21 @@ def query(spark: SparkSession, sql: str, **params) -> DataFrame:
 
 
 def partition_columns(name: str) -> list[str]:
-    """Partition levels of a table: month or year, then the day."""
+    """Partition levels of a table."""
     if name in LAYOUT:
-        day, part, _ = LAYOUT[name]
-        return [part, day]
-    return {"suspend": ["suspend_date"], "factor_value": ["factor_name", "version", "trade_date"],
-            "index_member": ["index_code"], "industry_member": ["level"]}.get(name, ARTEFACT_KEYS.get(name, []))
+        return LEADING.get(name, []) + [LAYOUT[name][1]]
+    return {"index_member": ["index_code"], "industry_member": ["level"]}.get(name, ARTEFACT_KEYS.get(name, []))
 
 
 def _laid_out(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     """Cluster rows by partition and sort inside for row-group pruning.
 
     The rebalance hint lets AQE split a partition that is too large for one
-    task (a hot day) and merge small ones, instead of one file per task and day.
+    task (a hot day) and merge small ones, instead of one file per task and partition.
     """
     if name in LAYOUT:
         day, part, unit = LAYOUT[name]
-        df = df.withColumn(part, F.trunc(day, unit))
+        df = df.withColumn(part, F.to_date(F.date_trunc(unit, day)))
     if not by:
         return df
     sort = [c for c in SORT_KEYS.get(name, []) if c not in by]
@@ -83,45 +82,57 @@ def write_partitioned(df: DataFrame, root: str, name: str, by: list[str] | None
     _writer(df, name, by, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name))
 
 
-def _clear(spark: SparkSession, root: str, name: str, levels: list[str]) -> None:
-    path = "/".join([table_path(root, name), *levels])
-    if path_exists(spark, path):
-        delete_path(spark, path)
+def _unit_start(d: dt.date, unit: str) -> dt.date:
+    return {"day": d, "month": d.replace(day=1), "year": d.replace(month=1, day=1)}[unit]
 
 
-def replace_days(df: DataFrame, root: str, name: str, days: list[dt.date], *, day: str = "trade_date",
-                 keep_when_empty: bool = False) -> None:
-    """Idempotent replacement of whole days.
+def _replace(df: DataFrame, root: str, name: str, days: list[dt.date], leading: dict[str, list[str]], keep_when_empty: bool) -> None:
+    """Rewrite the partitions the days fall in: their other days stay, the named ones become `df`'s rows.
 
-    Days without rows are cleared (dynamic overwrite alone would keep them),
-    unless `keep_when_empty`, the rule for statements.
+    Dynamic overwrite swaps partitions at commit, so the old rows can be read by
+    the same job. Partitions left without any row are dropped afterwards.
     """
+    spark = df.sparkSession
+    day, part, unit = LAYOUT[name]
+    parts = sorted({_unit_start(d, unit) for d in days})
     rows = df.where(F.col(day).isin(*days))
-    write_partitioned(rows, root, name)
+    for column, values in leading.items():
+        rows = rows.where(F.col(column).isin(*values))
     if keep_when_empty:
-        return
-    # The caller names the days, so this list is no longer than the caller's.
-    filled = {r[0] for r in rows.select(day).distinct().collect()}
-    for d in days:
-        if d not in filled:
-            head = []
-            if name in LAYOUT:
-                _, part, unit = LAYOUT[name]
-                first = d.replace(day=1) if unit == "month" else d.replace(month=1, day=1)
-                head = [f"{part}={first.isoformat()}"]
-            _clear(df.sparkSession, root, name, head + [f"{day}={d.isoformat()}"])
+        # A day without new rows keeps its old ones. The caller names the days, so this list is as short as theirs.
+        days = [r[0] for r in rows.select(day).distinct().collect()]
+        parts = sorted({_unit_start(d, unit) for d in days})
+        if not days:
+            return
+    if unit != "day" and path_exists(spark, table_path(root, name)):
+        old = spark.read.parquet(table_path(root, name)).where(F.col(part).isin(*parts) & ~F.col(day).isin(*days))
+        for column, values in leading.items():
+            old = old.where(F.col(column).isin(*values))
+        rows = rows.unionByName(old.select(*rows.columns))
+    seen = Observation("replaced")
+    keys = list(leading) + [part]
+    marked = rows.withColumn(part, F.to_date(F.date_trunc(unit, day)))
+    write_partitioned(marked.observe(seen, F.collect_set(F.struct(*keys)).alias("filled")).drop(part), root, name)
+    # One entry per rewritten partition; the caller's days and keys bound them.
+    filled = {tuple(str(x) for x in r) for r in seen.get["filled"]}
+    for combo in itertools.product(*leading.values(), parts):
+        if tuple(str(x) for x in combo) not in filled:
+            path = "/".join([table_path(root, name), *[f"{k}={x}" for k, x in zip(keys, combo)]])
+            if path_exists(spark, path):
+                delete_path(spark, path)
+
+
+def replace_days(df: DataFrame, root: str, name: str, days: list[dt.date], *, keep_when_empty: bool = False) -> None:
+    """Idempotent replacement of whole days.
+
+    A day without rows is cleared, unless `keep_when_empty`, the rule for statements.
+    """
+    _replace(df, root, name, days, {}, keep_when_empty)
 
 
 def replace_factor_days(df: DataFrame, root: str, names: list[str], version: str, days: list[dt.date]) -> None:
     """Replace (factor, version, day) slices; other factors, versions and days stay."""
-    rows = df.where(F.col("factor_name").isin(*names) & (F.col("version") == version) & F.col("trade_date").isin(*days))
-    write_partitioned(rows, root, "factor_value")
-    filled = {(r[0], r[1]) for r in rows.select("factor_name", "trade_date").distinct().collect()}
-    for n in names:
-        for d in days:
-            if (n, d) not in filled:
-                _clear(df.sparkSession, root, "factor_value",
-                       [f"factor_name={n}", f"version={version}", f"trade_date={d.isoformat()}"])
+    _replace(df, root, "factor_value", days, {"factor_name": names, "version": [version]}, False)
 
 
 def replace_intervals(df: DataFrame, root: str, name: str, key: str) -> None:

@@ -87,10 +87,10 @@ def _(m):
     select f.*, n_valid / u.n::double as coverage from (
       select trade_date, factor_name, count(*) as n_valid, avg(value) as mean, stddev_samp(value) as std, quantile_cont(value, 0.01) as p1,
              quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.99) as p99
-      from fac where factor_name in ('mom_20', 'vol_20') group by 1, 2) f
+      from fac group by 1, 2) f
     join (select trade_date, count(*) as n from bars0 group by 1) u using (trade_date)""", "fac bars0")
 def _(m):
-    return cv.distribution(m.factors("mom_20", "vol_20"), m.raw_bars)
+    return cv.distribution(m.factors(), m.raw_bars)
 
 
 @query("A09_coverage_series", "trade_date:d n_factor:i n_valid:i universe:i coverage:f8", """
@@ -141,19 +141,19 @@ def _buckets_sql(price: str) -> str:
         from fac f join cal c on c.cal_date = f.trade_date
         join (select security_id, trade_date, {price} as px from bars) c0 on c0.security_id = f.security_id and c0.trade_date = f.trade_date
         join (select security_id, trade_date, {price} as px from bars) c1 on c1.security_id = f.security_id and c1.trade_date = c.next_open
-        where c.next_open <> c.cal_date and factor_name in ('mom_20', 'ep') and c0.px > 0 and c1.px > 0) a) b where n >= 5 group by 1, 2, 3"""
+        where c.next_open <> c.cal_date and c0.px > 0 and c1.px > 0) a) b where n >= 5 group by 1, 2, 3"""
 
 
 @query("A14_quintile_forward_returns", "trade_date:d factor_name:s quintile:i mean_fwd_ret:f6 names:i n_names:i", _buckets_sql("close * adj_factor"), "fac cal bars")
 def _(m):
-    return cv.forward_buckets(m.factors("mom_20", "ep"), m.bars, m.calendar, min_names=5)
+    return cv.forward_buckets(m.factors(), m.bars, m.calendar, min_names=5)
 
 
 @query("A14_quintile_spread_raw_close", "trade_date:d factor_name:s n_names:i spread_q5_q1:f6", f"""
     select trade_date, factor_name, max(n_names) as n_names, coalesce(max(mean_fwd_ret) filter (where quintile = 5), 0) - coalesce(max(mean_fwd_ret) filter (where quintile = 1), 0) as spread_q5_q1
     from ({_buckets_sql('close')}) z group by 1, 2""", "fac cal bars")
 def _(m):
-    return cv.spreads(cv.forward_buckets(m.factors("mom_20", "ep"), m.bars, m.calendar, min_names=5, adjust="none"))
+    return cv.spreads(cv.forward_buckets(m.factors(), m.bars, m.calendar, min_names=5, adjust="none"))
 
 
 @query("A16_pivot_metric", "factor_name:s main:f8 gem:f8 star:f8 bse:f8", """
@@ -177,9 +177,9 @@ def _(m):
 @query("A19_histogram", "factor_name:s bin:i n:i", """
     select factor_name, least(cast(floor((value - lo) / nullif((hi - lo) / 30, 0)) as bigint), 29) as bin, count(*) as n
     from fac join (select factor_name, min(value) as lo, max(value) as hi from fac group by 1) e using (factor_name)
-    where factor_name in ('ep', 'mom_20') group by 1, 2""", "fac")
+    group by 1, 2""", "fac")
 def _(m):
-    return cv.histogram(m.factors("ep", "mom_20"), ["factor_name"])
+    return cv.histogram(m.factors(), ["factor_name"])
 
 
 _TOP = """(select trade_date, security_id, exchange_code, 1.0 / count(*) over (partition by trade_date) as weight from (

@@ -297,7 +297,7 @@ def _(m):
     select trade_date, factor_name, max(n_names) as n_names, coalesce(max(mean_fwd_ret) filter (where quintile = 5), 0) - coalesce(max(mean_fwd_ret) filter (where quintile = 1), 0) as spread_q5_q1
     from ({_buckets_sql('close * adj_factor')}) z group by 1, 2""", "fac cal bars")
 def _(m):
-    return ops.monitor(m.factors("mom_20", "ep"), m.bars, m.calendar, min_names=5)["spreads"]
+    return ops.monitor(m.factors(), m.bars, m.calendar, min_names=5)["spreads"]
 
 
 _CARDS = f"""

@@ -34,10 +34,9 @@ def _(m):
 @query("J03_members_with_or_without_bar", "trade_date:d exchange_code:s", """
     select c.cal_date as trade_date, x.exchange_code from cal c join members x on x.in_date <= c.cal_date and x.out_date > c.cal_date
     left join bars b on b.security_id = x.security_id and b.trade_date = c.cal_date
-    where c.is_open = 1 and c.cal_date between date '1997-01-01' and date '1997-12-31' and coalesce(b.is_suspended, 0) <> 1""", "cal members bars")
+    where c.is_open = 1 and coalesce(b.is_suspended, 0) <> 1""", "cal members bars")
 def _(m):
-    return rs.universe(m.bars, m.master, index_code="IDX_A", members=m.members, calendar=m.calendar, filters=("suspended",),
-                       start=dt.date(1997, 1, 1), end=dt.date(1997, 12, 31))
+    return rs.universe(m.bars, m.master, index_code="IDX_A", members=m.members, calendar=m.calendar, filters=("suspended",))
 
 
 @query("J10_map_ids", "kind:s trade_date:d exchange_code:s security_id:i", """

@@ -164,6 +164,18 @@ def _(m):
     )
 
 
+@query("P17_column_aliases", "security_id:i trade_date:d open:f close:f volume:i missing:b", """
+    select security_id, trade_date, open, close, volume, true as missing from bars0""", "bars0")
+def _(m):
+    vendor = m.raw_bars.select("security_id", "trade_date", F.col("open").alias("开盘"), F.col("close").alias("Close"),
+                               F.when(F.col("security_id") % 2 == 0, F.col("volume")).alias("成交量"), F.col("volume").alias("vol"))
+    return vendor.select(
+        "security_id", "trade_date", v.first_alias(vendor, ["开盘", "open"]).alias("open"),
+        v.first_alias(vendor, ["收盘", "close"], any_case=True).alias("close"), v.first_alias(vendor, ["成交量", "vol"]).alias("volume"),
+        v.first_alias(vendor, ["换手率"]).isNull().alias("missing"),
+    )
+
+
 @query("P18_numeric_coercion", "event_id:i num:f cnt:i", """
     select event_id, try_cast(t as double) as num, cast(trunc(coalesce(try_cast(t as double), 0)) as bigint) as cnt
     from (select event_id, case event_id % 4 when 0 then event_type when 1 then '' else cast(value as varchar) end as t from events) z""")
@@ -297,6 +309,22 @@ def _(m):
     return rs.tradability_preview(m.raw_bars.select("security_id", "trade_date"), m.limited_bars)
 
 
+@query("P32_short_ids", "security_id:i trade_date:d id:s", """
+    select security_id, trade_date, 'sig_' || substr(sha1('{"asof":"' || strftime(trade_date, '%Y-%m-%d') || '","factor":"mom_20","security":"' || security_id || '"}'), 1, 8) as id
+    from bars0""", "bars0")
+def _(m):
+    parts = {"security": F.col("security_id"), "asof": F.col("trade_date"), "factor": F.lit("mom_20")}
+    return m.raw_bars.select("security_id", "trade_date", v.short_id("sig", parts).alias("id"))
+
+
+@query("P33_json_round_trip", "security_id:i trade_date:d total_return:f sharpe:f", """
+    select security_id, trade_date, close as total_return, case when security_id % 2 = 0 then open end as sharpe from bars0""", "bars0")
+def _(m):
+    packed = m.raw_bars.select("security_id", "trade_date", F.to_json(F.struct(
+        F.col("close").alias("total_return"), F.when(F.col("security_id") % 2 == 0, F.col("open")).alias("sharpe"))).alias("j"))
+    return packed.select("security_id", "trade_date", F.from_json("j", "total_return double, sharpe double").alias("m")).select("*", "m.*")
+
+
 @query("P34_dimension_scores", "security_id:i trade_date:d up:f10 down:f10 composite:f10", """
     select security_id, trade_date, 100.0 * p as up, 100.0 * (1.0 - q) as down,
            (coalesce(100.0 * p, 0) + coalesce(100.0 * (1.0 - q), 0)) / nullif((p is not null)::int + (q is not null)::int, 0) as composite

@@ -150,9 +150,9 @@ def _(m):
 
 @query("W13_market_percentile", _PRICE_COLS + " factor_name:s pct:f10 n:i", """
     select security_id, trade_date, factor_name, cume_dist() over (partition by trade_date, factor_name order by value) as pct,
-           count(*) over (partition by trade_date, factor_name) as n from fac where factor_name in ('mom_20', 'turn_20')""", "fac")
+           count(*) over (partition by trade_date, factor_name) as n from fac""", "fac")
 def _(m):
-    return jd.market_percentiles(m.factors("mom_20", "turn_20"))
+    return jd.market_percentiles(m.factors())
 
 
 @query("W13_industry_percentile", _PRICE_COLS + " industry:s pct:f10 n:i", """
