@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from barloom.functions import values as v
@@ -68,12 +69,20 @@ def _writer(df: DataFrame, name: str, by: list[str], mode: str):
     return out.partitionBy(*by) if by else out
 
 
+def _observed(seen: Observation, name: str, default):
+    """Observed metric of a finished write; a plan known to be empty is dropped along with its observation."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return default
+
+
 def append(df: DataFrame, root: str, name: str) -> int:
     """Append rows and return their number; nothing to append is 0."""
     seen = Observation("append")
     rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
     _writer(rows, name, partition_columns(name), "append").parquet(table_path(root, name))
-    return int(seen.get["n"])
+    return int(_observed(seen, "n", 0))
 
 
 def write_partitioned(df: DataFrame, root: str, name: str, by: list[str] | None = None) -> None:
@@ -114,7 +123,7 @@ def _replace(df: DataFrame, root: str, name: str, days: list[dt.date], leading:
     marked = rows.withColumn(part, F.to_date(F.date_trunc(unit, day)))
     write_partitioned(marked.observe(seen, F.collect_set(F.struct(*keys)).alias("filled")).drop(part), root, name)
     # One entry per rewritten partition; the caller's days and keys bound them.
-    filled = {tuple(str(x) for x in r) for r in seen.get["filled"]}
+    filled = {tuple(str(x) for x in r) for r in _observed(seen, "filled", [])}
     for combo in itertools.product(*leading.values(), parts):
         if tuple(str(x) for x in combo) not in filled:
             path = "/".join([table_path(root, name), *[f"{k}={x}" for k, x in zip(keys, combo)]])
