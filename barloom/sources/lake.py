@@ -31,6 +31,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths matching a glob (used on partition directories named by the caller)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [s.getPath().toString() for s in found or []]
+
+
 def write_raw(df: DataFrame, root: str, dataset: str, *, source: str | None = None, day: str | None = None) -> None:
     """Write the partitions present in `df` (columns source, dt) or one named partition.
 

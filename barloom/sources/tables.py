@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from barloom.functions import values as v
 from barloom.schemas import LAYOUT, LEADING, SORT_KEYS, table as table_schema
-from barloom.sources.lake import delete_path, path_exists
+from barloom.sources.lake import delete_path, list_paths, path_exists
 
 # artefact kind -> keys (its partition columns)
 ARTEFACT_KEYS = {
@@ -119,15 +118,16 @@ def _replace(df: DataFrame, root: str, name: str, days: list[dt.date], leading:
             old = old.where(F.col(column).isin(*values))
         rows = rows.unionByName(old.select(*rows.columns))
     seen = Observation("replaced")
-    keys = list(leading) + [part]
+    keys = partition_columns(name)
     marked = rows.withColumn(part, F.to_date(F.date_trunc(unit, day)))
     write_partitioned(marked.observe(seen, F.collect_set(F.struct(*keys)).alias("filled")).drop(part), root, name)
     # One entry per rewritten partition; the caller's days and keys bound them.
     filled = {tuple(str(x) for x in r) for r in _observed(seen, "filled", [])}
-    for combo in itertools.product(*leading.values(), parts):
-        if tuple(str(x) for x in combo) not in filled:
-            path = "/".join([table_path(root, name), *[f"{k}={x}" for k, x in zip(keys, combo)]])
-            if path_exists(spark, path):
+    for d in parts:
+        levels = [f"{k}={{{','.join(leading[k])}}}" if k in leading else f"{k}=*" for k in keys[:-1]] + [f"{part}={d}"]
+        for path in list_paths(spark, "/".join([table_path(root, name), *levels])):
+            have = tuple(level.split("=", 1)[1] for level in path.split("/")[-len(keys):])
+            if have not in filled:
                 delete_path(spark, path)
 
 
