@@ -12,6 +12,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom import rules
+
 
 def valid_on(df: DataFrame, day: dt.date | str | Column, *, start: str = "in_date", end: str = "out_date") -> DataFrame:
     """Rows whose [start, end) contains the date."""
@@ -36,16 +38,12 @@ def _sweep(facts: DataFrame, changes: DataFrame, key: list[str], day: str, chang
            payload: list[str], keep: Column) -> DataFrame:
     """Carry `keep` (an aggregate over the changes so far) onto each fact as `__hit`."""
     fact_cols = [c for c in facts.columns if c not in key + [day]]
-    left = facts.select(*key, F.col(day).alias("__d"), F.lit(1).alias("__kind"),
-                        F.struct(*fact_cols).alias("__fact") if fact_cols else F.lit(1).alias("__fact"))
-    right = changes.select(*key, F.col(change_day).alias("__d"), F.lit(0).alias("__kind"),
-                           F.struct(*payload).alias("__chg"))
+    left = facts.select(*key, F.col(day).alias("__d"), F.lit(1).alias("__kind"), *fact_cols)
+    right = changes.select(*key, F.col(change_day).alias("__d"), F.lit(0).alias("__kind"), F.struct(*payload).alias("__chg"))
     stream = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(*key).orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = stream.withColumn("__hit", keep.over(w)).where("__kind = 1")
-    return swept.select(
-        *key, F.col("__d").alias(day), *[F.col(f"__fact.{c}").alias(c) for c in fact_cols], "__hit"
-    )
+    return swept.select(*key, F.col("__d").alias(day), *fact_cols, "__hit")
 
 
 def attach_interval(facts: DataFrame, intervals: DataFrame, key: list[str], columns: list[str], *,
@@ -70,8 +68,18 @@ def inside_interval(facts: DataFrame, intervals: DataFrame, key: list[str], *, d
     return marked.where("__in").drop("__in")
 
 
-def _statement_order() -> list[str]:
-    return ["report_date", "ann_date", "update_flag", "stmt_type"]
+def _order_key() -> Column:
+    """Statement order (report, announcement, correction, type) as one number.
+
+    A number keeps the aggregates below in a hash aggregate, which a struct would not.
+    """
+    kinds = F.create_map(*[F.lit(x) for i, k in enumerate(sorted(rules.STATEMENT_KINDS), 1) for x in (k, i)])
+    kind = F.coalesce(F.try_element_at(kinds, F.col("stmt_type")), F.lit(0))
+
+    def date(c: str) -> Column:
+        return F.unix_date(c).cast("bigint") + (1 << 20)
+
+    return ((date("report_date") * (1 << 22) + date("ann_date")) * 16 + F.col("update_flag")) * 16 + kind
 
 
 def visible_item(statements: DataFrame, name: str, day: dt.date | str) -> DataFrame:
@@ -79,7 +87,7 @@ def visible_item(statements: DataFrame, name: str, day: dt.date | str) -> DataFr
     d = F.lit(day).cast("date")
     seen = statements.where((F.col("ann_date") <= d) & F.map_contains_key("fields", F.lit(name)))
     return seen.groupBy("security_id").agg(
-        F.max_by(F.try_element_at("fields", F.lit(name)), F.struct(*_statement_order())).alias("value")
+        F.max_by(F.try_element_at("fields", F.lit(name)), _order_key()).alias("value")
     )
 
 
@@ -87,37 +95,33 @@ def visible_items(statements: DataFrame, names: list[str], day: dt.date | str) -
     """Several items at once: (security_id, item, value)."""
     d = F.lit(day).cast("date")
     rows = statements.where(F.col("ann_date") <= d).select(
-        "security_id", *_statement_order(), F.explode("fields").alias("item", "value")
+        "security_id", _order_key().alias("__k"), F.explode("fields").alias("item", "value")
     ).where(F.col("item").isin(*names))
     return rows.groupBy("security_id", "item").agg(
-        F.max_by("value", F.struct(*_statement_order())).alias("value")
+        F.max_by("value", "__k").alias("value")
     )
 
 
 def attach_visible(facts: DataFrame, statements: DataFrame, names: list[str], *, day: str = "trade_date") -> DataFrame:
     """The items visible at each fact row's date, one column per item.
 
-    All items travel in one sweep: the change stream carries one struct per item
-    (null when the statement lacks it) and a running maximum by
-    (report, announcement, correction, type) picks the visible one.
+    All items travel in one sweep: the statements of a day are reduced to the
+    best one per item, and the running best so far is carried onto the facts.
     """
-    order = _statement_order()
-    best = statements.groupBy("security_id", "ann_date").agg(*[
-        F.max(F.when(
-            F.map_contains_key("fields", F.lit(n)),
-            F.struct(*order, F.try_element_at("fields", F.lit(n)).alias("value")),
-        )).alias(n) for n in names
-    ])
+    keyed = statements.select("security_id", "ann_date", "fields", _order_key().alias("__k"))
+    has = {n: F.map_contains_key("fields", F.lit(n)) for n in names}
+    best = keyed.groupBy("security_id", "ann_date").agg(*[a for n in names for a in (
+        F.max(F.when(has[n], F.col("__k"))).alias(f"__k_{n}"),
+        F.max_by(F.try_element_at("fields", F.lit(n)), F.when(has[n], F.col("__k"))).alias(f"__v_{n}"),
+    )])
     fact_cols = [c for c in facts.columns if c not in ("security_id", day)]
     left = facts.select("security_id", F.col(day).alias("__d"), F.lit(1).alias("__kind"), *fact_cols)
-    right = best.select("security_id", F.col("ann_date").alias("__d"), F.lit(0).alias("__kind"),
-                        *[F.col(n).alias(f"__{n}") for n in names])
+    right = best.withColumnRenamed("ann_date", "__d").withColumn("__kind", F.lit(0))
     stream = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy("security_id").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = stream.select("*", *[F.max(f"__{n}").over(w).alias(f"__best_{n}") for n in names])
+    swept = stream.select("*", *[F.max_by(f"__v_{n}", f"__k_{n}").over(w).alias(f"__best_{n}") for n in names])
     return swept.where("__kind = 1").select(
-        "security_id", F.col("__d").alias(day), *fact_cols,
-        *[F.col(f"__best_{n}.value").alias(n) for n in names],
+        "security_id", F.col("__d").alias(day), *fact_cols, *[F.col(f"__best_{n}").alias(n) for n in names]
     )
 
 

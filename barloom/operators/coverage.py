@@ -10,6 +10,7 @@ from barloom import rules
 from barloom.functions import values as v
 from barloom.operators import ranking
 from barloom.operators.calendar import link
+from barloom.operators.prices import by_security
 
 POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -50,12 +51,10 @@ def distribution(factors: DataFrame, bars: DataFrame, *, group_limit: int = rank
     """Per day and factor: valid values, mean, sample deviation, quantiles and coverage."""
     by = ["trade_date", "factor_name"]
     rows = factors.where(_valid()).select(*by, "security_id", "value")
-    basic = rows.groupBy(*by).agg(
-        F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
-    )
-    points = ranking.quantiles(rows, by, "value", ["security_id"], POINTS, group_limit=group_limit)
+    moments = [F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+    out = ranking.quantiles(rows, by, "value", ["security_id"], POINTS, extra=moments, group_limit=group_limit)
     universe = bars.groupBy("trade_date").agg(F.count("*").alias("universe"))
-    return basic.join(points, by).join(universe, "trade_date", "left").withColumn(
+    return out.join(universe, "trade_date", "left").withColumn(
         "coverage", F.coalesce(F.try_divide("n_valid", "universe"), F.lit(0.0))
     )
 
@@ -100,10 +99,10 @@ def forward_buckets(factors: DataFrame, bars: DataFrame, calendar: DataFrame, *,
     """
     price = F.col("close") * (F.col("adj_factor") if adjust == "post" else F.lit(1.0))
     px = bars.select("security_id", "trade_date", price.alias("px"))
-    now = link(px.withColumnRenamed("px", "c0"), calendar, "next_open", "fwd_date")
-    nxt = px.select("security_id", F.col("trade_date").alias("fwd_date"), F.col("px").alias("c1"))
-    fwd = now.join(nxt, ["security_id", "fwd_date"]).where("c0 > 0 and c1 > 0").select(
-        "security_id", "trade_date", "fwd_date", (F.col("c1") / F.col("c0") - 1).alias("fwd_ret")
+    # The security's next row counts only when it lies on the next open day.
+    ahead = px.withColumns({"c1": F.lead("px").over(by_security()), "__d": F.lead("trade_date").over(by_security())})
+    fwd = link(ahead, calendar, "next_open", "fwd_date").where("__d = fwd_date and px > 0 and c1 > 0").select(
+        "security_id", "trade_date", "fwd_date", (F.col("c1") / F.col("px") - 1).alias("fwd_ret")
     )
     by = ["trade_date", "factor_name"]
     rows = factors.where(_valid()).select(*by, "security_id", "value").join(fwd, ["security_id", "trade_date"])

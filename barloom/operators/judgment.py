@@ -13,16 +13,17 @@ from barloom.operators.prices import post_close
 from barloom.session import durable
 
 
-def percentiles(factors: DataFrame, by: list[str], *, counted: str | None = None,
+def percentiles(factors: DataFrame, by: list[str], *, counted: str | None = None, prepared: bool = False,
                 group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
     """Share of the cross-section at or below each value (`pct`) and its size (`n`)."""
     rows = factors.where(v.is_finite(F.col("value")))
-    ranked = ranking.with_tie_ranks(rows, by, "value", ["security_id"], counted=counted, group_limit=group_limit)
+    ranked = ranking.with_tie_ranks(rows, by, "value", ["security_id"], counted=counted, prepared=prepared,
+                                    group_limit=group_limit)
     return ranked.withColumn("pct", ranking.share_at_or_below()).drop("rn", "rank_low", "rank_high")
 
 
-def market_percentiles(factors: DataFrame, *, group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
-    return percentiles(factors, ["trade_date", "factor_name"], group_limit=group_limit)
+def market_percentiles(factors: DataFrame, *, prepared: bool = False, group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+    return percentiles(factors, ["trade_date", "factor_name"], prepared=prepared, group_limit=group_limit)
 
 
 def index_percentiles(factors: DataFrame, members: DataFrame, index_code: str, *,
@@ -35,18 +36,18 @@ def index_percentiles(factors: DataFrame, members: DataFrame, index_code: str, *
     return percentiles(marked, ["trade_date", "factor_name"], counted="member", group_limit=group_limit)
 
 
-def industry_percentiles(factors: DataFrame, industry: DataFrame, level: str, *,
+def industry_percentiles(factors: DataFrame, industry: DataFrame, level: str, *, prepared: bool = False,
                          group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
     placed = asof.attach_interval(factors, industry.where(F.col("level") == level), ["security_id"], ["industry"])
-    return percentiles(placed.where("industry is not null"), ["trade_date", "factor_name", "industry"],
+    return percentiles(placed.where("industry is not null"), ["trade_date", "factor_name", "industry"], prepared=prepared,
                        group_limit=group_limit)
 
 
-def factor_profile(factors: DataFrame, industry: DataFrame, level: str = "sw_l1", *,
+def factor_profile(factors: DataFrame, industry: DataFrame, level: str = "sw_l1", *, prepared: bool = False,
                    group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
     """Value, market share and in-industry share per security, day and factor."""
     keys = ["trade_date", "security_id", "factor_name"]
-    market = market_percentiles(factors, group_limit=group_limit).select(
+    market = market_percentiles(factors, prepared=prepared, group_limit=group_limit).select(
         *keys, "value", F.col("pct").alias("pct_market"), F.col("n").alias("n_market")
     )
     peers = industry_percentiles(factors, industry, level, group_limit=group_limit).select(
@@ -145,7 +146,8 @@ def cards(master: DataFrame, bars: DataFrame, factors: DataFrame, members: DataF
     names = list(rules.SEED_FACTORS)
     # One day's values, read by several cross-sections below.
     today = durable(factors.where((F.col("trade_date") == F.lit(day)) & F.col("factor_name").isin(*names)))
-    profile = factor_profile(today, industry, level, group_limit=group_limit)
+    # Three wide tables are made of the profile, so it is stored too.
+    profile = durable(factor_profile(today, industry, level, prepared=True, group_limit=group_limit))
     if universe in ("ALL", "*", "all", ""):
         shares = wide(profile, "pct_market", names, "_pct")
     else:

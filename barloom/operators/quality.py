@@ -15,7 +15,7 @@ from barloom import rules
 from barloom.functions import market as mk, symbols as sy, values as v
 from barloom.operators import asof, ranking
 from barloom.operators.calendar import link
-from barloom.operators.prices import post_close
+from barloom.operators.prices import by_security, post_close
 
 HARD, SOFT = "hard", "soft"
 MAX_MOVE = 0.21
@@ -93,9 +93,11 @@ def row_count(t: Tables, *, min_universe: int = rules.MIN_UNIVERSE, max_drift: f
 def adjusted_moves(t: Tables) -> DataFrame:
     """Adjusted move against the previous open day, with the listing columns of the security."""
     px = t.bars.select("security_id", "trade_date", post_close().alias("px"))
-    before = px.select("security_id", F.col("trade_date").alias("prev_day"), F.col("px").alias("p0"))
+    w = by_security()
+    # The security's previous row counts only when it lies on the previous open day.
+    before = px.withColumns({"p0": F.lag("px").over(w), "__d": F.lag("trade_date").over(w)})
     return (
-        link(px, t.calendar, "prev_open", "prev_day").join(before, ["security_id", "prev_day"])
+        link(before, t.calendar, "prev_open", "prev_day").where("__d = prev_day")
         .join(t.master.select("security_id", "exchange_code", "board", "list_date"), "security_id")
         .withColumn("adj_ret", F.try_divide("px", F.nullif("p0", F.lit(0.0))) - 1)
     )

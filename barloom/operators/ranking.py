@@ -17,33 +17,48 @@ GROUP_LIMIT = 2_000_000   # rows of one group that one task may sort
 SAMPLES_PER_SLICE = 16
 
 
+def _sized(df: DataFrame, by: list[str], counted: str | None, prepared: bool, group_limit: int) -> tuple[DataFrame, bool]:
+    """Input with its 0/1 weight column, and whether every group fits one task's sort.
+
+    The input is read several times, so it is checkpointed unless the caller
+    says it is cheap to read again. One number comes back to the driver.
+    """
+    weight = F.lit(1) if counted is None else F.coalesce(F.col(counted).cast("int"), F.lit(0))
+    base = df.withColumn("__w", weight.cast("bigint"))
+    if not prepared:
+        base = durable(base)
+    largest = base.groupBy(*by).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    return base, largest <= group_limit
+
+
+def _running(by: list[str], order: list[str]) -> Window:
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def order_rank(
     df: DataFrame, by: list[str], order: list[str], *, rank: str = "rn", total: str | None = None,
-    counted: str | None = None, group_limit: int = GROUP_LIMIT,
+    counted: str | None = None, prepared: bool = False, group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """row_number() within `by`, ascending by `order` (which must be unique per group).
 
     `total` names an extra column with the group's row count. With `counted` (a
     boolean column) only marked rows count, so an unmarked row gets the number
-    of marked rows at or before it.
+    of marked rows at or before it. `prepared` says the input is stored already.
     """
     if not by:
         one = df.withColumn("__all", F.lit(1))
-        return order_rank(one, ["__all"], order, rank=rank, total=total, counted=counted,
+        return order_rank(one, ["__all"], order, rank=rank, total=total, counted=counted, prepared=prepared,
                           group_limit=group_limit).drop("__all")
-    weight = F.lit(1) if counted is None else F.coalesce(F.col(counted).cast("int"), F.lit(0))
-    base = durable(df.withColumn("__w", weight.cast("bigint")))
-    sizes = base.groupBy(*by).agg(F.count("*").alias("rows"), F.sum("__w").alias("count"))
-    largest = sizes.agg(F.max("rows")).first()[0] or 0
-    if largest <= group_limit:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = base.withColumn(rank, F.sum("__w").over(w))
-    else:
-        out = _sliced_rank(base, by, order, rank, group_limit)
-    out = out.drop("__w")
+    base, small = _sized(df, by, counted, prepared, group_limit)
+    if small:
+        out = base.withColumn(rank, F.sum("__w").over(_running(by, order)))
+        if total is not None:
+            out = out.withColumn(total, F.sum("__w").over(Window.partitionBy(*by)))
+        return out.drop("__w")
+    out = _sliced_rank(base, by, order, rank, group_limit).drop("__w")
     if total is None:
         return out
-    return null_safe_join(out, sizes.select(*by, F.col("count").alias(total)), by)
+    return null_safe_join(out, base.groupBy(*by).agg(F.sum("__w").alias(total)), by)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -84,17 +99,28 @@ def _sliced_rank(base: DataFrame, by: list[str], order: list[str], rank: str, gr
 
 
 def with_tie_ranks(
-    df: DataFrame, by: list[str], value: str, tie: list[str], *, counted: str | None = None,
+    df: DataFrame, by: list[str], value: str, tie: list[str], *, counted: str | None = None, prepared: bool = False,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Adds rn (first rank), rank_low / rank_high (of the tied values) and n per group.
 
-    Tied rows are reduced before they are joined back, so a value shared by
-    many rows costs one row per map task in the shuffle.
+    In large groups the tied rows are reduced before they are joined back, so a
+    value shared by many rows costs one row per map task in the shuffle.
     """
-    ranked = order_rank(df, by, [value] + tie, total="n", counted=counted, group_limit=group_limit)
+    base, small = _sized(df, by, counted, prepared, group_limit)
+    if small:
+        # One shuffle and one sort serve all four windows.
+        tied = Window.partitionBy(*by, value)
+        return (
+            base.withColumn("rn", F.sum("__w").over(_running(by, [value] + tie)))
+            .withColumns({"rank_low": F.min("rn").over(tied), "rank_high": F.max("rn").over(tied),
+                          "n": F.sum("__w").over(Window.partitionBy(*by))})
+            .drop("__w")
+        )
+    ranked = _sliced_rank(base, by, [value] + tie, "rn", group_limit).drop("__w")
     ties = ranked.groupBy(*by, value).agg(F.min("rn").alias("rank_low"), F.max("rn").alias("rank_high"))
-    return null_safe_join(ranked, ties, by + [value])
+    sizes = base.groupBy(*by).agg(F.sum("__w").alias("n"))
+    return null_safe_join(null_safe_join(ranked, ties, by + [value]), sizes, by)
 
 
 def share_at_or_below() -> Column:
@@ -112,15 +138,15 @@ def quantile_bucket(n_buckets: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("int")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, tie: list[str], points: dict[str, float],
-              *, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+def quantiles(df: DataFrame, by: list[str], value: str, tie: list[str], points: dict[str, float], *,
+              extra: list[Column] | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; `extra` aggregates ride along.
 
     Only the two neighbours of each position are aggregated, so no task holds a
     group's values (the built-in exact percentile keeps them all in memory).
     """
     ranked = order_rank(df, by, [value] + tie, total="n", group_limit=group_limit)
-    aggs = []
+    aggs = list(extra or [])
     for name, q in points.items():
         pos = F.lit(q) * (F.col("n") - 1)
         low = F.max(F.when(F.col("rn") - 1 == F.floor(pos), F.col(value)))

@@ -52,6 +52,7 @@ STATEMENT_ITEMS = {
         "n_cash_flows_fnc_act": "cff",
     }),
 }
+STATEMENT_KINDS = ("income", "balance", "cashflow")
 EMPTY_IS_LEGAL = ("suspend", "income", "balancesheet", "cashflow")
 REUSE_IF_PRESENT = ("suspend",)
 

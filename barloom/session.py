@@ -16,6 +16,7 @@ def local_session(name: str = "barloom", cores: str = "*", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -28,17 +29,13 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediates: the cluster's `spark.checkpoint.dir`.
 
     Only where that is unset (tests, one machine) a temporary folder is made,
-    once per session, and remembered in the session's configuration.
+    once per Spark context.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
+    return folder or context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -156,7 +156,9 @@ class Market:
         """Leading brand per security and quarter: most trades, then the smaller name."""
         quarter = F.trunc("trade_date", "quarter").alias("as_of_date")
         brand = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("industry"))
-        counts = self.trades.join(brand, "l_partkey").groupBy("security_id", quarter, "industry").count()
+        # Counted per part first: a part traded in a third of all rows is then a few rows per security.
+        parts = self.trades.groupBy("security_id", quarter, "l_partkey").count()
+        counts = parts.join(brand, "l_partkey").groupBy("security_id", "as_of_date", "industry").agg(F.sum("count").alias("count"))
         lead = counts.groupBy("security_id", "as_of_date").agg(
             F.min(F.struct((-F.col("count")).alias("n"), "industry")).alias("best")
         )

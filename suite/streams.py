@@ -58,7 +58,7 @@ def _window_rows(m, **options):
     root = _scratch(m)
     bars = qs.window_bars(_quote_stream(m), code="exchange_code", price="price", ts="snapshot_ts", tie=["price", "event_id"], **options)
     qs.start_to_parquet(bars, f"{root}/bars", f"{root}/checkpoint").awaitTermination()
-    return m.spark.read.parquet(f"{root}/bars").withColumn("start_text", F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    return m.spark.read.parquet(f"{root}/bars").withColumn("start_text", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("ST4_window_bars_tumbling", "exchange_code:s start_text:s open:f high:f low:f close:f volume:i",
