@@ -79,9 +79,8 @@ def universe(bars: DataFrame, master: DataFrame, *, index_code: str = "ALL", mem
         a, b = F.greatest("in_date", first), F.least(F.date_sub("out_date", 1), last)
         dated = spans.select("security_id", F.explode(F.sequence(a, b)).alias("trade_date")).join(F.broadcast(days), "trade_date")
         rows = dated.join(facts, ["security_id", "trade_date"], "left")
-    return rows.join(listed, "security_id").where(filter_test(filters)).select(
-        "trade_date", "security_id", "exchange_code"
-    ).distinct()
+    # A security has one bar per day and one interval per index at a time: the rows are distinct as they are.
+    return rows.join(listed, "security_id").where(filter_test(filters)).select("trade_date", "security_id", "exchange_code")
 
 
 def get_price(bars: DataFrame, master: DataFrame, *, codes: DataFrame | None = None, start: dt.date | None = None,
