@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from barloom import rules
 from barloom.functions import values as v
@@ -165,9 +167,14 @@ def by_day(df: DataFrame, day: str = "trade_date") -> DataFrame:
     return df.withColumn("dt", F.col(day))
 
 
-def aligned_quotes(df: DataFrame, snapshot_ts) -> DataFrame:
+def _wall_clock(ts: dt.datetime) -> Column:
+    """A naive time is wall-clock time in the session's zone, whatever the driver's own zone is."""
+    return F.lit(ts) if ts.tzinfo else F.lit(ts.isoformat(sep=" ")).cast("timestamp")
+
+
+def aligned_quotes(df: DataFrame, snapshot_ts: dt.datetime) -> DataFrame:
     """Quote columns in the registry's order; an existing snapshot time is kept."""
-    out = df if "snapshot_ts" in df.columns else df.withColumn("snapshot_ts", F.lit(snapshot_ts))
+    out = df if "snapshot_ts" in df.columns else df.withColumn("snapshot_ts", _wall_clock(snapshot_ts))
     return conform(out, landed("realtime_quote"))
 
 
@@ -175,10 +182,10 @@ def quotes_path(root: str, source: str) -> str:
     return f"{root}/realtime/{source}/realtime_quote"
 
 
-def write_snapshot(df: DataFrame, root: str, source: str, snapshot_ts) -> None:
+def write_snapshot(df: DataFrame, root: str, source: str, snapshot_ts: dt.datetime) -> None:
     """Land one quote snapshot under dt= / ts=."""
     out = aligned_quotes(df, snapshot_ts)
-    ts = F.lit(snapshot_ts).cast("timestamp")
+    ts = _wall_clock(snapshot_ts)
     out.withColumns({"dt": F.to_date(ts), "ts": F.date_format(ts, "HHmmss")}).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("dt", "ts").parquet(quotes_path(root, source))
