@@ -36,6 +36,16 @@ def remainder(doc_id: str | Column, of: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % of
 
 
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lowered) and path of a url: what follows the first :// up to / ? #, and from there up to ? #; else empty."""
+    part = lambda k: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    return ascii_lower(part(1)), part(2)
+
+
 def texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     """The column's texts as UTF-8 bytes; null counts as empty."""
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, jaccard, nbsvm, packing, risk_rules
+from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, risk_rules, url_rules
 from barloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +46,12 @@ def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op8_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.mine(pages, table(spark, sf_dir, "labels"))).drop("mined")
+
+
 @query
 def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
