@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, risk_rules, url_rules
+from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, risk_rules, spann, url_rules
 from barloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
