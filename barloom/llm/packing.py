@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import texts
 
-#: Words a worker remembers with their ids; further ones are encoded at each occurrence.
-REMEMBERED = 400_000
+#: Words a worker remembers with their ids, over all its tasks; further ones are encoded at each occurrence.
+REMEMBERED = 1_000_000
 #: White space after a space, or a space at the end: there words can't be encoded one by one.
 _UNSAFE = re.compile(r" (?:\s|$)")
 
@@ -72,6 +72,11 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def lengths(n: int, most: int = 2048) -> list[int]:
     """`n` as pieces: as many of `most` as fit, then the binary digits of the rest, largest first."""
     return [most] * (n // most) + [1 << b for b in reversed(range(most.bit_length() - 1)) if n % most >> b & 1]
@@ -91,12 +96,12 @@ def pack(
     names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.asarray([end_id], "<u4").tobytes()
+        own, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.of([t.decode() for t in texts(batch)])):
+                for doc, ids in zip(batch.column(0).to_pylist(), own.of([t.decode() for t in texts(batch)])):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for k in lengths(n, most):
