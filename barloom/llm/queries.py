@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, risk_rules, spann, url_rules
+from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, risk_rules, spann, suffix_tree, url_rules
 from barloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op4_probabilistic_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
