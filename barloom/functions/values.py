@@ -102,8 +102,12 @@ def has_item(fields: Column, name: str) -> Column:
 
 
 def content_print(df: DataFrame) -> Column:
-    """Order-independent fingerprint of the rows (aggregate)."""
-    return F.bit_xor(F.xxhash64(F.struct(*[F.col(c) for c in df.columns])))
+    """Order-independent fingerprint of the rows (aggregate): their number and the sum of their hashes, so equal rows don't cancel."""
+    return print_of(*[c for c in df.columns])
+
+
+def print_of(*columns: str) -> Column:
+    return F.xxhash64(F.count("*"), F.coalesce(F.sum(F.xxhash64(F.struct(*columns)).cast("decimal(20,0)")), F.lit(0)))
 
 
 def short_id(prefix: str, parts: dict[str, Column], length: int = 8) -> Column:

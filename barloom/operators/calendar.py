@@ -35,11 +35,11 @@ def build(days: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Replace the covered range [min, max] of `incoming` in `existing`."""
-    built = build(incoming)
-    span = built.agg(F.min("cal_date").alias("a"), F.max("cal_date").alias("b"))
+    """Replace the covered range [min, max] of `incoming` in `existing`; links are made over all days, so they cross the seams."""
+    days = incoming.select("cal_date", "is_open")
+    span = days.agg(F.min("cal_date").alias("a"), F.max("cal_date").alias("b"))
     kept = existing.join(F.broadcast(span), F.col("cal_date").between(F.col("a"), F.col("b")), "left_anti")
-    return kept.unionByName(built)
+    return build(kept.select("cal_date", "is_open").unionByName(days))
 
 
 def open_days(calendar: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
@@ -91,7 +91,3 @@ def take_effect(signals: DataFrame, calendar: DataFrame) -> tuple[DataFrame, Dat
     """
     linked = link(signals, calendar, "next_open", "exec_date")
     return linked.where("exec_date is not null"), linked.where("exec_date is null").drop("exec_date")
-
-
-def weekday_filter(day: Column) -> Column:
-    return F.weekday(day) < 5

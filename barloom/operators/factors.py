@@ -15,6 +15,7 @@ from barloom import rules
 from barloom.functions import values as v
 from barloom.operators import asof
 from barloom.operators.prices import by_security, post_close
+from barloom.operators.scd2 import current_listing
 
 
 def lookback_days(n: int) -> int:
@@ -158,4 +159,4 @@ def _history(df: DataFrame, start: dt.date | None, days: int) -> DataFrame:
 
 def with_codes(factors: DataFrame, master: DataFrame) -> DataFrame:
     """Attach exchange codes; ids without a master row stay, with a null code."""
-    return factors.join(master.select("security_id", "exchange_code"), "security_id", "left")
+    return factors.join(current_listing(master, "exchange_code"), "security_id", "left")

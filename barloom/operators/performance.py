@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom import rules
 from barloom.functions import trading as tr, values as v
-from barloom.operators.calendar import take_effect
+from barloom.operators.calendar import open_days, take_effect
 from barloom.session import durable
 
 YEAR = rules.TRADING_DAYS_YEAR
@@ -23,15 +23,12 @@ def _by_day(by: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy("trade_date")
 
 
-def rebalance_turnover(holdings: DataFrame, by: list[str]) -> DataFrame:
-    """bought and sold weight per rebalance against the previous one of the run.
+def rebalance_turnover(holdings: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
+    """bought and sold weight and names traded per rebalance against the previous one of the run.
 
     Every weight counts +w at its own rebalance and -w at the next one; one
     grouped sum per name replaces a join of neighbouring rebalances.
     """
-    steps = holdings.select(*by, "exec_date").distinct().withColumn(
-        "next_exec", F.lead("exec_date").over(Window.partitionBy(*by).orderBy("exec_date"))
-    )
     linked = holdings.join(steps, by + ["exec_date"])
     moves = linked.select(*by, "security_id", F.explode(F.array(
         F.struct(F.col("exec_date").alias("d"), F.col("weight").alias("x")),
@@ -40,56 +37,91 @@ def rebalance_turnover(holdings: DataFrame, by: list[str]) -> DataFrame:
     net = moves.groupBy(*by, F.col("m.d").alias("exec_date"), "security_id").agg(F.sum("m.x").alias("x"))
     return net.groupBy(*by, "exec_date").agg(
         F.sum(F.greatest("x", F.lit(0.0))).alias("bought"), F.sum(F.greatest(-F.col("x"), F.lit(0.0))).alias("sold"),
+        F.count_if(F.abs("x") > 1e-12).alias("n_fills"),
     ).withColumn("turnover", F.col("bought") + F.col("sold"))
 
 
-def held_days(holdings: DataFrame, by: list[str], last_day: dt.date | None = None) -> DataFrame:
-    """Each weight repeated for the dates it is held: from its rebalance to the next one."""
-    w = Window.partitionBy(*by).orderBy("exec_date")
-    until = F.coalesce(F.date_sub(F.lead("exec_date").over(w), 1), F.lit(last_day) if last_day else F.col("exec_date"))
-    spans = holdings.select(*by, "exec_date").distinct().withColumn("until", until)
-    return holdings.join(spans, by + ["exec_date"]).where("until >= exec_date").select(
-        *by, "security_id", "weight", F.explode(F.sequence("exec_date", "until")).alias("trade_date")
+def rebalances(acting: DataFrame, by: list[str]) -> DataFrame:
+    """Every rebalance of a run with the next one, whether or not anything could be bought."""
+    return acting.select(*by, "exec_date").distinct().withColumn(
+        "next_exec", F.lead("exec_date").over(Window.partitionBy(*by).orderBy("exec_date"))
     )
 
 
-def portfolio_series(weights: DataFrame, returns: DataFrame, execution: DataFrame, calendar: DataFrame, *,
-                     by: list[str], costs: tr.Costs = tr.Costs(), last_day: dt.date | None = None) -> DataFrame:
+def held_days(steps: DataFrame, calendar: DataFrame, by: list[str], last_day: dt.date | None = None) -> DataFrame:
+    """Open days from each rebalance up to the next one; the last one is held to `last_day`, by default the last open day."""
+    opened = open_days(calendar, end=last_day)
+    if (last := opened.agg(F.max("trade_date")).first()[0]) is None:
+        return steps.select(*by, "exec_date", F.col("exec_date").alias("trade_date")).limit(0)
+    past = F.lit(last + dt.timedelta(days=1))
+    until = steps.where(F.col("exec_date") < past).select(
+        *by, "exec_date", F.least(F.coalesce("next_exec", past), past).alias("until")
+    )
+    days = until.select(*by, "exec_date", F.explode(F.sequence("exec_date", F.date_sub("until", 1))).alias("trade_date"))
+    return days.join(F.broadcast(opened), "trade_date")
+
+
+def portfolio_series(weights: DataFrame, returns: DataFrame, execution: DataFrame, calendar: DataFrame, *, by: list[str],
+                     costs: tr.Costs = tr.Costs(), last_day: dt.date | None = None, mode: str = "next_open") -> DataFrame:
     """Daily return, turnover and net value per run from close-of-day weights.
 
-    weights: by..., trade_date, security_id, weight. A weight acts on the next
-    open day; names that cannot be bought there stay in cash. Costs are
-    commission and slippage on the traded weight and stamp tax on the sold one.
+    weights: by..., trade_date, security_id, weight. A weight acts on the next open day, at the open (or, with `next_close`, the close).
+    That day it earns the move from its price to the close, and the weight it replaces the move from the previous close to that price;
+    on later days it earns the whole return, 0 where the name has no bar. Names that cannot be bought stay in cash. `n_rejects` counts those
+    and names to be sold that could not be. Costs are commission and slippage on the traded weight and stamp tax on the sold one.
     """
-    acting, _ = take_effect(weights, calendar)
-    blocked = execution.select(
-        "security_id", F.col("trade_date").alias("exec_date"),
-        tr.buy_block(F.col("open"), F.col("close"), F.col("up_limit"), F.col("suspended")).alias("reason"),
+    if mode not in ("next_open", "next_close"):
+        raise ValueError(f"unknown execution mode {mode!r}")
+    acting = take_effect(weights, calendar)[0].drop("trade_date")
+    mark = F.col("mark") if "mark" in execution.columns else F.col("close")
+    inside = F.coalesce(F.try_divide(mark, F.col("open")), F.lit(1.0)) if mode == "next_open" else F.lit(1.0)
+    met = execution.select(
+        "security_id", F.col("trade_date").alias("exec_date"), inside.alias("inside"),
+        tr.buy_block(F.col("open"), F.col("close"), F.col("up_limit"), F.col("suspended")).alias("no_buy"),
+        tr.sell_block(F.col("open"), F.col("close"), F.col("down_limit"), F.col("suspended")).alias("no_sell"), F.lit(True).alias("bar"),
     )
-    # Turnover, holding spans and earnings all read the holdings: compute them once.
-    holdings = durable(acting.drop("trade_date").join(blocked, ["security_id", "exec_date"]).where("reason is null").select(
-        *by, "exec_date", "security_id", "weight"
+    keys = ["security_id", "exec_date"]
+    # Turnover, holding spans, earnings and rejects all read the screened weights: compute them once.
+    placed = durable(acting.join(met.drop("no_sell"), keys, "left").select(
+        *by, *keys, "weight", "inside", (F.col("bar").isNotNull() & F.col("no_buy").isNull()).alias("bought"),
     ))
-    traded = rebalance_turnover(holdings, by).withColumnRenamed("exec_date", "trade_date")
-    earned = held_days(holdings, by, last_day).join(returns.select("security_id", "trade_date", "ret"),
-                                                    ["security_id", "trade_date"])
-    daily = earned.groupBy(*by, "trade_date").agg(
-        F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"),
-        (1.0 - F.sum("weight")).alias("cash_ratio"), F.count("*").alias("n_positions"),
+    steps = rebalances(placed, by)
+    holdings = placed.where("bought").drop("bought")
+    traded = rebalance_turnover(holdings.drop("inside"), steps, by).withColumnRenamed("exec_date", "trade_date")
+    own = returns.select("security_id", "trade_date", "ret")
+    days = held_days(steps, calendar, by, last_day)
+    whole = F.coalesce("ret", F.lit(0.0))
+    held = days.join(holdings, by + ["exec_date"]).join(own, ["security_id", "trade_date"], "left").select(
+        *by, "trade_date", "weight", (F.col("weight") * F.when(F.col("trade_date") == F.col("exec_date"), F.col("inside") - 1).otherwise(whole)).alias("x"), F.lit(1).alias("n"),
+    )
+    closed = holdings.drop("inside").join(steps.where("next_exec is not null"), by + ["exec_date"]).drop("exec_date").withColumnRenamed("next_exec", "exec_date")
+    left = closed.join(met.drop("no_buy"), keys, "left").join(own.withColumnRenamed("trade_date", "exec_date"), keys, "left").select(
+        *by, F.col("exec_date").alias("trade_date"), F.lit(0.0).alias("weight"),
+        (F.col("weight") * (F.coalesce(F.try_divide(1 + whole, F.col("inside")), F.lit(1.0)) - 1)).alias("x"), F.lit(0).alias("n"),
     )
-    rate = costs.commission_rate + costs.slippage_bps / 10_000.0
-    cost = F.col("turnover") * rate + F.col("sold") * costs.stamp_tax
-    series = daily.join(traded, by + ["trade_date"], "left").fillna(0.0, ["turnover", "bought", "sold"]).select(
-        *by, "trade_date", "gross", "cash_ratio", "n_positions", "turnover", cost.alias("cost"),
-        (F.col("gross") - cost).alias("ret"),
+    daily = held.unionByName(left).groupBy(*by, "trade_date").agg(
+        F.sum("x").alias("gross"), F.sum("weight").alias("held"), F.sum("n").alias("n_positions"),
     )
-    return with_nav(series, by)
+    unsold = closed.join(placed.select(*by, *keys), by + keys, "left_anti").join(met, keys, "left").where("bar is null or no_sell is not null")
+    rejects = placed.where("not bought").select(*by, "exec_date").unionByName(unsold.select(*by, "exec_date")).groupBy(*by, "exec_date").agg(
+        F.count("*").alias("n_rejects")
+    ).withColumnRenamed("exec_date", "trade_date")
+    series = days.select(*by, "trade_date").join(daily, by + ["trade_date"], "left").join(traded, by + ["trade_date"], "left").join(
+        rejects, by + ["trade_date"], "left"
+    ).fillna(0.0, ["gross", "held", "turnover", "bought", "sold"]).fillna(0, ["n_positions", "n_fills", "n_rejects"])
+    cost = F.col("turnover") * (costs.commission_rate + costs.slippage_bps / 10_000.0) + F.col("sold") * costs.stamp_tax
+    return with_nav(series.select(
+        *by, "trade_date", "gross", (1.0 - F.col("held")).alias("cash_ratio"), "n_positions", "turnover", cost.alias("cost"),
+        (F.col("gross") - cost).alias("ret"), "n_fills", "n_rejects",
+    ), by)
 
 
 def with_nav(series: DataFrame, by: list[str]) -> DataFrame:
-    """Compound returns into a net value."""
+    """Compound returns into a net value; a return of -1 or less ends it at 0."""
     w = _by_day(by).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w)))
+    alive = F.coalesce(F.min("ret").over(w) > -1, F.lit(True))
+    growth = F.exp(F.sum(F.log1p(F.when(F.col("ret") > -1, F.col("ret")))).over(w))
+    return series.withColumn("nav", F.when(alive, growth).otherwise(0.0))
 
 
 def rebased(series: DataFrame, by: list[str]) -> DataFrame:
@@ -119,7 +151,7 @@ def metrics(series: DataFrame, by: list[str]) -> DataFrame:
     own = "ret" in series.columns
     prev = F.lag("nav").over(_by_day(by))
     ret = v.finite_or_null(F.col("ret") if own else F.try_divide(F.col("nav"), prev) - 1)
-    optional = {c: (F.col(c) if c in series.columns else F.lit(None).cast("double")) for c in ("turnover", "cash_ratio")}
+    optional = {c: (F.col(c) if c in series.columns else F.lit(None).cast("double")) for c in ("turnover", "cash_ratio", "n_fills", "n_rejects")}
     rows = drawdowns(series, by).select(*by, "trade_date", "nav", ret.alias("__r"), "drawdown",
                                         *[c.alias(k) for k, c in optional.items()])
     g = rows.groupBy(*by).agg(
@@ -127,6 +159,7 @@ def metrics(series: DataFrame, by: list[str]) -> DataFrame:
         F.count("__r").alias("n"), F.stddev_samp("__r").alias("sd"), F.min("drawdown").alias("max_drawdown"),
         F.avg("turnover").alias("turnover"), F.avg("cash_ratio").alias("avg_cash"),
         F.avg(F.when(F.col("__r").isNotNull(), (F.col("__r") > 0).cast("double"))).alias("hit_ratio"),
+        F.sum("n_fills").alias("n_fills"), F.sum("n_rejects").alias("n_rejects"),
     )
     total = F.when((F.col("nav0") > 0) & v.is_finite(F.col("nav1")), F.col("nav1") / F.col("nav0") - 1)
     out = g.withColumn("total_return", total).withColumn(
@@ -138,7 +171,7 @@ def metrics(series: DataFrame, by: list[str]) -> DataFrame:
         F.when(F.col("ann_vol") > 0, F.col("ann_return") / F.col("ann_vol")).alias("sharpe"),
         "max_drawdown",
         F.when(F.col("max_drawdown") < 0, F.col("ann_return") / F.abs("max_drawdown")).alias("calmar"),
-        "turnover", "avg_cash", "hit_ratio",
+        "turnover", "avg_cash", "hit_ratio", "n_fills", "n_rejects",
     )
 
 

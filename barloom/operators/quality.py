@@ -15,12 +15,12 @@ from barloom import rules
 from barloom.functions import market as mk, symbols as sy, values as v
 from barloom.operators import asof, ranking
 from barloom.operators.calendar import link
+from barloom.operators.scd2 import current_listing
 from barloom.operators.prices import by_security, post_close
 
 HARD, SOFT = "hard", "soft"
 MAX_MOVE = 0.21
 LIMIT_TOLERANCE = 0.011
-SAMPLE = 200
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def adjusted_moves(t: Tables) -> DataFrame:
     before = px.withColumns({"p0": F.lag("px").over(w), "__d": F.lag("trade_date").over(w)})
     return (
         link(before, t.calendar, "prev_open", "prev_day").where("__d = prev_day")
-        .join(t.master.select("security_id", "exchange_code", "board", "list_date"), "security_id")
+        .join(current_listing(t.master, "exchange_code", "board", "list_date"), "security_id")
         .withColumn("adj_ret", F.try_divide("px", F.nullif("p0", F.lit(0.0))) - 1)
     )
 
@@ -123,7 +123,7 @@ def limit_mismatches(t: Tables, *, sample: int | None = None) -> DataFrame:
     )
     if sample:
         rows = ranking.top_n(rows, ["trade_date"], [F.xxhash64("security_id", "trade_date"), F.col("security_id")], sample)
-    listed = t.master.select("security_id", "exchange_code", "board", "list_date")
+    listed = current_listing(t.master, "exchange_code", "board", "list_date")
     board = sy.board_or_inferred(F.col("board"), F.col("exchange_code"))
     rows = rows.join(listed, "security_id").withColumn("board", board)
     new = mk.in_no_limit_window(F.col("trade_date"), F.col("list_date"), F.col("board"))
@@ -135,7 +135,8 @@ def limit_mismatches(t: Tables, *, sample: int | None = None) -> DataFrame:
 
 
 @rule("limit_prices", HARD)
-def limit_prices(t: Tables, *, sample: int | None = SAMPLE) -> DataFrame:
+def limit_prices(t: Tables, *, sample: int | None = None) -> DataFrame:
+    """Stored limits against recomputed ones, of every bar of a day (`sample` checks so many a day)."""
     rows = limit_mismatches(t, sample=sample)
     found = rows.groupBy("trade_date").agg(
         F.count("*").alias("seen"), F.count_if(~F.col("exempt")).alias("checked"), F.count_if("mismatch").alias("bad")
@@ -177,7 +178,7 @@ def cross_source(t: Tables, *, tol: float = 0.01) -> DataFrame:
     days = bar_counts(t.bars).select("trade_date")
     if t.second_source is None:
         return days.select("trade_date", F.lit(True).alias("passed"), F.lit("no second source").alias("message"))
-    coded = t.bars.join(t.master.select("security_id", "exchange_code"), "security_id") if (
+    coded = t.bars.join(current_listing(t.master, "exchange_code"), "security_id") if (
         "exchange_code" not in t.bars.columns) else t.bars
     found = source_differences(coded, t.second_source, tol=tol).where("side = 'both'").groupBy("trade_date").agg(
         F.count("*").alias("seen"), F.count_if("differs").alias("bad")

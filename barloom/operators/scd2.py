@@ -101,3 +101,11 @@ def merge_intervals(spans: DataFrame, key: list[str]) -> DataFrame:
     return grouped.groupBy(*key, "grp").agg(
         F.min("in_date").alias("in_date"), F.max("out_date").alias("out_date")
     ).drop("grp")
+
+
+def current_listing(master: DataFrame, *columns: str) -> DataFrame:
+    """One row per security with the columns of its newest master row, whatever history the master holds."""
+    if "valid_from" not in master.columns:
+        return master.select("security_id", *columns).dropDuplicates(["security_id"])
+    newest = master.groupBy("security_id").agg(F.max_by(F.struct(*columns), "valid_from").alias("r"))
+    return newest.select("security_id", *[F.col("r")[c].alias(c) for c in columns])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom import rules
 from barloom.functions import market as mk, trading as tr, values as v
 from barloom.operators import asof, orders as od, performance as pf, prices as pr, weights as wt
+from barloom.operators.scd2 import current_listing
 
 ALL = ("ALL", "*", "all")
 
@@ -63,7 +64,7 @@ def universe(bars: DataFrame, master: DataFrame, *, index_code: str = "ALL", mem
     without a bar. Days after the pinned version are empty.
     """
     check_filters(filters)
-    listed = master.select("security_id", "exchange_code", "list_date").dropDuplicates(["security_id"])
+    listed = current_listing(master, "exchange_code", "list_date")
     facts = _in_range(bars, start, end, version).select("security_id", "trade_date", *[
         c for c in ("is_st", "is_suspended", "close", "up_limit") if c in bars.columns
     ])
@@ -87,7 +88,7 @@ def get_price(bars: DataFrame, master: DataFrame, *, codes: DataFrame | None = N
               end: dt.date | None = None, adjust: str = "post", fields: tuple[str, ...] = ("open", "high", "low", "close", "volume"),
               version: str | None = None) -> DataFrame:
     """Adjusted bars of the asked codes (a frame of exchange_code; None = all) in a range."""
-    listed = master.select("security_id", "exchange_code")
+    listed = current_listing(master, "exchange_code")
     if codes is not None:
         listed = listed.join(codes.select("exchange_code").distinct(), "exchange_code", "left_semi")
     rows = pr.adjusted(_in_range(bars, start, end, version), adjust).join(listed, "security_id")
@@ -100,19 +101,19 @@ def get_factor(factors: DataFrame, master: DataFrame, name: str, *, start: dt.da
     rows = _in_range(
         factors.where((F.col("factor_name") == name) & (F.col("version") == factor_version)), start, end, version
     ).select("trade_date", "security_id", "value")
-    return rows.join(master.select("security_id", "exchange_code"), "security_id", "left") if with_code else rows
+    return rows.join(current_listing(master, "exchange_code"), "security_id", "left") if with_code else rows
 
 
 def get_industry(industry: DataFrame, master: DataFrame, day: dt.date, level: str = "sw_l1") -> DataFrame:
     if level not in ("sw_l1", "sw_l2"):
         raise ValueError("level must be sw_l1 or sw_l2")
-    coded = industry.join(master.select("security_id", "exchange_code"), "security_id")
+    coded = industry.join(current_listing(master, "exchange_code"), "security_id")
     return asof.attribute_on(coded, level, day)
 
 
 def get_fundamental(statements: DataFrame, master: DataFrame, item: str, day: dt.date, *, version: str | None = None) -> DataFrame:
     seen = asof.visible_item(statements, item, clamp(day, version))
-    return seen.join(master.select("security_id", "exchange_code"), "security_id").select("exchange_code", "value")
+    return seen.join(current_listing(master, "exchange_code"), "security_id").select("exchange_code", "value")
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,7 @@ def panel(bars: DataFrame, factors: DataFrame, master: DataFrame, spec: Spec, *,
     if spec.universe not in ALL:
         spans = members.where(F.col("index_code") == spec.universe).select("security_id", "in_date", "out_date")
         rows = asof.inside_interval(rows, spans, ["security_id"])
-    listed = master.select("security_id", "exchange_code", "list_date")
+    listed = current_listing(master, "exchange_code", "list_date")
     priced = rows.join(listed.withColumnRenamed("exchange_code", "code"), "security_id").where(
         filter_test(spec.filters)
     ).select("security_id", "trade_date", F.col("code").alias("exchange_code"), F.col("adj_close").alias("close"))
@@ -238,7 +239,7 @@ def quotes_of(bars: DataFrame, master: DataFrame, day: dt.date | None = None) ->
     rows = bars.where(F.col("trade_date") == F.lit(day)) if day is not None else bars.groupBy("security_id").agg(
         F.max_by(F.struct(*[c for c in bars.columns if c != "security_id"]), "trade_date").alias("r")
     ).select("security_id", "r.*")
-    coded = rows if "exchange_code" in rows.columns else rows.join(master.select("security_id", "exchange_code"), "security_id")
+    coded = rows if "exchange_code" in rows.columns else rows.join(current_listing(master, "exchange_code"), "security_id")
     return coded.select(
         "exchange_code", F.col("close").alias("price"), "pre_close", "open", "high", "low", "volume", "amount",
         "up_limit", "down_limit", "is_suspended", "is_st", F.col("close").alias("bid"), F.col("close").alias("ask"),

@@ -110,3 +110,9 @@ TAGS = {
     "not_tradable": "不可交易",
     "trade_with_care": "交易谨慎",
 }
+
+# fixed values (columns of the indicator payload, in order)
+PAYLOAD = (
+    "trade_date", "open", "high", "low", "close", "volume", "ma5", "ma10",
+    "boll_mid", "boll_upper", "boll_lower", "dif", "dea", "macd_hist", "k", "d", "j",
+)

@@ -28,11 +28,13 @@ def local_session(name: str = "barloom", cores: str = "*", **conf: str) -> Spark
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediates: the cluster's `spark.checkpoint.dir`.
 
-    Only where that is unset (tests, one machine) a temporary folder is made,
-    once per Spark context.
+    Only where that is unset on one machine (tests) a temporary folder is made, once per Spark context; on a cluster,
+    whose executors don't share such a folder, its lack is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
     return folder or context.getCheckpointDir()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from barloom import rules
 from barloom.functions import values as v
 from barloom.schemas import LANDED, conform, landed
+from barloom.session import durable
 
 
 def dataset_path(root: str, dataset: str) -> str:
@@ -53,19 +54,22 @@ def write_raw(df: DataFrame, root: str, dataset: str, *, source: str | None = No
         rows = df.drop("source", "dt")
         if not rows.columns:
             raise ValueError(f"refusing to land a frame without columns: {dataset}")
-        rows.write.mode("overwrite").parquet(f"{dataset_path(root, dataset)}/source={source}/dt={day}")
+        path = f"{dataset_path(root, dataset)}/source={source}/dt={day}"
+        rows.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)  # what the manifest says is about what was written
         written = spark.createDataFrame([(source, day)], "source string, dt string")
-        counts = rows.agg(F.count("*").alias("rows"), F.coalesce(v.content_print(rows), F.lit(0)).alias("fingerprint"))
+        counts = rows.agg(F.count("*").alias("rows"), v.content_print(rows).alias("fingerprint"))
         entry = written.select("*", counts.select(F.struct("*")).scalar().alias("c")).select("source", "dt", "c.*")
     else:
-        named = df.withColumn("source", F.lit(source)) if source is not None else df
+        # computed once: the partitions and their manifest lines come from the same rows
+        named = durable(df.withColumn("source", F.lit(source)) if source is not None else df)
         (
             named.hint("rebalance", "source", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("source", "dt").parquet(dataset_path(root, dataset))
         )
         body = [c for c in named.columns if c not in ("source", "dt")]
         entry = named.groupBy("source", F.col("dt").cast("string").alias("dt")).agg(
-            F.count("*").alias("rows"), F.bit_xor(F.xxhash64(F.struct(*body))).alias("fingerprint")
+            F.count("*").alias("rows"), v.print_of(*body).alias("fingerprint")
         )
     append_manifest(entry.withColumn("dataset", F.lit(dataset)), root)
 
@@ -102,11 +106,11 @@ def read_raw(spark: SparkSession, root: str, dataset: str, source: str, day: str
 def row_counts(spark: SparkSession, root: str, dataset: str, grid: DataFrame) -> DataFrame:
     """Rows per (source, dt) of the grid: null = never landed, 0 = landed empty.
 
-    Presence comes from the manifest, rows from the data.
+    Presence comes from the manifest, rows from the partitions: counting reads no column, only file footers.
     """
-    have = read_manifest(spark, root).where(F.col("dataset") == dataset).groupBy(
-        "source", F.to_date("dt").alias("dt")
-    ).agg(F.max_by("rows", "ts").alias("n"))
+    landed_days = read_manifest(spark, root).where(F.col("dataset") == dataset).select("source", F.to_date("dt").alias("dt")).distinct()
+    rows = scan(spark, root, dataset).groupBy("source", F.to_date("dt").alias("dt")).agg(F.count("*").alias("n"))
+    have = landed_days.join(rows, ["source", "dt"], "left").select("source", "dt", F.coalesce("n", F.lit(0)).alias("n"))
     return grid.select("source", "dt").join(have, ["source", "dt"], "left").withColumn("dataset", F.lit(dataset))
 
 

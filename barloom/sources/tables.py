@@ -155,7 +155,7 @@ def overwrite(df: DataFrame, root: str, name: str) -> None:
 
 
 def latest_rows(df: DataFrame, key: list[str], load_order: str = "load_ts") -> DataFrame:
-    """Replacing-table read: the last write per key wins (one partial aggregate, no sort)."""
+    """Replacing-table read: the last write per key wins (one aggregate; the rows of a key are reduced before the shuffle)."""
     rest = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), load_order).alias("__r")).select(*key, "__r.*")
 

@@ -19,6 +19,9 @@ def read_quotes(spark: SparkSession, path: str, *, schema: T.StructType | None =
     return reader.parquet(path)
 
 
+ONCE = {"availableNow": True}
+
+
 def latest_per_code(quotes: DataFrame, *, code: str = "exchange_code", ts: str = "snapshot_ts") -> DataFrame:
     """Newest quote per code; a snapshot that arrives late but is older changes nothing.
 
@@ -34,12 +37,13 @@ def _merge_latest(existing: DataFrame, batch: DataFrame, code: str, ts: str) ->
 
 
 def start_latest(quotes: DataFrame, table: str, checkpoint: str, *, code: str = "exchange_code",
-                 ts: str = "snapshot_ts") -> StreamingQuery:
+                 ts: str = "snapshot_ts", trigger: dict | None = None) -> StreamingQuery:
     """Keep the latest quote per code in a folder of versions `table/v=<batch>`.
 
     Update mode emits only changed codes; each batch merges them with the newest
     earlier version. A replayed batch rewrites its own version, so the sink is
-    idempotent. Versions older than the previous one are dropped.
+    idempotent. Versions older than the previous one are dropped. `trigger` as for a stream writer, e.g.
+    {"processingTime": "1 minute"}; by default it takes what is there and stops. Each batch writes one row per code anew.
     """
     columns = quotes.columns
 
@@ -56,7 +60,7 @@ def start_latest(quotes: DataFrame, table: str, checkpoint: str, *, code: str =
 
     return (
         latest_per_code(quotes, code=code, ts=ts).writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
     )
 
 
@@ -110,12 +114,13 @@ def window_bars(quotes: DataFrame, *, code: str, price: str, ts: str, size: str
     ).select(code, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume")
 
 
-def start_to_parquet(df: DataFrame, path: str, checkpoint: str, *, partition_by: list[str] | None = None) -> StreamingQuery:
-    """Append a stream to Parquet: everything available now, then stop; the checkpoint is the watermark."""
+def start_to_parquet(df: DataFrame, path: str, checkpoint: str, *, partition_by: list[str] | None = None,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to Parquet, by default everything available now, then stop; the checkpoint is the watermark."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**(trigger or ONCE)).start()
 
 
 def incremental(spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType, *,

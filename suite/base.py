@@ -3,7 +3,7 @@
 A query returns a DataFrame; `cols` names its output columns and their
 presentation, applied alike to the DataFrame and to the checking SQL:
 d = date as ISO text, i = whole number, s = text, b = boolean as 0/1,
-f = double as computed, fN = double rounded to N digits, l = text list joined by
+f = double as computed, fN = double rounded to N digits, rN = N significant digits as mantissa and exponent, l = text list joined by
 commas. Sums and means differ in the last bits with the order of addition, hence
 the rounding; a small nudge keeps values off exact halves, where the two engines'
 round functions disagree.
@@ -57,6 +57,11 @@ def _spark_out(c: str, t: str) -> Column:
         return col.cast("int").cast("bigint")
     if t == "l":
         return F.array_join(col, ",")
+    if t.startswith("r"):
+        x, n = col.cast("double"), int(t[1:])
+        e = F.floor(F.log10(F.abs(x)))
+        mantissa = F.round(x / F.pow(F.lit(10.0), e.cast("double")) + F.lit(float(_nudge(n))), n - 1)
+        return F.when(x == 0, "0").otherwise(F.concat(mantissa.cast("string"), F.lit("e"), e.cast("string")))
     if t.startswith("f"):
         x = col.cast("double")
         return F.round(x + F.lit(float(_nudge(int(t[1:])))), int(t[1:])) if t[1:] else x
@@ -70,6 +75,10 @@ def _sql_out(c: str, t: str) -> str:
         return f"cast({c} as bigint)"
     if t == "b":
         return f"cast(cast({c} as integer) as bigint)"
+    if t.startswith("r"):
+        n, x = int(t[1:]), f"cast({c} as double)"
+        e = f"cast(floor(log10(abs(nullif({x}, 0)))) as bigint)"
+        return f"case when {x} = 0 then '0' else cast(round({x} / pow(10.0::double, {e}) + cast({_nudge(n)} as double), {n - 1}) as varchar) || 'e' || cast({e} as varchar) end"
     if t.startswith("f"):
         n = t[1:]
         return f"round(cast({c} as double) + cast({_nudge(int(n))} as double), {n})" if n else f"cast({c} as double)"

@@ -235,17 +235,18 @@ def _(m):
     return out.withColumn("lag_days", F.date_diff("trade_date", "last_ann"))
 
 
-_NAV = """(select board, trade_date, ret, exp(sum(ln(1 + ret)) over (partition by board order by trade_date)) as nav from (
-    select l.board, trade_date, avg(ret) / 500 as ret from rets join listing l using (security_id) where ret is not null and ret < 1 group by 1, 2) a)"""
+_NAV = """(select board, trade_date, ret, case when min(ret) over w <= -1 then 0 else exp(sum(ln(case when ret > -1 then 1 + ret end)) over w) end as nav from (
+    select l.board, trade_date, avg(ret) as ret from rets join listing l using (security_id) where ret is not null group by 1, 2) a
+    window w as (partition by board order by trade_date))"""
 
 
 def _nav(m):
-    rets = pr.daily_returns(m.limited_bars).where("ret is not null and ret < 1")
-    daily = rets.groupBy("board", "trade_date").agg((F.avg("ret") / 500).alias("ret"))
+    rets = pr.daily_returns(m.limited_bars).where("ret is not null")
+    daily = rets.groupBy("board", "trade_date").agg(F.avg("ret").alias("ret"))
     return pf.with_nav(daily, ["board"])
 
 
-@query("A23_performance_metrics", "board:s total_return:f6 ann_return:f6 ann_vol:f8 sharpe:f6 max_drawdown:f8 calmar:f6 hit_ratio:f8", f"""
+@query("A23_performance_metrics", "board:s total_return:r6 ann_return:r6 ann_vol:r6 sharpe:r6 max_drawdown:f8 calmar:r6 hit_ratio:f8", f"""
     select board, total_return, ann as ann_return, vol as ann_vol, ann / vol as sharpe, mdd as max_drawdown, ann / abs(mdd) as calmar, hit as hit_ratio from (
       select board, nav1 / nav0 - 1 as total_return, pow(nav1 / nav0, 242.0::double / n) - 1 as ann, sd * sqrt(242.0::double) as vol, mdd, hit from (
         select board, arg_min(nav, trade_date) as nav0, arg_max(nav, trade_date) as nav1, count(ret) as n, stddev_samp(ret) as sd,
@@ -255,7 +256,7 @@ def _(m):
     return pf.metrics(_nav(m), ["board"])
 
 
-@query("A24_excess_metrics", "board:s excess_total:f6 excess_ann_vol:f8 excess_ann_return:f8 info_ratio:f6", f"""
+@query("A24_excess_metrics", "board:s excess_total:r6 excess_ann_vol:r6 excess_ann_return:r6 info_ratio:r6", f"""
     select board, product(1 + er) - 1 as excess_total, stddev_samp(er) * sqrt(242.0::double) as excess_ann_vol, avg(er) * 242 as excess_ann_return,
            avg(er) * 242 / (stddev_samp(er) * sqrt(242.0::double)) as info_ratio from (
       select s.board, s.r - b.ret as er from (select *, nav / lag(nav) over (partition by board order by trade_date) - 1 as r from {_NAV} x) s
@@ -307,7 +308,7 @@ def _(m):
     return od.compare_sessions(asked, known, pos, marks.join(on_last, "session_id", "left_semi"))
 
 
-@query("A27_metric_matrix", "run_id:s sharpe:f6 total_return:f6", f"""
+@query("A27_metric_matrix", "run_id:s sharpe:r6 total_return:r6", f"""
     select board as run_id, ann / vol as sharpe, total_return from (
       select board, nav1 / nav0 - 1 as total_return, pow(nav1 / nav0, 242.0::double / n) - 1 as ann, sd * sqrt(242.0::double) as vol from (
         select board, arg_min(nav, trade_date) as nav0, arg_max(nav, trade_date) as nav1, count(ret) as n, stddev_samp(ret) as sd from {_NAV} x group by 1) z) q""", "rets listing")

@@ -11,6 +11,7 @@ from barloom.operators import (
     quality as q, weights as wt,
 )
 from barloom.plans import build, operations as ops, research as rs
+from barloom.session import durable
 from suite.base import query
 from suite.counts import _COVERAGE, _MARKS, _TOP, _TRADE, _buckets_sql, _marked_tables, _top_weights
 
@@ -204,15 +205,34 @@ def _(m):
     return od.size_targets_capped(acting.select("exec_date", "security_id", "weight"), m.execution, equity=100_000_000.0, max_participation=0.1)
 
 
-_HOLD = f"""hold as (select c.next_open as d, w.security_id, weight from {_TOP} w join cal c on c.cal_date = w.trade_date
-      join exec e on e.security_id = w.security_id and e.trade_date = c.next_open
-      where c.next_open <> c.cal_date and not e.suspended and not (e.close >= e.up_limit * (1.0::double - 0.0001::double))),
-    steps as (select d, lead(d) over (order by d) as nd from (select distinct d from hold) z),
-    moves as (select d, sum(greatest(x, 0)) as bought, sum(greatest(-x, 0)) as sold from (
-      select d, security_id, sum(x) as x from (select d, security_id, weight as x from hold
-        union all select nd, security_id, -weight from hold join steps using (d) where nd is not null) a group by 1, 2) b group by 1),
-    earned as (select b.trade_date as d, sum(weight * coalesce(b.ret, 0)) as gross, 1 - sum(weight) as cash_ratio, count(*) as n_positions
-      from hold h join steps s using (d) join rets b on b.security_id = h.security_id and b.trade_date >= h.d and b.trade_date < coalesce(s.nd, h.d + 1) group by 1)"""
+def _run_sql(source, by):
+    """Steps of a portfolio run as SQL, ending in `daily`; written from the rules of the run, per `by` columns."""
+    cols, of = "".join(f"{x}, " for x in by), lambda t: "".join(f"{t}.{x}, " for x in by)
+    using, same = ", ".join([*by, "d"]), lambda a, b: "".join(f" and {a}.{x} = {b}.{x}" for x in by)
+    part = f"partition by {', '.join(by)} " if by else ""
+    return f"""acts as (select {cols}c.next_open as d, w.security_id, weight from {source} w join cal c on c.cal_date = w.trade_date where c.next_open <> c.cal_date),
+    met as (select a.*, e.mark / e.open as inside, e.security_id is null or e.suspended or e.close >= e.up_limit * (1.0::double - 0.0001::double) as no_buy
+      from acts a left join exec e on e.security_id = a.security_id and e.trade_date = a.d),
+    hold as (select * from met where not no_buy),
+    steps as (select *, lead(d) over ({part}order by d) as nd from (select distinct {cols}d from acts) z),
+    days as (select s.*, c.cal_date as day from steps s join cal c on c.is_open = 1 and c.cal_date >= s.d and (s.nd is null or c.cal_date < s.nd)),
+    moves as (select {cols}d, sum(greatest(x, 0)) as bought, sum(greatest(-x, 0)) as sold from (
+      select {cols}d, security_id, sum(x) as x from (select {cols}d, security_id, weight as x from hold
+        union all select {cols}nd, security_id, -weight from hold join steps using ({using}) where nd is not null) a group by all) b group by all),
+    held as (select {of('g')}g.day, weight, 1 as n, weight * case when g.day = g.d then h.inside - 1 else coalesce(b.ret, 0) end as x
+      from days g join hold h using ({using}) left join rets b on b.security_id = h.security_id and b.trade_date = g.day),
+    gone as (select {of('h')}s.nd as day, h.security_id, weight from hold h join steps s using ({using}) where s.nd is not null),
+    shut as (select {of('g')}g.day, 0 as weight, 0 as n, g.weight * (coalesce((1 + coalesce(b.ret, 0)) / (e.mark / e.open), 1) - 1) as x
+      from gone g left join rets b on b.security_id = g.security_id and b.trade_date = g.day left join exec e on e.security_id = g.security_id and e.trade_date = g.day),
+    earned as (select {cols}day, sum(x) as gross, sum(weight) as held, sum(n) as n_positions from (select * from held union all select * from shut) z group by all),
+    rejects as (select {cols}day, count(*) as n_rejects from (select {cols}d as day from met where no_buy
+      union all select {of('g')}g.day from gone g left join exec e on e.security_id = g.security_id and e.trade_date = g.day
+        where not exists (select 1 from acts a where a.security_id = g.security_id and a.d = g.day{same('a', 'g')})
+          and (e.security_id is null or e.suspended or e.close <= e.down_limit * (1.0::double + 0.0001::double))) z group by all),
+    daily as (select {of('g')}g.day, coalesce(gross, 0) as gross, 1 - coalesce(held, 0) as cash_ratio, coalesce(n_positions, 0) as n_positions,
+        coalesce(bought + sold, 0) as turnover, coalesce((bought + sold) * 0.0008::double + sold * 0.0005::double, 0) as cost, coalesce(n_rejects, 0) as n_rejects
+      from days g left join earned e on e.day = g.day{same('e', 'g')} left join moves m on m.d = g.day{same('m', 'g')}
+      left join rejects r on r.day = g.day{same('r', 'g')})"""
 
 
 def _series(m):
@@ -220,10 +240,8 @@ def _series(m):
     return pf.portfolio_series(_top_weights(m), rets, m.execution, m.calendar, by=["factor_name", "weight_method"])
 
 
-@query("C17_portfolio_series", "trade_date:d gross:f8 cash_ratio:f8 n_positions:i turnover:f8 cost:f8 ret:f8", f"""
-    with {_HOLD} select d as trade_date, gross, cash_ratio, n_positions, coalesce(bought + sold, 0) as turnover,
-      coalesce((bought + sold) * 0.0008::double + sold * 0.0005::double, 0) as cost, gross - coalesce((bought + sold) * 0.0008::double + sold * 0.0005::double, 0) as ret
-    from earned left join moves using (d)""", "fac listing cal exec rets")
+@query("C17_portfolio_series", "trade_date:d gross:f8 cash_ratio:f8 n_positions:i turnover:f8 cost:f8 ret:f8 n_rejects:i", f"""
+    with {_run_sql(_TOP, [])} select day as trade_date, gross, cash_ratio, n_positions, turnover, cost, gross - cost as ret, n_rejects from daily""", "fac listing cal exec rets")
 def _(m):
     return _series(m)
 
@@ -241,7 +259,6 @@ def _(m):
 
 
 def _cells(m):
-    # Moves above 20 % are left out: the curves are to stay positive.
     names = ["mom_20", "ep"]
     spec = rs.Spec(methods=_METHODS, top_n=10, factors=tuple(names))
     panel = rs.panel(m.limited_bars, m.factors(*names), m.master, spec, industry=m.industries)
@@ -249,7 +266,7 @@ def _cells(m):
     return weights, spec
 
 
-@query("C19_experiment_matrix", "factor_name:s weight_method:s status:s total_return:f6 turnover:f6 avg_cash:f6 hit_ratio:f6", f"""
+@query("C19_experiment_matrix", "factor_name:s weight_method:s status:s total_return:r6 turnover:f6 avg_cash:f6 hit_ratio:f6 n_rejects:i excess_total:r6 is_best:b", f"""
     with panel as (select f.trade_date, f.security_id, f.factor_name, l.exchange_code, f.value, coalesce(i.industry, 'UNKNOWN') as industry
         from fac f join bars b on b.security_id = f.security_id and b.trade_date = f.trade_date join master l on l.security_id = f.security_id
         left join inds i on i.security_id = f.security_id and i.in_date <= f.trade_date and i.out_date > f.trade_date
@@ -262,28 +279,25 @@ def _cells(m):
     w as (select factor_name, 'equal' as weight_method, trade_date, security_id, 1.0::double / dn as weight from r
       union all select factor_name, 'factor_rank', trade_date, security_id, dr / (dn * (dn + 1) / 2.0) from r
       union all select r.factor_name, 'industry_neutral', r.trade_date, security_id, ir / (ic * (ic + 1) / 2.0) / k.k from r join k using (factor_name, trade_date)),
-    hold as (select factor_name, weight_method, c.next_open as d, w.security_id, weight from w join cal c on c.cal_date = w.trade_date
-      join exec e on e.security_id = w.security_id and e.trade_date = c.next_open
-      where c.next_open <> c.cal_date and not e.suspended and not (e.close >= e.up_limit * (1.0::double - 0.0001::double))),
-    steps as (select *, lead(d) over (partition by factor_name, weight_method order by d) as nd from (select distinct factor_name, weight_method, d from hold) z),
-    moves as (select factor_name, weight_method, d, sum(greatest(x, 0)) as bought, sum(greatest(-x, 0)) as sold from (
-      select factor_name, weight_method, d, security_id, sum(x) as x from (select factor_name, weight_method, d, security_id, weight as x from hold
-        union all select factor_name, weight_method, nd, security_id, -weight from hold join steps using (factor_name, weight_method, d) where nd is not null) a group by 1, 2, 3, 4) b group by 1, 2, 3),
-    earned as (select factor_name, weight_method, b.trade_date as d, sum(weight * coalesce(least(greatest(b.ret, -0.2::double), 0.2::double), 0)) as gross, 1 - sum(weight) as cash_ratio
-      from hold h join steps s using (factor_name, weight_method, d) join rets b on b.security_id = h.security_id and b.trade_date >= h.d and b.trade_date < coalesce(s.nd, h.d + 1) group by 1, 2, 3),
-    daily as (select *, coalesce(bought + sold, 0) as turnover, gross - coalesce((bought + sold) * 0.0008::double + sold * 0.0005::double, 0) as ret
-      from earned left join moves using (factor_name, weight_method, d)),
-    nav as (select *, exp(sum(ln(1 + ret)) over (partition by factor_name, weight_method order by d)) as nav from daily)
-    select factor_name, weight_method, 'ok' as status, arg_max(nav, d) / arg_min(nav, d) - 1 as total_return, avg(turnover) as turnover, avg(cash_ratio) as avg_cash,
-           avg(case when ret > 0 then 1.0 else 0.0 end) as hit_ratio from nav group by 1, 2""", "fac bars master inds cal exec rets")
+    {_run_sql("w", ["factor_name", "weight_method"])},
+    nav as (select *, gross - cost as ret from daily),
+    curve as (select *, case when min(ret) over k <= -1 then 0 else exp(sum(ln(case when ret > -1 then 1 + ret end)) over k) end as nav from nav
+      window k as (partition by factor_name, weight_method order by day)),
+    peaks as (select *, max(nav) over (partition by factor_name, weight_method order by day) as peak, nav / lag(nav) over (partition by factor_name, weight_method order by day) - 1 as s from curve),
+    base as (select b.trade_date as day, avg(b.px / nullif(p.px, 0) - 1) as b from rets b join cal c on c.cal_date = b.trade_date join rets p on p.security_id = b.security_id and p.trade_date = c.prev_open
+      join members x on x.security_id = b.security_id and x.in_date <= b.trade_date and x.out_date > b.trade_date where c.prev_open <> c.cal_date group by 1),
+    ex as (select factor_name, weight_method, product(1 + s - b) - 1 as excess_total from peaks join base using (day) where s is not null and b is not null group by 1, 2 having count(*) >= 2),
+    figures as (select factor_name, weight_method, arg_max(nav, day) / arg_min(nav, day) - 1 as total_return, avg(turnover) as turnover, avg(cash_ratio) as avg_cash,
+      avg(case when ret > 0 then 1.0 else 0.0 end) as hit_ratio, sum(n_rejects) as n_rejects from peaks group by 1, 2)
+    select f.*, 'ok' as status, excess_total, rank() over (order by hit_ratio desc nulls last, factor_name, weight_method) = 1 as is_best
+    from figures f left join ex using (factor_name, weight_method)""", "fac bars master inds cal exec rets members")
 def _(m):
     weights, _ = _cells(m)
-    by = ["factor_name", "weight_method"]
-    rets = pr.daily_returns(m.bars).select("security_id", "trade_date", F.greatest(F.least("ret", F.lit(0.2)), F.lit(-0.2)).alias("ret"))
-    rets = rets.where("ret is not null")
-    grid = rs.cells(["mom_20", "ep"], list(_METHODS), m.spark)
-    out = pf.metrics(pf.portfolio_series(weights, rets, m.execution, m.calendar, by=by), by).withColumn("status", F.lit("ok"))
-    return rs.with_failed_cells(grid, out)
+    benchmark = pr.member_equal_returns(m.bars, m.members, m.calendar)
+    out = rs.experiment(weights, m.bars, m.execution, m.calendar, benchmark=benchmark)
+    summary = durable(rs.with_failed_cells(rs.cells(["mom_20", "ep"], list(_METHODS), m.spark), out))
+    best = rs.best_cell(summary, "hit_ratio").select("factor_name", "weight_method", F.lit(True).alias("is_best"))
+    return summary.join(best, ["factor_name", "weight_method"], "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))
 
 
 @query("C20_factor_monitor", "trade_date:d factor_name:s level:s coverage:f8", f"""

@@ -204,10 +204,12 @@ def _(m):
     return wt.select_names(panel, ["trade_date"], 5)
 
 
-@query("L05_hash_sample", "trade_date:d n:i", "select trade_date, least(count(*), 12) as n from bars0 group by 1", "bars0")
+@query("L05_hash_sample", "trade_date:d security_id:i", """
+    select trade_date, security_id from bars0
+    qualify row_number() over (partition by trade_date order by md5(security_id || '|' || strftime(trade_date, '%Y-%m-%d')), security_id) <= 12""", "bars0")
 def _(m):
-    pick = [F.xxhash64("security_id", "trade_date"), F.col("security_id")]
-    return ranking.top_n(m.raw_bars, ["trade_date"], pick, 12).groupBy("trade_date").agg(F.count("*").alias("n"))
+    key = F.md5(F.concat_ws("|", F.col("security_id").cast("string"), F.date_format("trade_date", "yyyy-MM-dd")))
+    return ranking.top_n(m.raw_bars, ["trade_date"], [key, F.col("security_id")], 12)
 
 
 @query("L06_best_cell", "board:s year:i sharpe:f6", """

@@ -123,13 +123,14 @@ def _(m):
 
 def _pseudo_nav(m):
     """Equal-weight market curve per board, from the bars."""
-    rets = pr.daily_returns(m.limited_bars).where("ret is not null and ret < 1")
+    rets = pr.daily_returns(m.limited_bars).where("ret is not null")
     daily = rets.groupBy("board", "trade_date").agg(F.avg("ret").alias("ret"))
     return pf.with_nav(daily, ["board"])
 
 
-_NAV = """(select board, trade_date, ret, exp(sum(ln(1 + ret)) over (partition by board order by trade_date)) as nav from (
-    select l.board, trade_date, avg(ret) as ret from rets join listing l using (security_id) where ret is not null and ret < 1 group by 1, 2) a)"""
+_NAV = """(select board, trade_date, ret, case when min(ret) over w <= -1 then 0 else exp(sum(ln(case when ret > -1 then 1 + ret end)) over w) end as nav from (
+    select l.board, trade_date, avg(ret) as ret from rets join listing l using (security_id) where ret is not null group by 1, 2) a
+    window w as (partition by board order by trade_date))"""
 
 
 @query("W11_drawdown", "board:s trade_date:d drawdown:f6", f"""
@@ -258,12 +259,10 @@ def _(m):
     select cast(d as date) as trade_date from (select unnest(generate_series(a, b, interval 1 day)) as d
       from (select min(trade_date) as a, max(trade_date) as b from bars0) s) t where isodow(d) <= 5""", "bars0")
 def _(m):
-    span = m.raw_bars.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
-    every = span.select(F.explode(F.sequence("a", "b")).alias("trade_date"))
-    return every.where(cal.weekday_filter(F.col("trade_date")))
+    return cal.weekdays(m.spark, *m.raw_bars.agg(F.min("trade_date"), F.max("trade_date")).first())
 
 
-@query("W23_rebased", "board:s trade_date:d rebased:f6", f"""
+@query("W23_rebased", "board:s trade_date:d rebased:r6", f"""
     select board, trade_date, nav / first_value(nav) over (partition by board order by trade_date) as rebased from {_NAV} n""", "rets listing")
 def _(m):
     return pf.rebased(_pseudo_nav(m), ["board"])

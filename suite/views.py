@@ -7,7 +7,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "px": ("", """
         select l_suppkey as security_id, cast(l_shipdate as date) as trade_date, l_orderkey, l_linenumber,
                l_quantity, l_extendedprice, l_discount, l_partkey, l_extendedprice / l_quantity as p
-        from lineitem where isodow(l_shipdate) <= 5"""),
+        from lineitem"""),
     "bars0": ("px", """
         select security_id, trade_date,
                arg_min(p, row(l_orderkey, l_linenumber, l_extendedprice, l_quantity)) as open, max(p) as high, min(p) as low,

@@ -97,7 +97,7 @@ def test_excess_metrics(spark):
 
 
 def test_portfolio_series_by_hand(spark):
-    """Two names, one of them not buyable on its day; the last day's weights are dropped."""
+    """Two names, one of them not buyable on its day; the last day's weights are dropped, the last holding is held to the end."""
     calendar = cal.build(spark.createDataFrame([(d, 1) for d in DAYS], "cal_date date, is_open int"))
     weights = spark.createDataFrame([("r", DAYS[0], 1, 0.6), ("r", DAYS[0], 2, 0.4), ("r", DAYS[1], 1, 1.0), ("r", DAYS[3], 2, 1.0)],
                                     "run string, trade_date date, security_id int, weight double")
@@ -105,13 +105,48 @@ def test_portfolio_series_by_hand(spark):
     execution = spark.createDataFrame([(s, d, 10.0, 10.0, 11.0, 9.0, s == 2) for s in (1, 2) for d in DAYS],
                                       "security_id int, trade_date date, open double, close double, up_limit double, down_limit double, suspended boolean")
     out = pf.portfolio_series(weights, returns, execution, calendar, by=["run"], costs=tr.NO_COSTS).orderBy("trade_date").collect()
-    assert [(r["trade_date"], round(r["gross"], 6), round(r["turnover"], 6), round(r["cash_ratio"], 6)) for r in out] == [
-        (DAYS[1], 0.012, 0.6, 0.4), (DAYS[2], 0.03, 0.4, 0.0)]
-    assert out[-1]["nav"] == pytest.approx(1.012 * 1.03)
+    assert [(r["trade_date"], round(r["gross"], 6), round(r["turnover"], 6), round(r["cash_ratio"], 6), r["n_positions"], r["n_fills"], r["n_rejects"]) for r in out] == [
+        (DAYS[1], 0.0, 0.6, 0.4, 1, 1, 1), (DAYS[2], 0.018, 0.4, 0.0, 1, 1, 0), (DAYS[3], 0.04, 0.0, 0.0, 1, 0, 0)]
+    assert out[-1]["nav"] == pytest.approx(1.018 * 1.04)
+    late = pf.portfolio_series(weights, returns, execution, calendar, by=["run"], costs=tr.NO_COSTS, last_day=DAYS[2]).collect()
+    assert len(late) == 2
     costly = pf.portfolio_series(weights, returns, execution, calendar, by=["run"]).orderBy("trade_date").first()
     assert costly["cost"] == pytest.approx(0.6 * 0.0008)
 
 
+def test_entry_day_and_names_without_a_bar(spark):
+    """Close 10, next open 20, close 20: nothing is earned before the purchase. A name without a bar stays held at return 0."""
+    calendar = cal.build(spark.createDataFrame([(d, 1) for d in DAYS], "cal_date date, is_open int"))
+    weights = spark.createDataFrame([("r", DAYS[0], 1, 0.5), ("r", DAYS[0], 2, 0.5)], "run string, trade_date date, security_id int, weight double")
+    prices = [(1, DAYS[0], 10.0, 10.0), (1, DAYS[1], 20.0, 20.0), (1, DAYS[3], 20.0, 22.0), (2, DAYS[0], 5.0, 5.0), (2, DAYS[1], 5.0, 6.0)]
+    execution = spark.createDataFrame([(s, d, o, c, 0.0, 0.0, False, c) for s, d, o, c in prices],
+                                      "security_id int, trade_date date, open double, close double, up_limit double, down_limit double, suspended boolean, mark double")
+    returns = spark.createDataFrame([(1, DAYS[1], 1.0), (1, DAYS[3], 0.1), (2, DAYS[1], 0.2)], "security_id int, trade_date date, ret double")
+    args = weights, returns, execution, calendar
+    out = pf.portfolio_series(*args, by=["run"], costs=tr.NO_COSTS).orderBy("trade_date").collect()
+    assert [(round(r["gross"], 9), r["n_positions"], r["cash_ratio"]) for r in out] == [(0.1, 2, 0.0), (0.0, 2, 0.0), (0.05, 2, 0.0)]
+    at_close = pf.portfolio_series(*args, by=["run"], costs=tr.NO_COSTS, mode="next_close").orderBy("trade_date").first()
+    assert at_close["gross"] == 0.0
+
+
+def test_unsold_names_are_rejects(spark):
+    calendar = cal.build(spark.createDataFrame([(d, 1) for d in DAYS], "cal_date date, is_open int"))
+    weights = spark.createDataFrame([("r", DAYS[0], 1, 1.0), ("r", DAYS[1], 2, 1.0)], "run string, trade_date date, security_id int, weight double")
+    execution = spark.createDataFrame([(s, d, 10.0, 10.0, 11.0, 9.0, s == 1 and d == DAYS[2]) for s in (1, 2) for d in DAYS],
+                                      "security_id int, trade_date date, open double, close double, up_limit double, down_limit double, suspended boolean")
+    returns = spark.createDataFrame([], "security_id int, trade_date date, ret double")
+    series = pf.portfolio_series(weights, returns, execution, calendar, by=["run"])
+    assert [r["n_rejects"] for r in series.orderBy("trade_date").collect()] == [0, 1, 0]
+    figures = pf.metrics(series, ["run"]).first()
+    assert (figures["n_fills"], figures["n_rejects"]) == (3, 1)
+
+
+def test_net_value_after_a_total_loss(spark):
+    rows = [("r", D + dt.timedelta(days=i), x) for i, x in enumerate((0.1, -1.0, -1.2, 0.05))]
+    nav = pf.with_nav(spark.createDataFrame(rows, "run string, trade_date date, ret double"), ["run"]).orderBy("trade_date").collect()
+    assert [round(r["nav"], 9) for r in nav] == [1.1, 0.0, 0.0, 0.0]
+
+
 def test_no_look_ahead(spark):
     """Changing a later day's data does not change earlier days of the series."""
     calendar = cal.build(spark.createDataFrame([(d, 1) for d in DAYS], "cal_date date, is_open int"))
