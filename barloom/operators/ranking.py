@@ -15,6 +15,7 @@ from barloom.session import durable
 
 GROUP_LIMIT = 2_000_000   # rows of one group that one task may sort
 SAMPLES_PER_SLICE = 16
+RUN = 64
 
 
 def _sized(df: DataFrame, by: list[str], counted: str | None, prepared: bool, group_limit: int) -> tuple[DataFrame, bool]:
@@ -79,7 +80,10 @@ def _sliced_rank(base: DataFrame, by: list[str], order: list[str], rank: str, gr
         *by,
         F.expr(f"filter(__s, (x, i) -> i % {SAMPLES_PER_SLICE} = {SAMPLES_PER_SLICE - 1})").alias("__cuts"),
     )
-    slot = F.size(F.filter("__cuts", lambda c: c < key))
+    # Cuts are looked up in two steps: the heads of runs of cuts, then one run.
+    runs = F.expr(f"filter(__cuts, (x, i) -> i % {RUN} = 0)")
+    ahead = F.greatest(F.size(F.filter(runs, lambda c: c < key)) - 1, F.lit(0)) * RUN
+    slot = ahead + F.size(F.filter(F.slice("__cuts", ahead + 1, RUN), lambda c: c < key))
     slotted = null_safe_join(base, cuts, by, "left").withColumn(
         "__slot", F.when(F.col("__cuts").isNull(), 0).otherwise(slot)
     ).drop("__cuts")
