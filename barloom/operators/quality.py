@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom import rules
 from barloom.functions import market as mk, symbols as sy, values as v
 from barloom.operators import asof, ranking
-from barloom.operators.calendar import link
+from barloom.operators.calendar import link, open_days
 from barloom.operators.scd2 import current_listing
 from barloom.operators.prices import by_security, post_close
 
@@ -71,23 +71,29 @@ def listed_counts(master: DataFrame, days: DataFrame) -> DataFrame:
     return asof.active_counts(spans, ["k"], days).select("trade_date", F.col("members").alias("listed"))
 
 
-@rule("row_count", HARD)
-def row_count(t: Tables, *, min_universe: int = rules.MIN_UNIVERSE, max_drift: float = 0.05, min_share: float = 0.9) -> DataFrame:
-    """Floor, then drift against the previous open day, else share of the listed securities."""
-    counts = bar_counts(t.bars)
-    prev = counts.select(F.col("trade_date").alias("prev_day"), F.col("got").alias("prev"))
-    # One row per day on every side.
-    rows = link(counts, t.calendar, "prev_open", "prev_day").join(prev, "prev_day", "left").join(
-        listed_counts(t.master, counts), "trade_date", "left"
-    ).fillna(0, ["prev", "listed"])
+def _with_listed(rows: DataFrame, t: Tables) -> DataFrame:
+    """Day rows with the count of the previous open day (0 without bars) and the number of listed securities."""
+    w = Window.orderBy("trade_date")  # one row per day
+    before = F.when(F.lag("trade_date").over(w) == F.col("prev_day"), F.lag("got").over(w))
+    days = link(rows, t.calendar, "prev_open", "prev_day").withColumn("prev", F.coalesce(before, F.lit(0)))
+    return days.join(listed_counts(t.master, open_days(t.calendar)), "trade_date", "left").fillna(0, ["listed"])
+
+
+def _row_count(min_universe: int = rules.MIN_UNIVERSE, max_drift: float = 0.05, min_share: float = 0.9) -> tuple[Column, Column]:
     drift = F.try_divide(F.abs(F.col("got") - F.col("prev")), F.col("prev"))
     ok = (
         F.when(F.col("got") < min_universe, False)
         .when(F.col("prev") >= min_universe, drift <= max_drift)
         .otherwise((F.col("listed") > 0) & (F.col("got") >= F.col("listed") * min_share))
     )
-    return rows.select("trade_date", ok.alias("passed"),
-                       _text("got=", F.col("got"), " listed=", F.col("listed"), " prev=", F.col("prev")).alias("message"))
+    return ok, _text("got=", F.col("got"), " listed=", F.col("listed"), " prev=", F.col("prev"))
+
+
+@rule("row_count", HARD)
+def row_count(t: Tables, **options) -> DataFrame:
+    """Floor, then drift against the previous open day, else share of the listed securities."""
+    ok, message = _row_count(**options)
+    return _with_listed(bar_counts(t.bars), t).select("trade_date", ok.alias("passed"), message.alias("message"))
 
 
 def adjusted_moves(t: Tables) -> DataFrame:
@@ -103,17 +109,22 @@ def adjusted_moves(t: Tables) -> DataFrame:
     )
 
 
+def _outlier(max_move: float = MAX_MOVE) -> Column:
+    board = sy.board_or_inferred(F.col("board"), F.col("exchange_code"))
+    new = mk.in_no_limit_window(F.col("trade_date"), F.col("list_date"), board)
+    return (F.abs("adj_ret") > max_move) & ~new & ~F.coalesce(F.col("list_date") == F.col("trade_date"), F.lit(False))
+
+
+def _no_bad(label: str, bad: str) -> tuple[Column, Column]:
+    return F.coalesce(bad, F.lit(0)) == 0, _text(label, F.coalesce(bad, F.lit(0)))
+
+
 @rule("adj_continuity", HARD)
 def adj_continuity(t: Tables, *, max_move: float = MAX_MOVE) -> DataFrame:
     """Adjusted one-day moves beyond the limit outside the no-limit window of a new listing."""
-    board = sy.board_or_inferred(F.col("board"), F.col("exchange_code"))
-    new = mk.in_no_limit_window(F.col("trade_date"), F.col("list_date"), board)
-    bad = (F.abs("adj_ret") > max_move) & ~new & ~F.coalesce(F.col("list_date") == F.col("trade_date"), F.lit(False))
-    found = adjusted_moves(t).where(bad).groupBy("trade_date").agg(F.count("*").alias("bad"))
-    days = bar_counts(t.bars).select("trade_date")
-    return days.join(found, "trade_date", "left").select(
-        "trade_date", (F.coalesce("bad", F.lit(0)) == 0).alias("passed"), _text("outliers=", F.coalesce("bad", F.lit(0))).alias("message")
-    )
+    found = adjusted_moves(t).where(_outlier(max_move)).groupBy("trade_date").agg(F.count("*").alias("bad"))
+    days, (ok, message) = bar_counts(t.bars).select("trade_date"), _no_bad("outliers=", "bad")
+    return days.join(found, "trade_date", "left").select("trade_date", ok.alias("passed"), message.alias("message"))
 
 
 def limit_mismatches(t: Tables, *, sample: int | None = None) -> DataFrame:
@@ -124,8 +135,11 @@ def limit_mismatches(t: Tables, *, sample: int | None = None) -> DataFrame:
     if sample:
         rows = ranking.top_n(rows, ["trade_date"], [F.xxhash64("security_id", "trade_date"), F.col("security_id")], sample)
     listed = current_listing(t.master, "exchange_code", "board", "list_date")
-    board = sy.board_or_inferred(F.col("board"), F.col("exchange_code"))
-    rows = rows.join(listed, "security_id").withColumn("board", board)
+    return _with_mismatch(rows.join(listed, "security_id"))
+
+
+def _with_mismatch(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("board", sy.board_or_inferred(F.col("board"), F.col("exchange_code")))
     new = mk.in_no_limit_window(F.col("trade_date"), F.col("list_date"), F.col("board"))
     st = mk.flag(F.col("is_st"))
     off = (F.abs(F.col("up_limit") - mk.up_limit(F.col("pre_close"), F.col("board"), st)) > LIMIT_TOLERANCE) | (
@@ -134,6 +148,10 @@ def limit_mismatches(t: Tables, *, sample: int | None = None) -> DataFrame:
     return rows.withColumns({"exempt": new, "mismatch": F.coalesce(off, F.lit(True)) & ~new})
 
 
+def _limits() -> tuple[Column, Column]:
+    return (F.col("seen") > 0) & (F.col("bad") == 0), _text("checked=", F.col("checked"), " mismatches=", F.col("bad"))
+
+
 @rule("limit_prices", HARD)
 def limit_prices(t: Tables, *, sample: int | None = None) -> DataFrame:
     """Stored limits against recomputed ones, of every bar of a day (`sample` checks so many a day)."""
@@ -142,9 +160,8 @@ def limit_prices(t: Tables, *, sample: int | None = None) -> DataFrame:
         F.count("*").alias("seen"), F.count_if(~F.col("exempt")).alias("checked"), F.count_if("mismatch").alias("bad")
     )
     days = bar_counts(t.bars).select("trade_date")
-    joined = days.join(found, "trade_date", "left").fillna(0, ["seen", "checked", "bad"])
-    return joined.select("trade_date", ((F.col("seen") > 0) & (F.col("bad") == 0)).alias("passed"),
-                         _text("checked=", F.col("checked"), " mismatches=", F.col("bad")).alias("message"))
+    joined, (ok, message) = days.join(found, "trade_date", "left").fillna(0, ["seen", "checked", "bad"]), _limits()
+    return joined.select("trade_date", ok.alias("passed"), message.alias("message"))
 
 
 @rule("pit_sanity", HARD)
@@ -203,10 +220,43 @@ def factor_coverage(t: Tables, *, floor: float = 0.5, version: str = rules.FACTO
     )
 
 
+def bar_days(t: Tables, max_move: float = MAX_MOVE) -> DataFrame:
+    """What the rules on bars ask of a day, from one pass: bars, outliers, limits seen, checked and wrong."""
+    w = by_security()
+    px = t.bars.select("security_id", "trade_date", "pre_close", "up_limit", "down_limit", "is_st", post_close().alias("px"))
+    before = px.withColumns({"p0": F.lag("px").over(w), "__d": F.lag("trade_date").over(w)})
+    linked = link(before, t.calendar, "prev_open", "prev_day")
+    listed = current_listing(t.master, "exchange_code", "board", "list_date").withColumn("known", F.lit(True))
+    move = F.try_divide("px", F.nullif("p0", F.lit(0.0))) - 1
+    rows = linked.join(listed, "security_id", "left").withColumn("adj_ret", F.when(F.col("known") & (F.col("__d") == F.col("prev_day")), move))
+    outlier = F.coalesce(_outlier(max_move), F.lit(False))
+    rows = _with_mismatch(rows.withColumn("outlier", outlier)).withColumn("priced", F.coalesce(F.col("known") & (F.col("pre_close") > 0), F.lit(False)))
+    return rows.groupBy("trade_date").agg(
+        F.count("*").alias("got"), F.count_if("outlier").alias("outliers"), F.count_if("priced").alias("seen"),
+        F.count_if(F.col("priced") & ~F.col("exempt")).alias("checked"), F.count_if(F.col("priced") & F.col("mismatch")).alias("bad"),
+    )
+
+
+_OF_BARS = ("row_count", "adj_continuity", "limit_prices")
+
+
 def run_all(t: Tables, **options: dict) -> DataFrame:
-    """Every rule over every day: (trade_date, rule, severity, passed, message)."""
-    out = None
-    for name, (severity, fn) in _RULES.items():
+    """Every rule over every day: (trade_date, rule, severity, passed, message).
+
+    The rules on bars share one pass over them, unless an option asks for a sample.
+    """
+    if options.get("limit_prices", {}).get("sample"):
+        out, rest = None, list(_RULES)
+    else:
+        days = _with_listed(bar_days(t, **options.get("adj_continuity", {})), t)
+        verdicts = (_row_count(**options.get("row_count", {})), _no_bad("outliers=", "outliers"), _limits())
+        each = F.array(*[
+            F.struct(F.lit(name).alias("rule"), F.lit(_RULES[name][0]).alias("severity"), ok.alias("passed"), message.alias("message"))
+            for name, (ok, message) in zip(_OF_BARS, verdicts)
+        ])
+        out, rest = days.select("trade_date", F.inline(each)), [name for name in _RULES if name not in _OF_BARS]
+    for name in rest:
+        severity, fn = _RULES[name]
         part = fn(t, **options.get(name, {})).select(
             "trade_date", F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "passed", "message"
         )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom import rules
 from barloom.operators import coverage as cv, publish as pb, quality as q
+from barloom.operators.calendar import previous_trading_day
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,13 @@ def backfill(bars: DataFrame, tables: q.Tables, versions: DataFrame, expected: D
     todo = pb.unpublished(expected, versions, min_rows=min_rows) if skip_published else expected.select("trade_date")
     days = F.broadcast(todo)  # one row per day
     rows = bars.join(days, "trade_date", "left_semi")
-    checks = q.run_all(tables, **options).join(days, "trade_date", "left_semi")
+    # The rules look at a day and the open day before it, so they get the bars of those days only.
+    near = todo.union(previous_trading_day(tables.calendar, todo).where("prev_day is not null").select("prev_day")).distinct()
+    some = replace(
+        tables, bars=tables.bars.join(F.broadcast(near), "trade_date", "left_semi"), factors=tables.factors.join(days, "trade_date", "left_semi"),
+        statements=tables.statements.join(days, F.col("ann_date") == F.col("trade_date"), "left_semi"),
+    )
+    checks = q.run_all(some, **options).join(days, "trade_date", "left_semi")
     ready = rows.select("trade_date").distinct()
     if gate:
         ready = ready.join(q.blocked_days(checks).where("blocked"), "trade_date", "left_anti")

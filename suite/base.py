@@ -47,6 +47,11 @@ def _nudge(digits: int) -> str:
     return NUDGE.format(digits + 3)
 
 
+def _finite(x: Column) -> Column:
+    """Infinite and undefined figures count as missing."""
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def _spark_out(c: str, t: str) -> Column:
     col = F.col(c)
     if t == "d":
@@ -58,12 +63,12 @@ def _spark_out(c: str, t: str) -> Column:
     if t == "l":
         return F.array_join(col, ",")
     if t.startswith("r"):
-        x, n = col.cast("double"), int(t[1:])
+        x, n = _finite(col.cast("double")), int(t[1:])
         e = F.floor(F.log10(F.abs(x)))
         mantissa = F.round(x / F.pow(F.lit(10.0), e.cast("double")) + F.lit(float(_nudge(n))), n - 1)
         return F.when(x == 0, "0").otherwise(F.concat(mantissa.cast("string"), F.lit("e"), e.cast("string")))
     if t.startswith("f"):
-        x = col.cast("double")
+        x = _finite(col.cast("double")) if t[1:] else col.cast("double")
         return F.round(x + F.lit(float(_nudge(int(t[1:])))), int(t[1:])) if t[1:] else x
     return col.cast("string")
 
@@ -76,12 +81,12 @@ def _sql_out(c: str, t: str) -> str:
     if t == "b":
         return f"cast(cast({c} as integer) as bigint)"
     if t.startswith("r"):
-        n, x = int(t[1:]), f"cast({c} as double)"
+        n, x = int(t[1:]), f"(case when isfinite(cast({c} as double)) then cast({c} as double) end)"
         e = f"cast(floor(log10(abs(nullif({x}, 0)))) as bigint)"
         return f"case when {x} = 0 then '0' else cast(round({x} / pow(10.0::double, {e}) + cast({_nudge(n)} as double), {n - 1}) as varchar) || 'e' || cast({e} as varchar) end"
     if t.startswith("f"):
         n = t[1:]
-        return f"round(cast({c} as double) + cast({_nudge(int(n))} as double), {n})" if n else f"cast({c} as double)"
+        return f"round((case when isfinite(cast({c} as double)) then cast({c} as double) end) + cast({_nudge(int(n))} as double), {n})" if n else f"cast({c} as double)"
     return f"cast({c} as varchar)"
 
 
