@@ -623,8 +623,9 @@ def _(m):
       (select least(10, count(*)) from fac where factor_name = 'turn_20' and trade_date = {D}) as signal_names,
       (select count(*) from ({_CARDS}) c where comp is not null) as judgment_ok, false as passed""", _CARD_VIEWS + " vers")
 def _(m):
-    done = m.factors("mom_20").groupBy("factor_name").agg(F.count("*").alias("n")).select(
-        "factor_name", F.explode(F.array(*[F.lit(x) for x in _METHODS])).alias("weight_method"), F.lit("ok").alias("status"))
+    panel = rs.panel(m.limited_bars, m.factors("mom_20"), m.master, rs.Spec(methods=_METHODS, top_n=10, factors=("mom_20",)), industry=m.industries)
+    weights = rs.weight_series(panel, rs.Spec(methods=_METHODS, top_n=10, factors=("mom_20",)))
+    done = rs.experiment(weights, m.bars, m.execution, m.calendar).select("factor_name", "weight_method", "status")
     grid = rs.cells(["mom_20"], [*_METHODS, "unheard_of"], m.spark)
     day = m.factors("turn_20").where(F.col("trade_date") == F.lit(DAY)).join(m.listing.select("security_id", "exchange_code"), "security_id")
     return ops.acceptance(pb.published_days(m.versions), rs.with_failed_cells(grid, done), wt.target_weights(day, "equal", 10), _cards(m))
