@@ -26,8 +26,8 @@ def stance(composite: Column, strength: Column, status: Column) -> Column:
     return (
         F.when(F.coalesce(status == "blocked", F.lit(False)), rules.STANCE["weak"])
         .when(composite.isNull() & strength.isNull(), rules.STANCE["unknown"])
-        .when(x >= 58, rules.STANCE["strong"])
-        .when(x <= 42, rules.STANCE["weak"])
+        .when(x >= rules.STANCE_STRONG, rules.STANCE["strong"])
+        .when(x <= rules.STANCE_WEAK, rules.STANCE["weak"])
         .otherwise(rules.STANCE["neutral"])
     )
 
@@ -47,21 +47,21 @@ def card_tags(c: dict[str, Column]) -> Column:
         (c["is_st"] == 1, "st"),
         (c["at_up"], "limit_up"),
         (c["at_down"], "limit_down"),
-        (c["momentum"] >= 70, "momentum_strong"),
-        (c["momentum"] <= 30, "momentum_weak"),
-        (c["volatility"] <= 30, "volatile"),
-        (c["valuation"] <= 30, "expensive"),
-        (c["valuation"] >= 70, "cheap"),
-        (c["turnover"] <= 30, "crowded"),
-        (c["strength"] >= 0.03, "beats_benchmark"),
-        (c["strength"] <= -0.03, "trails_benchmark"),
+        (c["momentum"] >= rules.SCORE_HIGH, "momentum_strong"),
+        (c["momentum"] <= rules.SCORE_LOW, "momentum_weak"),
+        (c["volatility"] <= rules.SCORE_LOW, "volatile"),
+        (c["valuation"] <= rules.SCORE_LOW, "expensive"),
+        (c["valuation"] >= rules.SCORE_HIGH, "cheap"),
+        (c["turnover"] <= rules.SCORE_LOW, "crowded"),
+        (c["strength"] >= rules.STRENGTH_GAP, "beats_benchmark"),
+        (c["strength"] <= -rules.STRENGTH_GAP, "trails_benchmark"),
         (factors_missing, "factors_missing"),
         (c["finance_stale"], "finance_stale"),
     ])
     peer = tag_list([
-        (c["mom_20_in_industry"] >= 0.9, "industry_momentum_top"),
-        (c["mom_20_in_industry"] <= 0.1, "industry_momentum_bottom"),
-        ((c["ep_in_industry"] >= 0.9) | (c["bp_in_industry"] >= 0.9), "industry_value_top"),
+        (c["mom_20_in_industry"] >= rules.PEER_TOP, "industry_momentum_top"),
+        (c["mom_20_in_industry"] <= rules.PEER_BOTTOM, "industry_momentum_bottom"),
+        ((c["ep_in_industry"] >= rules.PEER_TOP) | (c["bp_in_industry"] >= rules.PEER_TOP), "industry_value_top"),
         (c["status"] == "blocked", "not_tradable"),
         (c["status"] == "caution", "trade_with_care"),
     ])

@@ -116,3 +116,9 @@ PAYLOAD = (
     "trade_date", "open", "high", "low", "close", "volume", "ma5", "ma10",
     "boll_mid", "boll_upper", "boll_lower", "dif", "dea", "macd_hist", "k", "d", "j",
 )
+
+# fixed values (thresholds of stance and tags)
+STANCE_STRONG, STANCE_WEAK = 58, 42
+SCORE_HIGH, SCORE_LOW = 70, 30
+STRENGTH_GAP = 0.03
+PEER_TOP, PEER_BOTTOM = 0.9, 0.1
