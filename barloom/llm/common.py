@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,21 +13,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.session import work_dir
 
 #: Words a worker remembers with their hashes; further ones are hashed at each occurrence.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 4096
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed."""
+def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed.
+
+    `batch` rows at most go to a Python worker at a time, where rows are long (by default as the session says).
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,17 +96,17 @@ class Sketch:
 
     def __init__(self, bits: int):
         self.mask, self.size, self.waiting, self.held = np.uint64((1 << bits) - 1), 1 << bits, [], 0
-        self.counts = np.zeros(self.size, np.int64)
+        self.counts = np.zeros(self.size, np.int32)
 
     def add(self, hashes: np.ndarray) -> None:
         self.waiting.append(hashes)
         self.held += len(hashes)
-        if self.held > self.size:
+        if self.held > self.size // 4:
             self.flush()
 
     def flush(self) -> None:
         if self.waiting:
-            self.counts += np.bincount((np.concatenate(self.waiting) & self.mask).astype(np.int64), minlength=self.size)
+            self.counts += np.bincount((np.concatenate(self.waiting) & self.mask).astype(np.int64), minlength=self.size).astype(np.int32)
             self.waiting, self.held = [], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -113,8 +123,8 @@ def _widened(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, {1: np.uint8, 4: np.uint32, 8: np.int64}[len(data) // width]).astype(np.int64)
 
 
-def summed_sketch(pieces: DataFrame, bits: int) -> np.ndarray:
-    """The tasks' tables added up in Spark, piece by piece; the sum has 2**bits numbers, whatever the input."""
+def summed_sketch(pieces: DataFrame, bits: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The tasks' tables added up in Spark, piece by piece, each made bytes by `finish`: 2**bits bytes, whatever the input."""
     width = min(_CHUNK, 1 << bits)
 
     def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +132,9 @@ def summed_sketch(pieces: DataFrame, bits: int) -> np.ndarray:
         for batch in rows:
             for data in batch.column("data").to_pylist():
                 total += _widened(data, width)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([finish(total).astype(np.uint8).tobytes()], pa.binary())], ["piece", "data"])
 
-    out = np.zeros((1 << bits) // width * width, np.int64).reshape(-1, width)
+    out = np.tile(finish(np.zeros(width, np.int64)).astype(np.uint8), ((1 << bits) // width, 1))
     for row in pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect():
-        out[row.piece] = _widened(row.data, width)
+        out[row.piece] = np.frombuffer(row.data, np.uint8)
     return out.reshape(-1)

@@ -1,13 +1,14 @@
 """Documents whose sets of five-word shingles overlap by 80 % or more, by a grouped prefix join.
 
-Two sets that similar share a shingle among the first `n - ceil(0.8 n) + 1` of each, in any common order. The order here
-puts shingles from rarely used slots of a counting sketch first, so passages that many documents share come last. Documents with
-the same shingles are one set; sets with the same size and prefix are one group, and only groups are joined.
-
-Lists of groups that share a prefix shingle are not paired off. Every list first links its members to one leader per size
-band, which joins large sets of near copies with as many checks as members. Then only pairs that still lie in different components
-are formed, each member outside a list's commonest component against the list; so no link between components is missed. Every
-link is checked on the whole shingle sets.
+In any common order two such sets share SHARED shingles (or all they have in common, if fewer) among the first
+`n - ceil(0.8 n) + SHARED` of each. The order here puts shingles from rarely used slots of a counting sketch first, so passages that many
+documents share come last. Documents with the same shingles are one set; sets with the same size and prefix are one group, and only
+groups are joined.
+
+Lists of groups that share a prefix shingle are not paired off. In a few rounds every group is checked against the one list leader of
+its size that it shares most with, which joins large sets of near copies with a few checks a member. Then only pairs that still lie in
+different components are formed, each member outside a list's commonest component against the list; so no link between
+components is missed. Every link is checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -23,6 +24,14 @@ from barloom.llm.common import Sketch, WordHashes, mixed, shingles, summed_sketc
 
 PERCENT = 80
 WORDS = 5
+#: Prefix shingles that similar sets are asked to have in common; more of them make the prefixes longer and chance pairs fewer.
+SHARED = 3
+#: Rounds of checks against leaders before the remaining pairs are formed, each on another one of SHARES parts of the lists.
+ROUNDS, SHARES = 3, 8
+#: Ids that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Rows with whole texts or sets that a Python worker gets at a time.
+BATCH = 1_000
 #: The counting sketch has 2**SKETCH_BITS slots, a byte each once ranked; more slots tell rarer passages from chance.
 SKETCH_BITS = 22
 
@@ -42,15 +51,14 @@ def ranks(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
                 sketch.add(s)
         yield from sketch.rows()
 
-    counts = summed_sketch(docs.select("text").mapInArrow(tally, "piece int, data binary"), bits)
-    return np.minimum(np.rint(6 * np.log2(1 + counts)), 255).astype(np.uint8)
+    return summed_sketch(docs.select("text").mapInArrow(tally, "piece int, data binary"), bits, lambda n: np.minimum(np.rint(6 * np.log2(1 + n)), 255))
 
 
 def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles two sets of 80 % overlap can't both miss: the first ones by rank, then hash."""
+    """The first shingles by rank, then hash, of which two sets of 80 % overlap share SHARED."""
     n = len(s)
     order = np.argsort(rank[s & np.uint64(len(rank) - 1)], kind="stable")
-    return s[order[: n - -(-PERCENT * n // 100) + 1]]
+    return s[order[: n - -(-PERCENT * n // 100) + SHARED]]
 
 
 def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
@@ -88,27 +96,25 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return mixed(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """Those of the pairs `a, b` whose whole sets overlap by 80 % or more.
+def whole_sets(docs: DataFrame, ids: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """`id, n, s`: the shingle sets of the documents with the wanted ids, made again from the texts.
 
-    The sets are made again from the texts, only of documents that a bitmap of the wanted ids lets through; the bitmap
-    has a fixed size and only saves work, as the pairs are joined by id anyway.
+    A bitmap of the ids, of a fixed size, lets only few other documents through; it only saves work.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(bits)
         for batch in batches:
-            for column in batch.columns:
-                sketch.add(_slots(column.to_numpy(zero_copy_only=False)))
+            sketch.add(_slots(batch.column(0).to_numpy(zero_copy_only=False)))
         yield from sketch.rows()
 
-    wanted = docs.sparkSession.sparkContext.broadcast(summed_sketch(pairs.select("a", "b").mapInArrow(mark, "piece int, data binary"), bits) > 0)
+    wanted = docs.sparkSession.sparkContext.broadcast(summed_sketch(ids.select("id").mapInArrow(mark, "piece int, data binary"), bits, lambda n: n > 0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(0)
-            batch = batch.filter(pa.array(wanted.value[_slots(ids.to_numpy(zero_copy_only=False)) & np.uint64((1 << bits) - 1)]))
+            slots = _slots(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)) & np.uint64((1 << bits) - 1)
+            batch = batch.filter(pa.array(wanted.value[slots] > 0))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = list(_sets(part, hashes))
@@ -116,6 +122,15 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: int = SKETCH_BITS) -> Data
                     [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "s"]
                 )
 
+    return written(docs.select("doc_id", "text").mapInArrow(whole, "id bigint, n int, s binary").where("n > 0"), "sets", BATCH)
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs `a, b` whose whole sets overlap by 80 % or more.
+
+    The pairs go to the sets, while they are few enough to be sent to every task, so only sets that a pair asks for are shuffled.
+    """
+
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -126,10 +141,10 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: int = SKETCH_BITS) -> Data
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    sets = written(docs.select("doc_id", "text").mapInArrow(whole, "id bigint, n int, s binary").where("n > 0"), "sets")
     left, right = (sets.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("s").alias(f"s{i}")) for i in "ab")
-    both = pairs.select("a", "b").join(right.select("b", "nb"), "b").join(left, "a").where(_near(F.col("na"), F.col("nb"))).select("a", "b", "sa")
-    return both.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(enough, "a bigint, b bigint").distinct()
+    asked = _sent(pairs.select("a", "b"))
+    both = left.join(asked, "a").join(right.join(asked, "b"), ["a", "b"]).where(_near(F.col("na"), F.col("nb")))
+    return both.select("a", "b", "sa", "sb").mapInArrow(enough, "a bigint, b bigint").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -155,24 +170,42 @@ def _bands(n: Column) -> Column:
     return F.array(*[F.struct(F.lit(v).alias("v"), F.floor((unit + v) / 2).alias("band")) for v in (0, 1)])
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list `t, id, n` with the smallest id of its size band."""
-    rows = lists.select("t", "id", F.explode(_bands(F.col("n"))).alias("x")).select("t", "id", "x.v", "x.band")
-    leaders = rows.groupBy("t", "v", "band").agg(F.min("id").alias("lead"))
-    return rows.join(leaders, ["t", "v", "band"]).where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+def _with_components(lists: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return lists.withColumn("component", F.col("id"))
+    return lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of lists that hold more than one component."""
+    several = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("t")
+    return rows.join(several, "t")
 
-def rest_pairs(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of list members in different components, without forming pairs inside the commonest one of a list."""
-    found = components.withColumnRenamed("node", "id")
-    rows = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_lists = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("t")
-    rows = written(rows.join(mixed_lists, "t").distinct(), "mixed")
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """For each member of lists `t, id, n, component` the list leader (smallest id of the size band) of another component that it
+    shares most lists with, two at least."""
+    banded = rows.select("t", "id", "component", F.explode(_bands(F.col("n"))).alias("x")).select("t", "id", "component", "x.v", "x.band")
+    leaders = banded.groupBy("t", "v", "band").agg(F.min("id").alias("lead"))
+    shared = banded.join(leaders, ["t", "v", "band"]).where("id != lead").groupBy("lead", "id", "v").agg(F.count("*").alias("c"), F.any_value("component").alias("component")).where("c > 1")
+    own = rows.select(F.col("id").alias("lead"), F.col("component").alias("other")).distinct()
+    best = shared.join(own, "lead").where("component != other").groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
+    return best.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+
+
+def rest_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs in different components that share enough of their lists, without forming pairs inside the commonest component of a list."""
     mode = rows.groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("component", F.struct("c", "component")).alias("mode"))
     x = rows.join(mode, "t").where("component != mode").select("t", "mode", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component")])
     y = rows.select("t", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "component")])
     pairs = x.join(y, "t").where((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("mode")) | (F.col("x_id") < F.col("y_id"))) & _near(F.col("x_n"), F.col("y_n")))
-    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    counted = pairs.groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("x_n", "y_n")).alias("n"))
+    return counted.where(F.col("c") >= _shared(F.col("n"))).select("a", "b")
+
+
+def _shared(n: Column) -> Column:
+    """Lists that sets of `n` and of no more shingles share if they are similar."""
+    return F.least(F.lit(SHARED), F.ceil(n * (PERCENT / 100)))
 
 
 def groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
@@ -182,39 +215,64 @@ def groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     with nothing. Rows with one id are one document, linked by any of its texts; a null id has no links and a null component.
     Other columns are not looked at; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
-    signed = written(signatures(docs, bits), "signatures")
+    signed = written(signatures(docs, bits), "signatures", BATCH)
     full = signed.where("n > 0 and doc_id is not null")
     sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n")), "distinct")
     grouped = full.groupBy("group_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = grouped.select(F.explode("prefix").alias("t"), "id", "n")
     shared = posted.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     lists = written(posted.join(shared, "t").select("t", "id", "n"), "lists")
+    # sets of one group share its lists, and as many more as any pair must share
     many = sets.groupBy("group_key").agg(F.min("rep").alias("id"), F.count("*").alias("c")).where("c > 1")
-    inside = written(sets.join(many, "group_key").select(F.xxhash64("group_key").alias("t"), "id", "rep", "n"), "inside")
-    within = inside.select("t", F.col("rep").alias("id"), "n")
-
-    tried = written(star_pairs(lists.union(within)), "tried")
-    links = written(verified(docs, tried, bits), "links")
-    members = inside.select("id", "rep").distinct()
-    every = lists.join(members, "id", "left").select("t", F.coalesce("rep", "id").alias("id"), "n").union(within)
-    rest = written(rest_pairs(every, connected(links)).join(tried, ["a", "b"], "left_anti"), "rest")
+    inside = written(sets.join(many, "group_key").select("group_key", "id", "rep", "n"), "inside")
+    if not inside.isEmpty():
+        within = inside.select(F.explode(F.array(*[F.xxhash64("group_key", F.lit(i)) for i in range(SHARED)])).alias("t"), F.col("rep").alias("id"), "n")
+        others = lists.join(inside.select("id", "rep").where("id != rep"), "id").select("t", F.col("rep").alias("id"), "n")
+        lists = lists.union(within).union(others)
+    able = lists.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _shared(F.col("n"))).select("id")
+    lists = written(lists.join(able, "id"), "able")
+    whole = whole_sets(docs, lists.select("id").distinct(), bits)
+
+    spark = docs.sparkSession
+    links = tried = spark.createDataFrame([], "a bigint, b bigint")
+    components = None
+    for k in range(ROUNDS):
+        # which pairs are tried first needs no more than a part of the lists; the rest is looked for in all of them
+        rows = _mixed(_with_components(lists.where(F.pmod("t", F.lit(SHARES)) == k), components))
+        pairs = written(star_pairs(rows).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried, links = tried.union(pairs), links.union(written(verified(whole, pairs), "links", BATCH))
+            components = connected(links)
+    rows = written(_mixed(_with_components(lists, components)).distinct(), "mixed")
+    rest = written(rest_pairs(rows).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.union(written(verified(docs, rest, bits), "links"))
+        links = links.union(written(verified(whole, rest), "links", BATCH))
     # the sets of an id with several texts belong together
     owned = full.join(sets, "set_key").select("doc_id", "rep")
     lowest = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
     links = links.union(owned.join(lowest, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")))
     found = connected(links).withColumnRenamed("node", "rep")
     of_set = sets.join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(of_set, "set_key", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out
+    return signed.join(of_set, "set_key", "left").select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    )
 
 
 def keep_first(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, one row an id, with their columns and no others.
 
-    Rows with a null id stay, as they are linked with nothing.
+    Rows with a null id stay, as they are linked with nothing. The texts are not shuffled as long as the ids to leave out are few enough to be
+    sent to every task.
     """
     gone = groups(docs, bits).where("component_id != doc_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).union(docs.where("doc_id is null"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
+    single = docs.join(_sent(gone.union(repeated)), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return single
+    more = docs.join(_sent(repeated.join(gone, "doc_id", "left_anti")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.union(more.select(docs.columns))
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

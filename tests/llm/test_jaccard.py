@@ -68,7 +68,9 @@ def test_against_all_pairs(spark, seed, families, bits):
     same(jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), bits), rows)
 
 
-def test_shared_passage_and_odd_rows(spark):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_shared_passage_and_odd_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", sent)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, passage + " " + " ".join(f"x{i}_{j}" for j in range(80))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, " \n"), (103, "a b"), (104, "A  b"), (105, "a b c d e"), (None, "a b"), (None, None), (106, "a b"), (106, "a b"), (107, passage), (108, passage + " q")]
