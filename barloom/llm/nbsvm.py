@@ -83,8 +83,10 @@ def ratios(rows: list[np.ndarray], good: np.ndarray, alpha: float = 1.0) -> np.n
     """Log of the n-grams' share among good texts over that among bad ones, counting texts, smoothed by `alpha`."""
     logs = []
     for side in (True, False):
-        own = [r for r, y in zip(rows, good) if y == side]
-        counts = alpha + (np.bincount(np.concatenate(own), minlength=1 << BITS) if own else np.zeros(1 << BITS))
+        counts = np.full(1 << BITS, alpha)
+        for r, y in zip(rows, good):
+            if y == side:
+                counts[r] += 1  # a text holds each n-gram once
         logs.append(np.log(counts / counts.sum()))
     return logs[0] - logs[1]
 
@@ -95,9 +97,8 @@ def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, c: np.ndar
     Each row is its scaled indicators, brought to unit length, and a constant 1. The dual variable of a row stays in [0, c].
     """
     w, bias, alpha, rng = np.zeros(len(scale)), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
-    x = [scale[r] for r in rows]
-    x = [v / max(np.linalg.norm(v), 1e-12) for v in x]
-    norms = np.array([v @ v + 1.0 for v in x])
+    x = [(scale[r] / max(np.linalg.norm(scale[r]), 1e-12)).astype(np.float32) for r in rows]
+    norms = np.array([float(v @ v) + 1.0 for v in x])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     got = rows.mapInArrow(indicators, f"doc_id {kind}, good int, found binary").toArrow()
     # a fixed order: neither the split for the curve nor the descent may depend on which task came first
     order = sorted(range(got.num_rows), key=lambda i: (xxhash.xxh64_intdigest(str(got["doc_id"][i].as_py())), got["found"][i].as_py()))[:sample]
-    return train([np.frombuffer(got["found"][i].as_py(), np.uint32).astype(np.int64) for i in order], np.array([got["good"][i].as_py() for i in order], bool))
+    return train([np.frombuffer(got["found"][i].as_py(), np.uint32) for i in order], np.array([got["good"][i].as_py() for i in order], bool))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
