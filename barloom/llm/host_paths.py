@@ -30,7 +30,9 @@ BLOCKS = CONTAINERS | frozenset(
 LEFT_OUT = frozenset(
     "head script style noscript template nav footer aside form menu iframe object svg canvas select button textarea dialog audio video title".split()
 )
-#: Words in class, id or role that mark menus, adverts, notices, sidebars and reader comments.
+#: Elements that are left out where they are marked; headings, paragraphs, inline elements and what else holds text itself never are.
+MARKED = frozenset("div section ul ol dl table td center fieldset details".split())
+#: Words in class, or whole ids or roles, that mark menus, adverts, notices, sidebars and reader comments.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner banners popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside widget widgets "
@@ -51,10 +53,10 @@ def _left_out(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
     """Whether an element and all in it is none of the main text; `inside`: it lies in an article."""
     if tag in LEFT_OUT or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag not in MARKED:
         return False
-    named = " ".join(attrs.get(a) or "" for a in ("class", "id", "role")).lower()
-    return bool(named) and not MARKS.isdisjoint(_WORD.findall(named))
+    names = [(attrs.get(a) or "").strip().lower() for a in ("id", "role")]
+    return not MARKS.isdisjoint(names) or not MARKS.isdisjoint(_WORD.findall((attrs.get("class") or "").lower()))
 
 
 class Page(HTMLParser):

@@ -36,6 +36,16 @@ def test_single_pages(html, want):
     assert host_paths.Page(html or "").text(None)[0] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    (body(f"<article><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p></article>"), f"Title\n{LONG}"),
+    (body(f"<article><h2 id='related-work'>Related work</h2><p class='notice'>{LONG}</p><h2 id='follow-the-money'>Follow</h2><p>a <span class='search'>b</span> c</p></article>"), f"Related work\n{LONG}\nFollow\na b c"),
+    (body(f"<article><p>{LONG}</p><div id='legal-history'><p>old</p></div><ul id='discussion-points'><li>one</ul><div class='social-share'>Share</div><ul id='toc'><li>two</ul><div role='search'>Find</div></article>"), f"{LONG}\nold\none"),
+])
+def test_marks_are_for_containers(html, want):
+    """Headings, paragraphs, inline elements and the header of an article stay whatever their names; ids and roles count as a whole."""
+    assert host_paths.Page(html).text(None)[0] == want
+
+
 def test_the_host_decides(spark):
     """A page whose longest text is a teaser list follows the other pages of its host; a page of another shape goes by itself."""
     plain = [(i, "http://A.example/x", f"<body><div class='c{i}'><p>{LONG} {i}</p></div><section><p>short</p></section></body>") for i in range(5)]
