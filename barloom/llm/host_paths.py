@@ -1,8 +1,9 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-Every page scores its containers; the tag-class paths of the best ones, with numbers in class names generalised, are votes that
-Spark adds up per host. The text is then taken from the element at the winning path, or, on a page that has no such element, from
-the page's own best container.
+Every page scores its containers, a container inside an article or main for that one; the tag-class paths of the best ones, with
+numbers in class names generalised, are votes that Spark adds up per host. A host has a leading path and further templates, the paths
+that several of its pages put first. The text is taken from the element at the first of them that holds enough of the page's own
+score, else at the leading path, or, on a page that has no such element, from the page's own best container.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from barloom.llm.common import url_parts, written
 
 #: Containers of a page that vote, the best first.
 VOTES = 3
-#: Winning paths of more hosts than this are joined by a shuffle instead of being sent to every task.
+#: Pages that must put a path first for it to be a template of its host beside the leading one.
+TEMPLATE_PAGES = 3
+#: Share of a page's own score that a path must hold to be taken before the host's other ones.
+TEMPLATE_SHARE = 0.3
+#: More winning paths than this are joined by a shuffle instead of being sent to every task.
 BROADCAST_HOSTS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -139,15 +144,30 @@ class Page(HTMLParser):
                 yield element
             element = self.parents[element]
 
+    def _widened(self) -> list[int]:
+        """Per element the innermost article around or at it, else the innermost main, else itself."""
+        article, main = [-1], [-1]  # parents come before their children
+        for i in range(1, len(self.paths)):
+            tag, parent = self.paths[i].rsplit("/", 1)[-1].split(".", 1)[0], self.parents[i]
+            article.append(i if tag == "article" else article[parent])
+            main.append(i if tag == "main" else main[parent])
+        return [a if a >= 0 else m if m >= 0 else i for i, (a, m) in enumerate(zip(article, main))]
+
     def scores(self) -> dict[int, float]:
-        """Per container: characters outside links of its own blocks, and half of those one container further in."""
+        """Per container: characters outside links of its own blocks, and half of those one container further in.
+
+        Containers in an article or main count for that one, so that title and siblings stay together.
+        """
         found: dict[int, float] = {}
         for element, text, linked in self.blocks:
             value = max(len(text) - 2 * linked, 0)
             if value:
                 for container, share in zip(self._containers(element), (1.0, 0.5)):
                     found[container] = found.get(container, 0.0) + share * value
-        return found
+        widened, out = self._widened() if found else [], {}
+        for container, value in found.items():
+            out[widened[container]] = out.get(widened[container], 0.0) + value
+        return out
 
     def best(self) -> list[tuple[str, float]]:
         """Paths of the best containers with their share of the page's score; equal scores go to the outer one."""
@@ -156,36 +176,50 @@ class Page(HTMLParser):
         top = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
         return [(self.paths[c], s / total) for c, s in top]
 
-    def text(self, path: str | None) -> tuple[str, str | None]:
-        """The blocks under the elements at the path, else under the page's best container; with the path used."""
-        for wanted in (path, next((p for p, _ in self.best()), None)):
-            roots = {i for i, p in enumerate(self.paths) if p == wanted}
-            if roots:
-                under = set()
-                for i, parent in enumerate(self.parents):  # parents come before their children
-                    if i in roots or parent in under:
-                        under.add(i)
-                blocks = [t for element, t, _ in self.blocks if element in under]
-                if blocks:
-                    return "\n".join(blocks), wanted
+    def _under(self, path: str) -> list[str]:
+        """The blocks under the elements at the path."""
+        under = set()
+        for i, p in enumerate(self.paths):  # parents come before their children
+            if p == path or self.parents[i] in under:
+                under.add(i)
+        return [t for element, t, _ in self.blocks if element in under]
+
+    def text(self, paths: list[str] | None) -> tuple[str, str | None]:
+        """The blocks under the first of the host's paths with enough of the score, else its leading one, else the page's best container; with the path used."""
+        scores, held = self.scores(), {}
+        for c, value in scores.items():
+            held[self.paths[c]] = held.get(self.paths[c], 0.0) + value
+        need = TEMPLATE_SHARE * sum(scores.values())
+        first = [p for p in paths or () if held.get(p, 0.0) >= need and p in held][:1]
+        own = [self.paths[min(scores, key=lambda c: (-scores[c], c))]] if scores else []
+        for wanted in (*first, *(paths or ())[:1], *own):
+            blocks = self._under(wanted)
+            if blocks:
+                return "\n".join(blocks), wanted
         return "\n".join(t for _, t, _ in self.blocks), None
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """`host, path, pages, weight`: pages whose best containers lie at the path, and their shares of the scores."""
+    """`host, path, pages, weight, first`: pages whose best containers lie at the path, their shares of the scores, and how many put it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, w) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p, w in Page(html or "").best()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["host", "path", "weight"])
+            rows = [(h, p, w, k == 0) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, (p, w) in enumerate(Page(html or "").best())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.bool_()))], ["host", "path", "weight", "first"])
 
-    each = pages.select(url_parts(F.col("url"))[0].alias("host"), "html").mapInArrow(run, "host string, path string, weight double")
-    return each.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.round("weight", 6).cast("decimal(20,6)")).alias("weight"))
+    each = pages.select(url_parts(F.col("url"))[0].alias("host"), "html").mapInArrow(run, "host string, path string, weight double, first boolean")
+    return each.groupBy("host", "path").agg(
+        F.count("*").alias("pages"), F.sum(F.round("weight", 6).cast("decimal(20,6)")).alias("weight"), F.count_if("first").alias("first")
+    )
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """`host, path`: the path with the most weight; ties go to more pages, then to the path that sorts first."""
-    return votes(pages).groupBy("host").agg(F.min_by("path", F.struct(-F.col("weight"), -F.col("pages"), F.col("path"))).alias("path"))
+    """`host, paths`: the path with the most weight, then the templates, in the same order: ties go to more pages, then to the path that sorts first."""
+    found = written(votes(pages), "votes")
+    order = F.struct((-F.col("weight")).alias("w"), (-F.col("pages")).alias("n"), "path")
+    leading = found.groupBy("host").agg(F.min(order).alias("v"))
+    others = found.where(F.col("first") >= TEMPLATE_PAGES).select("host", order.alias("v"))
+    return leading.unionByName(others).groupBy("host").agg(F.array_sort(F.collect_set("v"))["path"].alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -199,15 +233,15 @@ def extract(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [Page(html or "").text(path) for html, path in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+                found = [Page(html or "").text(paths) for html, paths in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:3], pa.array([t for t, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["page_id", "url", "host", "text", "path"]
                 )
 
     paths = written(winners(pages), "paths")
-    small = paths.count() <= BROADCAST_HOSTS
+    small = (paths.agg(F.sum(F.size("paths"))).first()[0] or 0) <= BROADCAST_HOSTS
     rows = pages.select("page_id", "url", url_parts(F.col("url"))[0].alias("host"), "html").join(F.broadcast(paths) if small else paths, "host", "left")
-    rows = rows.select("page_id", "url", "host", "html", "path")
+    rows = rows.select("page_id", "url", "host", "html", "paths")
     kind = rows.schema["page_id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"page_id {kind}, url string, host string, text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host", "path")

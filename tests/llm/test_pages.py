@@ -60,6 +60,21 @@ def test_the_host_decides(spark):
     assert host_paths.extract(pages.limit(0)).count() == 0
 
 
+def test_title_and_siblings_stay():
+    """The best container stands for the article or main around it."""
+    inner = f"<h1>Title</h1><div class='entry-content'><p>{LONG}</p></div><p>End</p>"
+    for tag in ("article", "main"):
+        assert host_paths.Page(body(f"<{tag}>{inner}</{tag}><div><p>Other</p></div>")).text(None) == (f"Title\n{LONG}\nEnd", f"#/html/body/{tag}")
+
+
+def test_two_templates_of_a_host(spark):
+    """Pages of the rarer template, on which the leading path holds a short text, keep their own."""
+    often = [(i, "http://h.example/x", f"<body><div class='a'><p>{LONG} {i}</p></div><section><p>short</p></section></body>") for i in range(6)]
+    rare = [(i, "http://h.example/y", f"<body><div class='a'><p>Brief.</p></div><section><p>{LONG}</p><p>{LONG} {i}</p></section></body>") for i in range(6, 9)]
+    got = {r.page_id: r for r in host_paths.extract(spark.createDataFrame(often + rare, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"{LONG} {i}" for i in range(6)) and all(got[i].text == f"{LONG}\n{LONG} {i}" for i in range(6, 9))
+
+
 def test_extraction_over_the_whole_table(spark):
     html = {r.page_id: r.html or "" for r in table(spark, SF, "pages").collect()}
     rows = QUERIES["op1_consensus_host_paths"](spark, SF).collect()
