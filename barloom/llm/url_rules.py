@@ -1,7 +1,8 @@
 """Url filter: fixed host and path rules, and association rules mined from labelled urls.
 
-FP-growth finds the token combinations that are frequent among urls labelled bad; each is counted over all labelled urls, and those
-with enough confidence that no more general one matches become block rules. Rules are matched by an inverted index that holds
+Token combinations that are frequent among urls labelled bad are found level by level over all labelled urls, and those with enough
+confidence that no more general one matches become block rules. Combinations that can't be part of such a rule aren't extended: those that
+hold a rule, and those that match the same urls as a part of theirs. Rules are matched by an inverted index that holds
 each under its rarest token.
 """
 
@@ -9,10 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import url_parts, written
+from barloom.llm.common import ascii_lower, url_parts, written
 
 #: verdict, host, path
 RULES = (
@@ -28,26 +28,33 @@ BROADCAST_RULES = 50_000
 
 
 def tokens(url: Column) -> Column:
-    """At most eleven tokens that together cover host, path, query keys and fragment; so a url has at most 2047 combinations.
+    """Tokens that cover host, path, query keys and fragment, however many there are.
 
-    h host, d its last two labels, t its last, s its first of three or more; a first path segment, b all but the last segment, c
-    shape of the last (digits as 0), x its extension, v the depth, k the query keys, f a fragment. No :// gives no tokens.
+    h host, t its last label, d every longer suffix, s every other label; a first of several path segments, p every segment (digits
+    as 0), w every word of a segment of several words, x extension of the last segment, v the depth, k every query key, f a fragment.
+    No :// gives no tokens.
     """
     host, path = url_parts(url)
     labels, segments = F.split(host, r"\."), F.array_remove(F.split(path, "/"), "")
     shape = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    named = lambda name, values: F.transform(values, lambda v: F.concat(F.lit(name), v))
     last = F.try_element_at(segments, F.lit(-1))
     pairs = F.split(F.regexp_extract(url, r"(?s)^[^#?]*\?([^#]*)", 1), "&")
-    keys = F.array_sort(F.array_distinct(F.array_remove(F.transform(pairs, lambda p: shape(F.substring_index(p, "=", 1))), "")))
+    keys = F.array_remove(F.transform(pairs, lambda p: shape(F.substring_index(p, "=", 1))), "")
     n, depth = F.size(labels), F.size(segments)
+    none = F.array().cast("array<string>")
+    suffixes = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.array_join(F.slice(labels, -k, k), "."))).otherwise(none)
+    slugs = F.transform(segments, lambda c: F.array_remove(F.split(shape(ascii_lower(F.regexp_replace(c, r"\.[^.]*$", ""))), r"[^\p{L}\p{N}]+"), ""))
+    words = F.flatten(F.filter(slugs, lambda w: F.size(w) > 1))
     some = [
-        ("h:", host), ("d:", F.when(n > 1, F.array_join(F.slice(labels, -2, 2), "."))), ("t:", F.try_element_at(labels, F.lit(-1))), ("s:", F.when(n > 2, F.get(labels, F.lit(0)))),
-        ("a:", F.when(depth > 1, shape(F.get(segments, F.lit(0))))), ("b:", F.when(depth > 1, shape(F.array_join(F.slice(segments, 1, F.greatest(depth - 1, F.lit(0))), "/")))),
-        ("c:", F.when(depth > 0, shape(last))), ("x:", F.when(last.contains("."), F.substring_index(last, ".", -1))), ("v:", depth.cast("string")),
-        ("k:", F.when(F.size(keys) > 0, F.array_join(keys, "&"))), ("f:", F.when(url.contains("#"), F.lit("1"))),
+        ("h:", host), ("t:", F.try_element_at(labels, F.lit(-1))), ("a:", F.when(depth > 1, shape(F.get(segments, F.lit(0))))),
+        ("x:", F.when(last.contains("."), F.substring_index(last, ".", -1))), ("v:", depth.cast("string")), ("f:", F.when(url.contains("#"), F.lit("1"))),
     ]
-    every = F.array_compact(F.array(*[F.concat(F.lit(name), value) for name, value in some]))
-    return F.when(url.contains("://"), every).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(
+        F.array_compact(F.array(*[F.concat(F.lit(name), value) for name, value in some])), named("d:", suffixes),
+        named("s:", F.slice(labels, 1, F.greatest(n - 2, F.lit(0)))), named("p:", F.transform(segments, shape)), named("w:", words), named("k:", keys),
+    ))
+    return F.when(url.contains("://"), every).otherwise(none)
 
 
 def _index(rules: DataFrame, spread: DataFrame) -> DataFrame:
@@ -79,16 +86,43 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     spark = pages.sparkSession
     if bad < need:
         return spark.createDataFrame([], "items array<string>, item string, bad bigint, labelled bigint, confidence double")
-    again = sets.where("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
-    frequent = FPGrowth(itemsCol="items", minSupport=min(need / bad, 1.0), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(again).freqItemsets
     spread = sets.select(F.explode("tokens").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
-    index = written(_index(frequent.select(F.array_sort("items").alias("items")), spread), "combinations")
-    counted = _matches(sets, index).groupBy("items").agg(F.sum("bad").alias("bad"), F.sum("n").alias("labelled"))
-    sure = counted.withColumn("confidence", F.col("bad") / F.col("labelled")).where((F.col("confidence") >= confidence) & (F.col("bad") >= need))
-    sure = written(sure.join(index, "items"), "sure")
-    # a rule that holds another one's items blocks nothing that the other doesn't
-    wider = _matches(sure.select(F.col("items").alias("tokens")), sure.select("items", "item")).where(F.size("items") < F.size("tokens")).select(F.col("tokens").alias("items")).distinct()
-    return sure.join(wider, "items", "left_anti").select("items", "item", "bad", "labelled", "confidence")
+    sure = written(_least_rules(sets, n, need, confidence), "sure")
+    return sure.join(_index(sure, spread), "items").select("items", "item", "bad", "labelled", "confidence")
+
+
+def _least_rules(sets: DataFrame, n: int, need: float, confidence: float) -> DataFrame:
+    """`items, bad, labelled, confidence` of the combinations with support and confidence that hold no other such one.
+
+    Level by level. A combination goes on only if it has the support, is no rule, and each part with one item less goes on and matches
+    more urls: one that matches the same urls as a part of it makes no rule that the part doesn't make with fewer items.
+    """
+    share = F.col("bad") / F.col("labelled")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("items").agg(F.sum("bad").alias("bad"), F.sum("n").alias("labelled")).where(F.col("bad") >= need)
+
+    level = written(counted(sets.select(F.explode(F.transform("tokens", lambda t: F.array(t))).alias("items"), "n", "bad")), "level-1")
+    rules = level.where(share >= confidence)
+    alive = level.where((share < confidence) & (F.col("labelled") < n))
+    single = alive.select(F.col("items")[0].alias("item"))
+    held = sets.withColumn("id", F.xxhash64(F.array_join("tokens", "\n"), F.size("tokens"))).select("id", "n", "bad", F.explode("tokens").alias("item")).join(single, "item")
+    rest = held.groupBy("id", "n", "bad").agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    rows = written(rest.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(F.explode("rest").alias("item"), "*").select(F.array("item").alias("items"), "rest", "n", "bad"), "held-1")
+    k = 1
+    while alive.limit(1).count():
+        k += 1
+        longer = rows.join(alive.select("items"), "items", "left_semi").select("items", "rest", "n", "bad", F.explode("rest").alias("item"))
+        longer = longer.where(F.col("item") > F.element_at("items", -1)).select(F.concat("items", F.array("item")).alias("items"), "rest", "n", "bad")
+        rows = written(longer, f"held-{k}")
+        found = written(counted(rows), f"found-{k}")
+        parts = found.select("items", "labelled", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"), F.col("items").alias("all"))
+        parts = parts.select("items", "labelled", F.filter("all", lambda x, j: j + 1 != F.col("i")).alias("part"))
+        wider = parts.join(alive.select(F.col("items").alias("part"), F.col("labelled").alias("part_labelled")), "part")
+        goes = wider.where(F.col("part_labelled") > F.col("labelled")).groupBy("items").agg(F.count("*").alias("parts")).where(F.col("parts") == k)
+        level = written(found.join(goes.select("items"), "items"), f"level-{k}")
+        rules, alive = rules.unionByName(level.where(share >= confidence)), level.where(share < confidence)
+    return rules.withColumn("confidence", share)
 
 
 def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:

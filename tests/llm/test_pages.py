@@ -154,6 +154,24 @@ def test_mined_rules_against_every_combination(spark, urls):
         assert r.rule or r.verdict == ("block" if hit else "allow") and hit == (r.mined is not None)
 
 
+@pytest.mark.parametrize("part,bad", [
+    ("k:ref", lambda i: f"http://a{i}.x{i}.org/{i}?ref=1&q{'abcdefgh'[i % 8]}{'xyz'[i % 3]}=2"),
+    ("p:casino", lambda i: f"http://a{i}.x{i}.org/{'/'.join('abc'[: i % 3])}/casino/{'uvw'[i % 3]}"),
+    ("w:pills", lambda i: f"http://a{i}.x{i}.org/{'abcdefgh'[i % 8]}-pills-{'xyz'[i % 3]}.html"),
+    ("s:bets", lambda i: f"http://a{i}.bets.x{i}.org/"),
+    ("d:spam.x.org", lambda i: f"http://{'abcdefgh'[i % 8]}{i}.spam.x.org/" if i else "http://spam.x.org/"),
+])
+def test_tokens_that_bad_urls_share(spark, part, bad):
+    """One key, segment, word, label or suffix among varying others is found and blocks."""
+    n = 24
+    rows = [(i, bad(i), 0) for i in range(n)] + [(100 + i, re.sub("ref|casino|pills|bets|spam", f"fine{'abc'[i % 3]}", bad(i)), 1) for i in range(n)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, quality int")
+    mined = url_rules.mine(frame, frame.withColumnRenamed("page_id", "doc_id"), confidence=0.9)
+    assert [part] in [r["items"] for r in mined.collect()]
+    got = {r.page_id: r for r in url_rules.judge(frame, mined, ()).collect()}
+    assert all(got[i].verdict == "block" for i in range(n)) and all(got[100 + i].verdict == "allow" for i in range(n))
+
+
 def test_without_bad_urls(spark, urls):
     pages, labels = urls
     assert url_rules.mine(pages, labels.where("quality = 1")).count() == 0 and url_rules.mine(pages.limit(0), labels).count() == 0
