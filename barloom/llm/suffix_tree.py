@@ -1,12 +1,12 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of the last one or two words. A context is a candidate if it makes up a set share of the training tokens, and stays if
-what follows it diverges from what follows its suffix by more than its own size pays for. A state keeps the words that follow it often; the
+States are contexts of the last words, kept as Spark tables that grow with the corpus (`suffix_states`). A context stays if what follows it
+diverges from what follows its suffix by more than its own size pays for. A state keeps the words that follow it more than once; the
 rest of its probability goes to its suffix's distribution, down to smoothed word frequencies. A token is scored by the longest
 suffix of its history that is a state.
 
-Candidates have frequent words only, so at most 1 / STATE_SHARE contexts of a length and 1 / WORD_SHARE words are ever sent to the
-tasks, however large the corpus. Counts of all other words grow with it and are joined by a shuffle.
+Counts of at most 1 / WORD_SHARE words are sent to the tasks; those of all others are joined by a shuffle, with the same result. `grow`
+and `Tree` hold a small tree of one or two frequent words in memory; `score` doesn't use them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import remainder, texts, written
+from barloom.llm import suffix_states
+from barloom.llm.common import WordHashes, remainder, texts, written
 
 #: Share of the training tokens from which a word is a symbol of its own in contexts; rarer ones are one symbol there.
 WORD_SHARE = 1e-5
@@ -232,26 +233,27 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     train = rows.where(~F.col("held"))
     counts = written(word_counts(train), "words")
     voc = vocabulary(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(grow(train, voc))
+    states, followers = (written(x, name) for x, name in zip(suffix_states.grow(train, counts, voc.mass, words), ("states", "followers")))
+    small = states.count() + followers.count() <= suffix_states.BROADCAST_STATES
+    shared = docs.sparkSession.sparkContext.broadcast((voc, suffix_states.Gains(states, followers) if small else None))
+    text_key = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
     z = math.log10(voc.mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text, with the null word, and one per rare word of it."""
-        tree = shared.value
-        voc = tree.voc
-        logs = np.log10(voc.counts + 0.5)
+        voc, gains = shared.value
+        logs, hashes = np.log10(voc.counts + 0.5), WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                out = []
-                for doc, out_held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, 2)):
-                    w = words(t)
-                    s, key = voc.encode(w), xxhash.xxh3_64_intdigest(t) - (1 << 63)
+                out, many = [], texts(batch, 2)
+                split = [words(t) for t in many]
+                gain, met = gains.of(suffix_states.Symbols(split, hashes), len(many)) if gains else np.zeros((2, len(many)))
+                for i, (doc, out_held, t, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), many, split)):
+                    s, key = voc.encode(w), text_key(t)
                     frequent = s[s > _RARE]
-                    p, root = tree.probabilities(s)
-                    gain = np.log10(p / root, where=p != root, out=np.zeros(len(s))) if len(voc.counts) > 1 else np.zeros(len(s))
                     known = len(frequent) if voc.counts[_END] else 0
-                    out.append((doc, key, out_held, None, 1, len(s), known, float(logs[frequent].sum()), float(gain.sum()), int((p != root).sum())))
+                    out.append((doc, key, out_held, None, 1, len(s), known, float(logs[frequent].sum()), float(gain[i]), int(met[i])))
                     for x, n in Counter(x for x in w if x not in voc.symbol).items():
                         out.append((doc, key, None, x, n, 0, 0, 0.0, 0.0, 0))
                 columns = list(zip(*out))
@@ -273,6 +275,11 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
         F.sum(F.when(tail & F.col("c").isNotNull(), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
         F.sum(log).alias("logs"), F.sum("gain").alias("gain"), F.sum("states").alias("n_states"),
     )
+    if not small:
+        by_text = suffix_states.joined_gains(rows, states, followers, words, text_key).withColumnsRenamed({"gain": "own", "states": "own_states"})
+        sums = sums.join(by_text, "key", "left").withColumns({
+            "gain": F.coalesce("own", F.lit(0.0)) * F.col("copies"), "n_states": F.coalesce("own_states", F.lit(0)) * F.col("copies"),
+        })
     one = lambda c: (F.col(c) / F.col("copies")).cast("bigint").alias(c)
     base = F.col("logs") / F.col("copies") - one("n_tokens") * F.lit(z)
     out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
