@@ -7,7 +7,7 @@ import corpus_pipeline
 from barloom.llm import nbsvm, packing, risk_rules
 from barloom.llm.common import table
 from tests.llm.test_jaccard import brute
-from tests.llm.test_quality import counts
+from tests.llm.test_quality_models import counts
 
 SF = "/root/testdata/sf0.01"
 
