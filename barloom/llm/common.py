@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int = 0, codec: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed.
 
     `batch` rows at most go to a Python worker at a time, where rows are long (by default as the session says).
@@ -35,12 +35,21 @@ def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
     try:
         if batch:
             spark.conf.set(_BATCH, batch)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes `written` tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def remainder(doc_id: str | Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % of

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, risk_rules, spann, suffix_tree, url_rules
+from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, repeats, risk_rules, spann, suffix_tree, url_rules
 from barloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op10_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
     return scores.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.cut(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
