@@ -6,8 +6,8 @@ every window that may recur) leave their documents. Stretches meet by seed; ther
 Aho-Corasick automata of bounded size, and every stretch of every document is streamed through the automaton of its seeds, which
 finds each occurrence word by word.
 
-Nothing depends on how often a seed occurs: exact copies of a text are one text with a weight, and the stretches of a seed with more than
-`HOT` of them are dealt over many groups, with their windows counted by a Spark aggregate first.
+Nothing depends on how often a seed occurs: equal texts and equal stretches are one with a weight, and a seed with more than `HOT`
+different stretches has them dealt over many groups, with their windows counted by a Spark aggregate first.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from barloom.llm.common import WordHashes, discard, mixed, texts, written
 WINDOW, SEED = 35, 5
 #: Stretches in one group, and windows compiled into one automaton.
 GROUP, PATTERNS = 16_384, 16_384
-#: Stretches of a seed from which they are dealt over several groups.
-HOT = 4_096
+#: Different stretches of a seed from which they are dealt over several groups.
+HOT = 16_384
 #: Texts with removed words up to which their spans are sent to all tasks (some 100 bytes each); a shuffle beyond.
 BROADCAST_TEXTS = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -46,32 +46,34 @@ def rolled(h: np.ndarray, k: int, factor: np.uint64 = _ODD) -> np.ndarray:
     return mixed(s)
 
 
-def seeds(h: np.ndarray, window: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows that share their seed: seed, first window, number of windows.
+def seeds(h: np.ndarray, window: int = WINDOW, k: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of neighbouring windows that share their seed: seed, first window, number of windows, places of the seed.
 
-    A window's seed is the leftmost of the smallest hashes of its `k`-word runs, so equal windows have equal seeds at equal
-    places; windows at different places never share a stretch unless they hold the same occurrence of the seed.
+    A window's seed is the smallest hash of its `k`-word runs, so equal windows have equal seeds, at equal places inside them: a
+    window can only come twice where its seed has two places.
     """
     if len(h) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    v, width, span = rolled(h, k), 1, window - k + 1
-    at = np.arange(len(v))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+    runs = v = rolled(h, k)
+    width, span = 1, window - k + 1
     while width < span:
         step = min(width, span - width)
-        later = v[step:] < v[:-step]
-        at = np.where(later, at[step:], at[:-step])
-        v = np.where(later, v[step:], v[:-step])
+        v = np.minimum(v[step:], v[:-step])
         width += step
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return v[first], first, np.diff(np.r_[first, len(at)])
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    n = np.diff(np.r_[first, len(v)])
+    # places of each stretch's seed among the runs its windows hold: its first window, and those entering with later windows
+    later = np.r_[0, np.cumsum(runs[span:] == v[1:])] if len(v) > 1 else np.zeros(1, np.int64)
+    once = np.array([np.count_nonzero(runs[f : f + span] == x) for f, x in zip(first.tolist(), v[first])])
+    return v[first], first, n, once + later[first + n - 1] - later[first]
 
 
-def _digest() -> Column:
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))))
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """`d, seed, first, n` of every stretch of every text."""
+    """`d, seed, first, n, times` of every stretch of every text."""
     known = WordHashes()
     for batch in batches:
         rows, parts = [], []
@@ -81,14 +83,14 @@ def _stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
                 parts.append(part)
                 rows.append(np.full(len(part[0]), i))
         if parts:
-            seed, first, n = (np.concatenate(x) for x in zip(*parts))
+            seed, *rest = (np.concatenate(x) for x in zip(*parts))
             d = batch.column(0).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([d, pa.array(seed.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["d", "seed", "first", "n"])
+            yield pa.RecordBatch.from_arrays([d, pa.array(seed.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], ["d", "seed", "first", "n", "times"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The words of each stretch that may recur, from rows `d, text, copies, cands`."""
-    names = ["d", "seed", "hot", "first", "copies", "piece"]
+    names = ["d", "seed", "first", "copies", "piece"]
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
@@ -101,7 +103,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 pieces.append(b" ".join(own[r][a : a + k + window - 1]))
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), flat.field("seed"), flat.field("hot"), first, batch.column(2).take(take), pa.array(pieces, pa.binary())], names
+                [batch.column(0).take(take), flat.field("seed"), first, batch.column(2).take(take), pa.array(pieces, pa.binary())], names
             )
 
 
@@ -113,7 +115,7 @@ class Phrases:
         self.ids = [tuple([number.setdefault(w, len(number)) for w in words(p)]) for p in pieces]
 
     def recurring(self, copies: list[int], rows: list[int]) -> dict[int, list[int]]:
-        """Stretch -> its windows that occur twice or more among `rows`: candidates by hash, the automaton's count decides later."""
+        """Stretch -> windows that start there first and twice or more among `rows`: found by 64-bit hash, counted again by the automaton."""
         flat = np.concatenate([np.array(self.ids[r], np.uint64) for r in rows])
         n = np.array([len(self.ids[r]) for r in rows])
         starts = np.cumsum(n) - n
@@ -121,9 +123,9 @@ class Phrases:
         off = np.arange(len(flat)) - starts[own]
         h = rolled(mixed((flat + np.uint64(1)) * _ODD), self.window)
         inside = np.flatnonzero((off + self.window <= n[own])[: len(h)])
-        back = np.unique(h[inside], return_inverse=True)[1]
+        _, at, back = np.unique(h[inside], return_index=True, return_inverse=True)
         weight = np.bincount(back, weights=np.array(copies, np.float64)[np.array(rows)[own[inside]]])
-        again = inside[weight[back] >= 2]
+        again = np.sort(inside[at[weight >= 2]])
         out: dict[int, list[int]] = {}
         for r, o in zip(np.array(rows)[own[again]].tolist(), off[again].tolist()):
             out.setdefault(r, []).append(o)
@@ -176,17 +178,16 @@ def covered(phrases: Phrases, seed: list[int], copies: list[int], known: list[li
 
 
 def _located(table: pa.Table, window: int) -> pa.Table:
-    """Runs `d, a, b` of the recurring words of the stretches of one group."""
+    """Runs `piece_id, a, b` of recurring words in the stretches of one group."""
     known = table.column("known").to_pylist() if "known" in table.column_names else None
     phrases = Phrases(table.column("piece").to_pylist(), window)
     rows = list(covered(phrases, table.column("seed").to_pylist(), table.column("copies").to_pylist(), known))
     r, a, b = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-    first = table.column("first").combine_chunks().to_numpy()[r]
-    return pa.table({"d": table.column("d").take(pa.array(r)), "a": pa.array((first + a).astype(np.int32)), "b": pa.array((first + b).astype(np.int32))})
+    return pa.table({"piece_id": table.column("piece_id").take(pa.array(r)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes, weight and place of every window of stretches `p, copies, piece`."""
+    """Two hashes, weight and place of every window of stretches `piece_id, copies, piece`."""
     known = WordHashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
@@ -197,17 +198,17 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             own = np.repeat(np.arange(len(n)), n)
             off = np.arange(len(own)) - (np.cumsum(n) - n)[own]
             take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), batch.column(1).take(take), batch.column(0).take(take), pa.array(off.astype(np.int32))], ["hi", "lo", "copies", "p", "off"])
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), batch.column(1).take(take), batch.column(0).take(take), pa.array(off.astype(np.int32))], ["hi", "lo", "copies", "piece_id", "off"])
 
 
-def _hot_spans(hot: DataFrame, groups: int, window: int) -> DataFrame:
+def _hot(pieces: DataFrame, groups: int, window: int) -> DataFrame:
     """As `_located`, for seeds with many stretches: windows counted by an aggregate, stretches dealt evenly over groups."""
-    hot = written(hot.withColumn("p", F.monotonically_increasing_id()), "repeats-hot")
-    windows = hot.select("p", "copies", "piece").mapInArrow(lambda b: _windows(b, window), "hi bigint, lo bigint, copies bigint, p bigint, off int")
+    schema = "hi bigint, lo bigint, copies bigint, piece_id binary, off int"
+    windows = written(pieces.select("piece_id", "copies", "piece").mapInArrow(lambda b: _windows(b, window), schema), "repeats-windows", codec="zstd")
     again = windows.groupBy("hi", "lo").agg(F.sum("copies").alias("n")).where("n >= 2").select("hi", "lo")
-    known = windows.join(again, ["hi", "lo"]).groupBy("p").agg(F.collect_list("off").alias("known"))
-    dealt = hot.join(known, "p").withColumn("part", F.pmod(F.xxhash64("p"), F.lit(groups)))
-    return dealt.groupBy("part").applyInArrow(lambda t: _located(t, window), "d binary, a int, b int")
+    known = windows.join(again, ["hi", "lo"]).groupBy("piece_id").agg(F.collect_list("off").alias("known"))
+    dealt = pieces.join(known, "piece_id").withColumn("part", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
+    return dealt.groupBy("part").applyInArrow(lambda t: _located(t, window), "piece_id binary, a int, b int")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,27 +233,31 @@ def spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Data
     Texts without such words have no row. Rows count as they are, copies too, so a text that is there twice and has `window` words is
     covered whole; null texts hold no words; other columns are not looked at; an empty table gives an empty one.
     """
-    docs = docs.select(F.col(text_col).alias("text")).where("text is not null").select(_digest().alias("d"), "text")
-    every = written(docs.mapInArrow(lambda b: _stretches(b, window), "d binary, seed bigint, first int, n int"), "repeats-seeds", codec="zstd")
-    # a seed counts once per occurrence, so also for a window that comes twice in one text
-    often = every.groupBy("seed").agg(F.count("*").alias("times")).where("times >= 2")
-    met = every.join(often.select("seed", (F.col("times") > HOT).alias("hot")), "seed")
-    cands = written(met.groupBy("d").agg(F.collect_set(F.struct("first", "n", "seed", "hot")).alias("cands")), "repeats-cands", codec="zstd")
-    total = cands.agg(F.coalesce(F.sum(F.size("cands")), F.lit(0)), F.max(F.exists("cands", lambda c: c["hot"]))).first()
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // GROUP))
+    docs = docs.select(F.col(text_col).alias("text")).where("text is not null").select(_digest("text").alias("d"), "text")
+    schema = "d binary, seed bigint, first int, n int, times int"
+    every = written(docs.mapInArrow(lambda b: _stretches(b, window), schema), "repeats-seeds", codec="zstd")
+    often = every.groupBy("seed").agg(F.sum("times").alias("places")).where("places >= 2").select("seed")
+    cands = every.join(often, "seed").groupBy("d").agg(F.collect_set(F.struct("first", "n", "seed")).alias("cands"))
     once = docs.groupBy("d").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    schema = "d binary, seed bigint, hot boolean, first int, copies bigint, piece binary"
+    schema = "d binary, seed bigint, first int, copies bigint, piece binary"
     pieces = once.join(cands, "d").select("d", "text", "copies", "cands").mapInArrow(lambda b: _pieces(b, window), schema)
-    if total[1]:
-        pieces = written(pieces, "repeats-pieces", codec="zstd")
-    cold = pieces.where("not hot").withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(groups)))
-    found = cold.groupBy("part").applyInArrow(lambda t: _located(t, window), "d binary, a int, b int")
-    if total[1]:
-        found = found.unionByName(_hot_spans(pieces.where("hot"), groups, window))
+    placed = written(pieces.withColumn("piece_id", _digest("piece")), "repeats-placed", codec="zstd")
+    discard(every)
+    # one row per different stretch; seeds that still have many are counted apart
+    stretches = written(placed.groupBy("seed", "piece", "piece_id").agg(F.sum("copies").alias("copies")), "repeats-stretches", codec="zstd")
+    hot = stretches.groupBy("seed").count().where(F.col("count") > HOT).select("seed")
+    n, crowded = stretches.count(), hot.count()
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP))
+    rest = stretches.join(hot, "seed", "left_anti") if crowded else stretches
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(groups)))
+    found = dealt.groupBy("part").applyInArrow(lambda t: _located(t, window), "piece_id binary, a int, b int")
+    if crowded:
+        found = found.unionByName(_hot(stretches.join(hot, "seed", "left_semi"), groups, window))
+    found = placed.select("d", "first", "piece_id").join(found, "piece_id").select("d", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     runs = found.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     merged = runs.mapInArrow(_merged, "d binary, spans array<struct<a:int,b:int>>")
     out = written(merged, "repeats-spans", codec="zstd")
-    discard(every, cands)
+    discard(placed, stretches)
     return out
 
 
@@ -280,7 +285,7 @@ def cut(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col:
     an empty table gives an empty one.
     """
     found = spans(docs, window, text_col)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).withColumn("d", _digest())
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).withColumn("d", _digest("text"))
     if found.count() <= BROADCAST_TEXTS:
         found = F.broadcast(found)
     joined = rows.join(found, "d", "left").select(id_col, "text", "spans")
