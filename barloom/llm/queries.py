@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, repeats, risk_rules, spann, suffix_tree, url_rules
+from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, repeats, risk_rules, rns, spann, suffix_tree, url_rules
 from barloom.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op10_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.cut(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_residue_gemm_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rns.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
