@@ -23,13 +23,14 @@ REMEMBERED = 1_000_000
 _UNSAFE = re.compile(r" (?:\s|$)")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
+@lru_cache(maxsize=4)
+def tokenizer(path: str, plain: bool = False):
+    """The tokenizer of a file as the library gives it; with `plain` the strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return t
 
 
@@ -41,8 +42,8 @@ class Encoder:
     Texts with other white space after a space are encoded in one go.
     """
 
-    def __init__(self, path: str):
-        self.t, self.known = tokenizer(path), {}
+    def __init__(self, path: str, plain: bool = False):
+        self.t, self.known = tokenizer(path, plain), {}
 
     def _fresh(self, parts: list[str]) -> dict[str, bytes]:
         return {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(parts, self.t.encode_batch_fast(parts, add_special_tokens=False))}
@@ -72,9 +73,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=4)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)
 
 
 def lengths(n: int, most: int = 2048) -> list[int]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bpe, host_paths, jaccard, nbsvm, packing, quotes, repeats, risk_rules, rns, spann, suffix_tree, url_rules
-from barloom.llm.common import remainder, table
+from barloom.llm import alignment, bpe, host_paths, jaccard, nbsvm, packing, quotes, repeats, risk_rules, rns, spann, suffix_tree, url_rules
+from barloom.llm.common import remainder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,12 @@ def op11_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame
 def op12_residue_gemm_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return rns.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query
+def op13_arrow_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"), "alignment", codec="zstd")
+    return alignment.with_counts(aligned, alignment.pair_counts(aligned, paths[1])).drop("links")
