@@ -7,7 +7,6 @@ by Acero on (text, end): where both end, a group closes. Tokens whose bytes over
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +16,8 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import texts, written
-from barloom.llm.packing import encoder
+from barloom.llm.bpe import encode, of_tokenizer_file
+from barloom.llm.common import in_blocks, texts, written
 
 #: Bytes of text aligned in one go, and different id pairs that a task holds before it passes them on.
 BLOCK, HELD = 1 << 21, 2_000_000
@@ -26,27 +25,6 @@ BLOCK, HELD = 1 << 21, 2_000_000
 BROADCAST_PAIRS = 4_000_000
 
 
-def _byte_letters() -> dict[str, int]:
-    """Letter of a byte-level vocabulary -> byte: printable Latin-1 letters stand for themselves, the others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-
-
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level tokenizer file; special tokens are their own text."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
-    letters, special = _byte_letters(), {t["id"]: t["content"].encode() for t in found.get("added_tokens", ())}
-    vocabulary = found["model"]["vocab"]
-    out = [b""] * (1 + max([*vocabulary.values(), *special]))
-    for token, i in vocabulary.items():
-        out[i] = special[i] if i in special else bytes(letters[c] for c in token)
-    for i, token in special.items():
-        out[i] = token
-    return out
-
-
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]]:
     """A piece tokenizer and the bytes of each id: U+2581 is a space, <0xHH> the byte HH."""
@@ -55,28 +33,41 @@ def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]
     return sp, [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
 
+def _joined(tokens: pa.Array, side: pa.Array) -> pa.Array:
+    """The bytes of each text's tokens, end to end."""
+    own = side.take(pc.list_flatten(tokens))
+    ends = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, own.offset * 4) if len(own) else np.zeros(1, np.int32)
+    offsets = pa.py_buffer(np.ascontiguousarray(ends[tokens.offsets.to_numpy()]))
+    return pa.Array.from_buffers(pa.binary(), len(tokens), [None, offsets, own.buffers()[2] or pa.py_buffer(b"")])
+
+
 class Aligner:
     """Both tokenizers with the lengths of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.bytes_a = encoder(path_a, True), byte_level(path_a)
+        self.a, self.bytes_a = of_tokenizer_file(path_a)
         self.b, self.bytes_b = pieces(path_b)
-        self.lengths = [pa.array([len(t) for t in side], pa.int64()) for side in (self.bytes_a, self.bytes_b)]
+        self.bytes = [pa.array(side, pa.binary()) for side in (self.bytes_a, self.bytes_b)]
+        self.lengths = [pc.binary_length(side).cast(pa.int64()) for side in self.bytes]
         # a token's number as text, once for each mark that can follow it
         self.names = [pa.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(len(side))]) for side in (self.bytes_a, self.bytes_b)]
 
     def encoded(self, own: list[bytes]) -> list[pa.Array]:
         """Ids of both sides per text, as lists; empty where a side's bytes are not a space and the text."""
         shown = [t.decode() for t in own]
-        a = [np.frombuffer(x, "<u4") for x in self.a.of([" " + t for t in shown])]
-        b = [self.b.encode(t, num_threads=1) if t else [] for t in shown]
-        for i, t in enumerate(own):
-            want = b" " + t
-            if not t or b"".join(map(self.bytes_b.__getitem__, b[i])) != want or b"".join(map(self.bytes_a.__getitem__, a[i].tolist())) != want:
-                a[i], b[i] = a[i][:0], []
-        offsets = [np.cumsum([0, *map(len, side)], dtype=np.int32) for side in (a, b)]
-        flat = [pa.array(np.concatenate(a).astype(np.int32)) if a else pa.array([], pa.int32()), pa.array([x for ids in b for x in ids], pa.int32())]
-        return [pa.ListArray.from_arrays(pa.array(o), f) for o, f in zip(offsets, flat)]
+        ids = [[encode(self.a, " " + t) if t else [] for t in shown], [self.b.encode(t, num_threads=1) if t else [] for t in shown]]
+        lists = [self._lists(side) for side in ids]
+        want = pa.array([b" " + t if t else b"" for t in own], pa.binary())
+        if not all(_joined(tokens, side).equals(want) for tokens, side in zip(lists, self.bytes)):
+            same = [_joined(tokens, side) for tokens, side in zip(lists, self.bytes)]
+            same = pc.and_(pc.equal(same[0], want), pc.equal(same[1], want)).to_pylist()
+            lists = [self._lists([x if ok else [] for x, ok in zip(side, same)]) for side in ids]
+        return lists
+
+    @staticmethod
+    def _lists(side: list) -> pa.Array:
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in side)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)], dtype=np.int32)), pa.array(flat))
 
     def aligned(self, lists: list[pa.Array]) -> dict[str, pa.Array]:
         """Per text: tokens, groups and links, the groups as text, and the links' id pairs (a times B's size plus b) as bytes."""
@@ -125,7 +116,7 @@ class Aligner:
         order = np.empty(len(names), np.int64)
         order[np.r_[place_a, place_b]] = np.arange(len(names))
         edges = np.r_[0, np.cumsum(np.bincount(at_text[0], minlength=n) + np.bincount(at_text[1], minlength=n))]
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), names.take(pa.array(order))), "")
+        return _joined(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(order)), names).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -133,15 +124,6 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order, some `BLOCK` bytes of text at a time."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    filled = (np.cumsum(sizes) - sizes) // BLOCK
-    edges = np.flatnonzero(np.r_[True, filled[1:] != filled[:-1], True]) if len(sizes) else []
-    for i, j in zip(edges[:-1], edges[1:]):
-        yield batch.slice(i, j - i)
-
-
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col, n_a, n_b, n_groups, n_links, groups, links` per row.
 
@@ -155,7 +137,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
         for whole in batches:
-            for batch in _blocks(whole, 1):
+            for batch in in_blocks(whole, 1, BLOCK):
                 found = own.aligned(own.encoded(texts(batch)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(found[n].cast(pa.int64()) for n in names[1:5]), found["groups"], found["links"]], names)
 

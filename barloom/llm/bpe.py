@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import re
 import tiktoken
 from pyspark.sql import DataFrame
@@ -28,6 +30,32 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _letters() -> dict[str, int]:
+    """Letter of a byte-level vocabulary -> byte: printable Latin-1 letters stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+@lru_cache(maxsize=4)
+def of_tokenizer_file(path: str, pattern: str = public_tokenizers.PATTERN) -> tuple[tiktoken.Encoding, list[bytes]]:
+    """The encoding of a byte-level BPE file of the tokenizers library, and the bytes of each id; special tokens are their own text.
+
+    The file must merge in the order of ids and split by the byte-level pattern alone, else it is a ValueError.
+    """
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model, split, letters = found["model"], found["pre_tokenizer"] or {}, _letters()
+    special = {t["content"]: t["id"] for t in found.get("added_tokens") or ()}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged) or found["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        raise ValueError(f"{path} is no plain byte-level BPE")
+    shown = [b""] * (1 + max([*ranks.values(), *special.values()]))
+    for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+        shown[i] = token
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), shown
+
+
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
     """The text in order, cut at the first safe boundary after every `size` characters; a stretch without one stays whole."""
     start = 0
@@ -40,11 +68,12 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(enc: tiktoken.Encoding, text: str, size: int = BLOCK) -> np.ndarray:
-    """The ids as little-endian unsigned 32-bit integers."""
+def encode(enc: tiktoken.Encoding, text: str, size: int = BLOCK, special: bool = False) -> np.ndarray:
+    """The ids as little-endian unsigned 32-bit integers; with `special` the strings of special tokens, which hold no space, are these."""
+    own = (lambda t: enc.encode(t, allowed_special="all")) if special and any(s in text for s in enc.special_tokens_set) else enc.encode_ordinary
     if len(text) <= size:
-        return np.asarray(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(part), "<u4") for part in blocks(text, size)])
+        return np.asarray(own(text), "<u4")
+    return np.concatenate([np.asarray(own(part), "<u4") for part in blocks(text, size)])
 
 
 def decode(enc: tiktoken.Encoding, ids: Iterable[int]) -> bytes:

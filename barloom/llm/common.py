@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -70,6 +71,15 @@ def texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def in_blocks(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, with some `size` bytes in the column at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // size
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist() if len(sizes) else []
+    for i, j in zip(edges, edges[1:]):
+        yield batch.slice(i, j - i)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered for the first `REMEMBERED` words met."""
 

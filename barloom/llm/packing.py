@@ -6,76 +6,19 @@ sequences of one length, so the length is the bucket.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import texts
+from barloom.llm.bpe import encode, of_tokenizer_file
+from barloom.llm.common import in_blocks, texts
 
-#: Words a worker remembers with their ids, over all its tasks; further ones are encoded at each occurrence.
-REMEMBERED = 1_000_000
-#: White space after a space, or a space at the end: there words can't be encoded one by one.
-_UNSAFE = re.compile(r" (?:\s|$)")
-
-
-@lru_cache(maxsize=4)
-def tokenizer(path: str, plain: bool = False):
-    """The tokenizer of a file as the library gives it; with `plain` the strings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = plain
-    return t
-
-
-class Encoder:
-    """Ids of texts as little-endian u32 bytes.
-
-    Between a character that is no white space and a single space before another such character every match of the
-    byte-level pattern ends, so a text is the concatenation of ` word` parts encoded one by one, and parts repeat.
-    Texts with other white space after a space are encoded in one go.
-    """
-
-    def __init__(self, path: str, plain: bool = False):
-        self.t, self.known = tokenizer(path, plain), {}
-
-    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        return {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(parts, self.t.encode_batch_fast(parts, add_special_tokens=False))}
-
-    def of(self, batch: list[str]) -> list[bytes]:
-        split, missing = [], set()
-        for text in batch:
-            if _UNSAFE.search(text):
-                parts = [text]
-            else:
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + w for w in rest]] if text else []
-            split.append(parts)
-            missing.update(parts)
-        missing.difference_update(self.known)
-        fresh = self._fresh(sorted(missing))
-        known = self.known
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        if len(known) > REMEMBERED or max(map(len, fresh), default=0) > 64:
-            room = REMEMBERED - len(known) + len(fresh)
-            for p in fresh:
-                if room > 0 and len(p) <= 64:
-                    room -= 1
-                else:
-                    del known[p]
-        return out
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str, plain: bool = False) -> Encoder:
-    return Encoder(path, plain)
+#: Bytes of text packed in one go.
+BLOCK = 1 << 22
+#: Place of the bucket's power in a sequence id: below it are the numbers of the sequences.
+_BUCKET = 58
 
 
 def lengths(n: int, most: int = 2048) -> list[int]:
@@ -88,35 +31,34 @@ def pack(
 ) -> DataFrame:
     """One row per piece: `doc_id, start, length, ids` (binary, little-endian u32), `doc_tokens, sequence_id, offset`.
 
-    Each document is its ids and then `end_id`; a null text is an empty one and gives the single id. `most` must be
-    a power of two. Every piece fills a sequence, so `offset` is 0 and `length` is the bucket. Rows of one id are packed
-    one by one, null ids too; other columns are not looked at; an empty table gives an empty one.
+    Each document is its ids, as the tokenizers library gives them for the file without added special tokens (a special token's string
+    in a text is that token), and then `end_id`; a null text is an empty one and gives the single id. `most` must be a power of two.
+    Every piece fills a sequence, so `offset` is 0 and `length` is the bucket; sequences of one bucket have ids in one range. Rows of
+    one id are packed one by one, null ids too; other columns are not looked at; an empty table gives an empty one.
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
     names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
+        own, end = of_tokenizer_file(path)[0], np.asarray([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), own.of([t.decode() for t in texts(batch)])):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    for k in lengths(n, most):
-                        rows.append((doc, start, k, ids[4 * start : 4 * (start + k)], n))
-                        start += k
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[i], t) for i, t in enumerate((batch.schema.types[0], pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names
-                )
+            for batch in in_blocks(whole, 1, BLOCK):
+                ids = [x for t in texts(batch) for x in (encode(own, t.decode(), special=True), end)]
+                n = np.array([len(x) + 1 for x in ids[::2]])
+                cut = [lengths(k, most) for k in n.tolist()]
+                row = np.repeat(np.arange(len(n)), [len(c) for c in cut])
+                length = np.array([k for c in cut for k in c])
+                at = np.r_[0, np.cumsum(length)]  # pieces lie end to end, as their documents do
+                start = at[:-1] - (np.cumsum(n) - n)[row]
+                held = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(np.concatenate(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), held, pa.array(n[row])], names)
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_col)
     kind = source.schema[0].dataType.simpleString()
     pieces = source.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    bucket = F.shiftleft(F.round(F.log2("length")).cast("bigint"), _BUCKET)
+    return pieces.withColumns({"sequence_id": bucket + F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

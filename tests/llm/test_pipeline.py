@@ -2,9 +2,10 @@
 
 import numpy as np
 import public_tokenizers as P
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barloom.llm import nbsvm, packing, risk_rules
+from barloom.llm import nbsvm, risk_rules
 from barloom.llm.common import table
 from tests.llm.test_jaccard import brute
 from tests.llm.test_quality_models import counts
@@ -19,7 +20,7 @@ def test_pipeline_against_brute_force(spark):
     # 1,000 documents have too few labels for any cutoff, so the base rule alone decides
     rows = [r for r in rows if (n := counts(r.text))[0] >= 20 and 100 * n[5] <= 30 * n[0]]
     first = {c for i, _, c in brute([(r.doc_id, r.text) for r in rows]) if i == c}
-    want, t = {}, packing.tokenizer(P.path("byte_bpe_50k.json"))
+    want, t = {}, Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for r in rows:
         if r.doc_id in first:
             want[r.doc_id] = np.asarray(t.encode(r.text, add_special_tokens=False).ids + [1], "<u4").tobytes()

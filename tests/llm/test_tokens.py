@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from barloom.llm import bpe, packing
 from barloom.llm.queries import QUERIES
@@ -54,20 +55,20 @@ def test_decode_of_part_of_a_character():
     assert len(ids) > 1 and bpe.decode(enc, ids[:1]) == "🙂".encode()[: len(bpe.decode(enc, ids[:1]))]
 
 
-def test_words_one_by_one_give_the_ids_of_whole_texts():
-    t = packing.tokenizer(JSON)
-    encoder = packing.Encoder(JSON)
-    for _ in range(2):  # the second time from memory
-        got = encoder.of([t or "" for t in ALL])
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in ALL]
+def test_ids_are_those_of_the_library():
+    """An untouched tokenizer: strings of special tokens are special tokens."""
+    t, (enc, shown) = Tokenizer.from_file(JSON), bpe.of_tokenizer_file(JSON)
+    texts = [t or "" for t in ALL] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "a <|endoftext|", "w " * 40_000 + "<|endoftext|> 1"]
+    assert bpe.encode(enc, "a <|endoftext|> b", special=True).tolist() == [64, 220, 50256, 275]
+    for text in texts:
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(enc, text, special=True).tolist() == ids
+        assert b"".join(shown[i] for i in ids) == text.encode()
 
 
-def test_little_memory(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 5)
-    encoder, t = packing.Encoder(JSON), packing.tokenizer(JSON)
-    for text in ALL:
-        assert np.frombuffer(encoder.of([text or ""])[0], "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
-        assert len(encoder.known) <= 5
+def test_files_of_another_kind_are_an_error():
+    with pytest.raises(ValueError):
+        bpe.of_tokenizer_file(P.path("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 4095, 10_000])
@@ -77,8 +78,9 @@ def test_lengths(n):
 
 
 def test_pieces_put_documents_together_again(frame):
-    t = packing.tokenizer(JSON)
+    t = Tokenizer.from_file(JSON)
     rows = packing.pack(frame, JSON, most=64).collect()
+    assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted(r.length for r in rows)  # by bucket
     assert len({r.sequence_id for r in rows}) == len(rows) and {r.offset for r in rows} == {0}
     by = {}
     for r in sorted(rows, key=lambda r: r.start):
@@ -105,7 +107,7 @@ def test_buckets_on_disk(spark, frame, tmp_path):
 
 
 def test_queries_over_whole_tables(spark):
-    enc, t = bpe.encoding(RANKS, P.PATTERN), packing.tokenizer(JSON)
+    enc, t = bpe.encoding(RANKS, P.PATTERN), Tokenizer.from_file(JSON)
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op6_byte_bpe"](spark, SF).collect():
         ids = np.asarray(enc.encode_ordinary(docs[r.doc_id]), "<u4")
