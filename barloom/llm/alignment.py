@@ -7,6 +7,7 @@ by Acero on (text, end): where both end, a group closes. Tokens whose bytes over
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from barloom.llm.bpe import encode, of_tokenizer_file
 from barloom.llm.common import in_blocks, texts, written
 
 #: Bytes of text aligned in one go, and different id pairs that a task holds before it passes them on.
-BLOCK, HELD = 1 << 21, 2_000_000
+BLOCK, HELD = 1 << 19, 1_000_000
 #: Id pairs up to which their counts are sent to all tasks (13 bytes each); joined by a shuffle beyond.
 BROADCAST_PAIRS = 4_000_000
 
@@ -49,6 +50,7 @@ class Aligner:
         self.b, self.bytes_b = pieces(path_b)
         self.bytes = [pa.array(side, pa.binary()) for side in (self.bytes_a, self.bytes_b)]
         self.lengths = [pc.binary_length(side).cast(pa.int64()) for side in self.bytes]
+        self.kind = "<u4" if len(self.bytes_a) * len(self.bytes_b) < 1 << 32 else "<i8"
         # a token's number as text, once for each mark that can follow it
         self.names = [pa.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(len(side))]) for side in (self.bytes_a, self.bytes_b)]
 
@@ -98,7 +100,7 @@ class Aligner:
         count = lambda t: np.bincount(t, minlength=n)
         n_links = count(cut_text)
         edges = np.r_[0, np.cumsum(n_links)]
-        blobs = [link[i:j].astype("<i8").tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        blobs = [link[i:j].astype(self.kind).tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
         return {
             "n_a": pa.array(count(at_text[0])), "n_b": pa.array(count(at_text[1])), "n_groups": pa.array(count(at_text[0][closes[0]])),
             "n_links": pa.array(n_links), "groups": self._shown(ids, at_text, closes, n), "links": pa.array(blobs, pa.binary()),
@@ -124,12 +126,14 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(
+    docs: DataFrame, path_a: str, path_b: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """`id_col, n_a, n_b, n_groups, n_links, groups, links` per row.
 
     A encodes a space and the text, B the text, which it puts a space before; strings of special tokens are plain text. `groups` is
-    `a1,a2|b1;a3|b2,b3` in ids, `links` the id pairs of overlapping tokens in order (a times the size of B plus b, little-endian
-    64-bit). Rows whose text is null or empty, or not the bytes of both sides' tokens, have no tokens: zeros and empty values. Ids
+    `a1,a2|b1;a3|b2,b3` in ids (with `digest` its SHA-256 in hex), `links` the id pairs of overlapping tokens in order (a times the size
+    of B plus b, little-endian, unsigned 32 bits if all pairs fit, else 64). Rows whose text is null or empty, or not the bytes of both sides' tokens, have no tokens: zeros and empty values. Ids
     are passed on as they are, null and repeated ones too; other columns are not looked at; an empty table gives an empty one.
     """
     names = [id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
@@ -139,6 +143,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         for whole in batches:
             for batch in in_blocks(whole, 1, BLOCK):
                 found = own.aligned(own.encoded(texts(batch)))
+                if digest:
+                    found["groups"] = pa.array([hashlib.sha256(g.as_buffer()).hexdigest() if g.as_py() else "" for g in found["groups"]], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(found[n].cast(pa.int64()) for n in names[1:5]), found["groups"], found["links"]], names)
 
     source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -146,20 +152,21 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     return source.mapInArrow(run, f"`{id_col}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary")
 
 
-def _pairs(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(blobs: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of the rows' links, and each one's row."""
-    data = [np.frombuffer(b, "<i8") for b in blobs.to_pylist()]
-    return (np.concatenate(data) if data else np.zeros(0, np.int64)), np.repeat(np.arange(len(data)), [len(d) for d in data])
+    data = [np.frombuffer(b, kind) for b in blobs.to_pylist()]
+    return np.concatenate([np.zeros(0, kind), *data]).astype(np.int64), np.repeat(np.arange(len(data)), [len(d) for d in data])
 
 
-def pair_counts(aligned: DataFrame, path_b: str) -> DataFrame:
+def pair_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """`pair, n, best` over the whole corpus: links that hold the pair, and if no pair of its B id is held by more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = aligner(path_a, path_b).kind
         held = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                pair = _pairs(whole.column(0).slice(at, 512))[0]
+                pair = _pairs(whole.column(0).slice(at, 512), kind)[0]
                 held = pa.concat_tables([held, pa.table({"pair": pair, "n": np.ones(len(pair), np.int64)})])
                 if held.num_rows > HELD:
                     held = held.group_by("pair", use_threads=False).aggregate([("n", "sum")]).rename_columns(["pair", "n"])
@@ -176,22 +183,23 @@ def pair_counts(aligned: DataFrame, path_b: str) -> DataFrame:
     return counts.join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))  # one row per B id
 
 
-def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def with_counts(aligned: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """`aligned` with `n_best` (links whose pair is the most frequent of its B id) and `count_sum` (their pairs' counts added up)."""
     spark, columns = aligned.sparkSession, [c for c in aligned.columns if c not in ("n_best", "count_sum")]
     aligned = aligned.select(*columns)
     if counts.count() > BROADCAST_PAIRS:
-        return _joined_counts(aligned, counts)
+        return _joined_counts(aligned, counts, path_a, path_b)
     rows = counts.orderBy("pair").toArrow()
     table = spark.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("pair", "n", "best")))
     at = columns.index("links")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = table.value
+        kind = aligner(path_a, path_b).kind
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                links, row = _pairs(batch.column(at))
+                links, row = _pairs(batch.column(at), kind)
                 k = np.searchsorted(pair, links)
                 sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
                 for total, values in zip(sums, (best[k], n[k]) if len(k) else ()):
@@ -202,13 +210,14 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     return aligned.mapInArrow(run, f"{schema}, n_best bigint, count_sum bigint")
 
 
-def _joined_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def _joined_counts(aligned: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """As `with_counts`, the counts joined by a shuffle of each row's different pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = aligner(path_a, path_b).kind
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                pair, row = _pairs(whole.column(1).slice(at, 512))
+                pair, row = _pairs(whole.column(1).slice(at, 512), kind)
                 order = np.lexsort((pair, row))
                 pair, row = pair[order], row[order]
                 first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]) if len(pair) else np.zeros(0, np.int64)

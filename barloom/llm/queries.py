@@ -94,7 +94,6 @@ def op12_residue_gemm_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_arrow_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"), "alignment", codec="zstd")
-    return alignment.with_counts(aligned, alignment.pair_counts(aligned, paths[1])).drop("links")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+    aligned = written(aligned, "alignment", batch=512, codec="zstd")
+    return alignment.with_counts(aligned, alignment.pair_counts(aligned, *paths), *paths).drop("links")

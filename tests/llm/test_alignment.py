@@ -75,7 +75,7 @@ def brute(rows):
 def run(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, links int, n_best string")
     aligned = alignment.align(df, A, B).cache()
-    got = alignment.with_counts(aligned, alignment.pair_counts(aligned, B)).drop("links")
+    got = alignment.with_counts(aligned, alignment.pair_counts(aligned, A, B), A, B).drop("links")
     return sorted((tuple(r) for r in got.collect()), key=repr)
 
 
