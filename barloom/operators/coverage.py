@@ -47,12 +47,12 @@ def coverage(factors: DataFrame, bars: DataFrame, names: list[str] | None = None
     )
 
 
-def distribution(factors: DataFrame, bars: DataFrame, *, group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def distribution(factors: DataFrame, bars: DataFrame) -> DataFrame:
     """Per day and factor: valid values, mean, sample deviation, quantiles and coverage."""
     by = ["trade_date", "factor_name"]
     rows = factors.where(_valid()).select(*by, "security_id", "value")
     moments = [F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
-    out = ranking.quantiles(rows, by, "value", ["security_id"], POINTS, extra=moments, group_limit=group_limit)
+    out = ranking.quantiles(rows, by, "value", ["security_id"], POINTS, extra=moments)
     universe = bars.groupBy("trade_date").agg(F.count("*").alias("universe"))
     return out.join(universe, "trade_date", "left").withColumn(
         "coverage", F.coalesce(F.try_divide("n_valid", "universe"), F.lit(0.0))
@@ -70,12 +70,11 @@ def coverage_series(factors: DataFrame, bars: DataFrame, factor: str, limit_days
     )
 
 
-def matrix(factors: DataFrame, bars: DataFrame, day: dt.date | None = None, *,
-           group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def matrix(factors: DataFrame, bars: DataFrame, day: dt.date | None = None) -> DataFrame:
     """All factors of a day (default: the latest one): coverage, median, mean."""
     d = F.lit(day).cast("date") if day else factors.agg(F.max("trade_date")).scalar()
     rows = factors.where(F.col("trade_date") == d)
-    out = distribution(rows, bars.where(F.col("trade_date") == d), group_limit=group_limit)
+    out = distribution(rows, bars.where(F.col("trade_date") == d))
     return out.select("trade_date", "factor_name", "n_valid", "universe", "coverage", "p50", "mean")
 
 
@@ -92,7 +91,7 @@ def histogram(factors: DataFrame, by: list[str], bins: int = 30) -> DataFrame:
 
 
 def forward_buckets(factors: DataFrame, bars: DataFrame, calendar: DataFrame, *, min_names: int = 50,
-                    buckets: int = 5, adjust: str = "post", group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+                    buckets: int = 5, adjust: str = "post") -> DataFrame:
     """Mean return to the next open day per factor bucket, one row per day, factor and bucket.
 
     Days with fewer than `min_names` names are left out. `adjust='none'` uses raw closes.
@@ -106,7 +105,7 @@ def forward_buckets(factors: DataFrame, bars: DataFrame, calendar: DataFrame, *,
     )
     by = ["trade_date", "factor_name"]
     rows = factors.where(_valid()).select(*by, "security_id", "value").join(fwd, ["security_id", "trade_date"])
-    ranked = ranking.order_rank(rows, by, ["value", "security_id"], total="n", group_limit=group_limit)
+    ranked = ranking.order_rank(rows, by, ["value", "security_id"], total="n")
     cut = ranked.where(F.col("n") >= min_names).withColumn("quintile", ranking.quantile_bucket(buckets))
     return cut.groupBy(*by, "fwd_date", "quintile").agg(
         F.avg("fwd_ret").alias("mean_fwd_ret"), F.count("*").alias("names"), F.max("n").alias("n_names")

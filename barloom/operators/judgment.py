@@ -13,44 +13,38 @@ from barloom.operators.prices import post_close
 from barloom.session import durable
 
 
-def percentiles(factors: DataFrame, by: list[str], *, counted: str | None = None, prepared: bool = False,
-                group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def percentiles(factors: DataFrame, by: list[str], *, counted: str | None = None) -> DataFrame:
     """Share of the cross-section at or below each value (`pct`) and its size (`n`)."""
     rows = factors.where(v.is_finite(F.col("value")))
-    ranked = ranking.with_tie_ranks(rows, by, "value", ["security_id"], counted=counted, prepared=prepared,
-                                    group_limit=group_limit)
+    ranked = ranking.with_tie_ranks(rows, by, "value", ["security_id"], counted=counted)
     return ranked.withColumn("pct", ranking.share_at_or_below()).drop("rn", "rank_low", "rank_high")
 
 
-def market_percentiles(factors: DataFrame, *, prepared: bool = False, group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
-    return percentiles(factors, ["trade_date", "factor_name"], prepared=prepared, group_limit=group_limit)
+def market_percentiles(factors: DataFrame) -> DataFrame:
+    return percentiles(factors, ["trade_date", "factor_name"])
 
 
-def index_percentiles(factors: DataFrame, members: DataFrame, index_code: str, *,
-                      group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def index_percentiles(factors: DataFrame, members: DataFrame, index_code: str) -> DataFrame:
     """Every value against the index members' values of the day (the row itself need not be a member)."""
     spans = members.where(F.col("index_code") == index_code).select("security_id", "in_date", "out_date",
                                                                     F.lit(True).alias("member"))
     marked = asof.attach_interval(factors, spans, ["security_id"], ["member"])
     marked = marked.withColumn("member", F.coalesce("member", F.lit(False)))
-    return percentiles(marked, ["trade_date", "factor_name"], counted="member", group_limit=group_limit)
+    return percentiles(marked, ["trade_date", "factor_name"], counted="member")
 
 
-def industry_percentiles(factors: DataFrame, industry: DataFrame, level: str, *, prepared: bool = False,
-                         group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def industry_percentiles(factors: DataFrame, industry: DataFrame, level: str) -> DataFrame:
     placed = asof.attach_interval(factors, industry.where(F.col("level") == level), ["security_id"], ["industry"])
-    return percentiles(placed.where("industry is not null"), ["trade_date", "factor_name", "industry"], prepared=prepared,
-                       group_limit=group_limit)
+    return percentiles(placed.where("industry is not null"), ["trade_date", "factor_name", "industry"])
 
 
-def factor_profile(factors: DataFrame, industry: DataFrame, level: str = "sw_l1", *, prepared: bool = False,
-                   group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def factor_profile(factors: DataFrame, industry: DataFrame, level: str = "sw_l1") -> DataFrame:
     """Value, market share and in-industry share per security, day and factor."""
     keys = ["trade_date", "security_id", "factor_name"]
-    market = market_percentiles(factors, prepared=prepared, group_limit=group_limit).select(
+    market = market_percentiles(factors).select(
         *keys, "value", F.col("pct").alias("pct_market"), F.col("n").alias("n_market")
     )
-    peers = industry_percentiles(factors, industry, level, group_limit=group_limit).select(
+    peers = industry_percentiles(factors, industry, level).select(
         *keys, "industry", F.col("pct").alias("pct_industry"), F.col("n").alias("n_industry")
     )
     return market.join(peers, keys, "left")
@@ -140,18 +134,17 @@ def tradability(bars: DataFrame, suspensions: DataFrame, statements: DataFrame,
 
 def cards(master: DataFrame, bars: DataFrame, factors: DataFrame, members: DataFrame, industry: DataFrame,
           statements: DataFrame, suspensions: DataFrame, day: dt.date, *, benchmark: str, window: int = 20,
-          universe: str = "ALL", level: str = "sw_l1", lookback: int = 20,
-          group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+          universe: str = "ALL", level: str = "sw_l1", lookback: int = 20) -> DataFrame:
     """One card per security of the master, as one wide join."""
     names = list(rules.SEED_FACTORS)
     # One day's values, read by several cross-sections below.
     today = durable(factors.where((F.col("trade_date") == F.lit(day)) & F.col("factor_name").isin(*names)))
     # Three wide tables are made of the profile, so it is stored too.
-    profile = durable(factor_profile(today, industry, level, prepared=True, group_limit=group_limit))
+    profile = durable(factor_profile(today, industry, level))
     if universe in ("ALL", "*", "all", ""):
         shares = wide(profile, "pct_market", names, "_pct")
     else:
-        ranked = index_percentiles(today, members, universe, group_limit=group_limit)
+        ranked = index_percentiles(today, members, universe)
         shares = wide(ranked, "pct", names, "_pct")
     raw = wide(profile, "value", names)
     peers = wide(profile, "pct_industry", names, "_in_industry")

@@ -1,130 +1,131 @@
-"""Cross-section ranks that survive a very large group.
+"""Cross-section ranks whose work is spread by rows, not by groups.
 
-A day's cross-section is normally some thousands of rows, where a plain window
-is the right plan. It may also hold a third of all rows; then a window would sort
-the whole group in one task. `order_rank` measures the largest group first and,
-above a limit, splits groups at deterministic sample points: rank = rows in lower
-slices + position inside the slice. Both ways give the same numbers.
+Rows are dealt to ranges of the whole order (group, value, tie), so a day with a third of all rows is many ranges and a day with
+few rows lies in one. The ranges are cut at keys that a hash picks from the rows: they depend on the rows alone, hold some
+`SPARSE * PER_RANGE` rows each, and are `RANGES` at most. A rank is the place inside the range plus the rows of the group in
+lower ranges. A cut divides one group, so all numbers that cross ranges fit in a table of a few rows per cut, whatever the input;
+without cuts the plan is one window. Nothing is stored and nothing comes back to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.session import durable
+#: One key in so many is sampled, every so-manieth sampled key is a cut, and there are so many ranges at most.
+SPARSE, PER_RANGE, RANGES = 131_072, 32, 1_024
 
-GROUP_LIMIT = 2_000_000   # rows of one group that one task may sort
-SAMPLES_PER_SLICE = 16
-RUN = 64
 
+def _running(by: list[str], order: list[str]) -> Window:
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
-def _sized(df: DataFrame, by: list[str], counted: str | None, prepared: bool, group_limit: int) -> tuple[DataFrame, bool]:
-    """Input with its 0/1 weight column, and whether every group fits one task's sort.
 
-    The input is read several times, so it is checkpointed unless the caller
-    says it is cheap to read again. One number comes back to the driver.
-    """
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        hit = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        cond = hit if cond is None else cond & hit
+    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+
+
+def _cuts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the cut keys in order, as an array of structs."""
+    picked = F.xxhash64(*keys).alias("h")
+    sample = df.select(F.struct(*keys).alias("key"), picked).where(F.pmod("h", F.lit(SPARSE)) == 0)
+    fewest = sample.orderBy("h").limit(RANGES * PER_RANGE)
+    return fewest.agg(F.filter(F.sort_array(F.collect_list("key")), lambda _, i: i % PER_RANGE == PER_RANGE - 1).alias("cuts"))
+
+
+def _range_of(cuts: Column, key: Column) -> Column:
+    """How many cuts lie below the key, by halving."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in reversed(range(RANGES.bit_length()))]), lambda s: s <= F.size(cuts))
+    below = lambda at, s: F.coalesce(F.try_element_at(cuts, at + s) < key, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(below(at, s), at + s).otherwise(at))
+
+
+def _placed(df: DataFrame, by: list[str], order: list[str], counted: str | None, source: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their range and 0/1 weight, those of `source` likewise, and the cuts as rows of `by` and `order`."""
     weight = F.lit(1) if counted is None else F.coalesce(F.col(counted).cast("int"), F.lit(0))
-    base = df.withColumn("__w", weight.cast("bigint"))
-    if not prepared:
-        base = durable(base)
-    largest = base.groupBy(*by).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
-    return base, largest <= group_limit
+    cuts = _cuts(df if source is None else source, by + order)
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"__w": weight.cast("bigint"), "__cuts": cuts.scalar()})
+        return rows.withColumn("__range", _range_of(F.col("__cuts"), F.struct(*by, *order))).drop("__cuts")
 
-def _running(by: list[str], order: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt(df)
+    return rows, rows if source is None else dealt(source), cuts.select(F.explode("cuts").alias("c")).select("c.*")
 
 
 def order_rank(
-    df: DataFrame, by: list[str], order: list[str], *, rank: str = "rn", total: str | None = None,
-    counted: str | None = None, prepared: bool = False, group_limit: int = GROUP_LIMIT,
+    df: DataFrame, by: list[str], order: list[str], *, rank: str = "rn", total: str | None = None, counted: str | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """row_number() within `by`, ascending by `order` (which must be unique per group).
 
     `total` names an extra column with the group's row count. With `counted` (a
     boolean column) only marked rows count, so an unmarked row gets the number
-    of marked rows at or before it. `prepared` says the input is stored already.
+    of marked rows at or before it. The rows are read up to three times; where that is dear, store them first.
+    `source` may name the same rows before further columns were made, which do not matter to where ranges are cut.
     """
     if not by:
-        one = df.withColumn("__all", F.lit(1))
-        return order_rank(one, ["__all"], order, rank=rank, total=total, counted=counted, prepared=prepared,
-                          group_limit=group_limit).drop("__all")
-    base, small = _sized(df, by, counted, prepared, group_limit)
-    if small:
-        out = base.withColumn(rank, F.sum("__w").over(_running(by, order)))
-        if total is not None:
-            out = out.withColumn(total, F.sum("__w").over(Window.partitionBy(*by)))
-        return out.drop("__w")
-    out = _sliced_rank(base, by, order, rank, group_limit).drop("__w")
-    if total is None:
-        return out
-    return null_safe_join(out, base.groupBy(*by).agg(F.sum("__w").alias(total)), by)
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        hit = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        cond = hit if cond is None else cond & hit
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
-
-
-def _sliced_rank(base: DataFrame, by: list[str], order: list[str], rank: str, group_limit: int) -> DataFrame:
-    key = F.struct(*order)
-    step = max(1, group_limit // SAMPLES_PER_SLICE)
-    # The sample depends on the rows alone, so every recomputation slices alike.
-    sample = base.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("__s")).select(
-        *by,
-        F.expr(f"filter(__s, (x, i) -> i % {SAMPLES_PER_SLICE} = {SAMPLES_PER_SLICE - 1})").alias("__cuts"),
-    )
-    # Cuts are looked up in two steps: the heads of runs of cuts, then one run.
-    runs = F.expr(f"filter(__cuts, (x, i) -> i % {RUN} = 0)")
-    ahead = F.greatest(F.size(F.filter(runs, lambda c: c < key)) - 1, F.lit(0)) * RUN
-    slot = ahead + F.size(F.filter(F.slice("__cuts", ahead + 1, RUN), lambda c: c < key))
-    slotted = null_safe_join(base, cuts, by, "left").withColumn(
-        "__slot", F.when(F.col("__cuts").isNull(), 0).otherwise(slot)
-    ).drop("__cuts")
-    # One row per slice: small, and bounded by rows / group_limit.
-    w = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    below = slotted.groupBy(*by, "__slot").agg(F.sum("__w").alias("__n")).select(
-        *by, "__slot", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__below")
-    )
-    inside = F.sum("__w").over(
-        Window.partitionBy(*by, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        null_safe_join(slotted, below, by + ["__slot"])
-        .withColumn(rank, inside + F.col("__below"))
-        .drop("__slot", "__below")
+        one, whole = (None if x is None else x.withColumn("__all", F.lit(1)) for x in (df, source))
+        return order_rank(one, ["__all"], order, rank=rank, total=total, counted=counted, source=whole).drop("__all")
+    rows, base, cuts = _placed(df, by, order, counted, source)
+    cell = by + ["__range"]
+    own = rows.withColumn(rank, F.sum("__w").over(_running(cell, order)))
+    if total is not None:
+        own = own.withColumn(total, F.sum("__w").over(Window.partitionBy(*cell)))
+    # groups with a cut inside: at most one per cut, and two cells per cut
+    crossed = F.broadcast(cuts.select(*by).distinct())
+    cells = null_safe_join(base, crossed, by).groupBy(*cell).agg(F.sum("__w").alias("__n"))
+    up = Window.partitionBy(*by).orderBy("__range")
+    lower = cells.select(
+        *cell, (F.sum("__n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__below"),
+        F.sum("__n").over(Window.partitionBy(*by)).alias("__whole"),
     )
+    out = null_safe_join(own, F.broadcast(lower), cell, "left").withColumn(rank, F.col(rank) + F.coalesce("__below", F.lit(0)))
+    if total is not None:
+        out = out.withColumn(total, F.coalesce("__whole", total))
+    return out.drop("__w", "__range", "__below", "__whole")
 
 
-def with_tie_ranks(
-    df: DataFrame, by: list[str], value: str, tie: list[str], *, counted: str | None = None, prepared: bool = False,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def with_tie_ranks(df: DataFrame, by: list[str], value: str, tie: list[str], *, counted: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Adds rn (first rank), rank_low / rank_high (of the tied values) and n per group.
 
-    In large groups the tied rows are reduced before they are joined back, so a
-    value shared by many rows costs one row per map task in the shuffle.
+    Ties inside a range are a window over the same sort; a value that lies on both sides of a cut (at most one per cut) has
+    its first and last rank put together from the counts of its ranges.
     """
-    base, small = _sized(df, by, counted, prepared, group_limit)
-    if small:
-        # One shuffle and one sort serve all four windows.
-        tied = Window.partitionBy(*by, value)
-        return (
-            base.withColumn("rn", F.sum("__w").over(_running(by, [value] + tie)))
-            .withColumns({"rank_low": F.min("rn").over(tied), "rank_high": F.max("rn").over(tied),
-                          "n": F.sum("__w").over(Window.partitionBy(*by))})
-            .drop("__w")
-        )
-    ranked = _sliced_rank(base, by, [value] + tie, "rn", group_limit).drop("__w")
-    ties = ranked.groupBy(*by, value).agg(F.min("rn").alias("rank_low"), F.max("rn").alias("rank_high"))
-    sizes = base.groupBy(*by).agg(F.sum("__w").alias("n"))
-    return null_safe_join(null_safe_join(ranked, ties, by + [value]), sizes, by)
+    rows, base, cuts = _placed(df, by, [value] + tie, counted, source)
+    cell = by + ["__range"]
+    tied = Window.partitionBy(*cell, value)
+    own = rows.withColumn("rn", F.sum("__w").over(_running(cell, [value] + tie))).withColumns({
+        "rank_low": F.min("rn").over(tied), "rank_high": F.max("rn").over(tied), "n": F.sum("__w").over(Window.partitionBy(*cell)),
+    })
+    # per cell of a group with a cut inside: its weight, and for values at a cut their weight and that of their first row
+    at_cut = cuts.select(*by, F.col(value).alias("__v")).distinct().groupBy(*by).agg(F.collect_list(F.struct("__v")).alias("__vs"))
+    known = null_safe_join(base, F.broadcast(at_cut), by)
+    held = F.when(F.array_contains("__vs", F.struct(F.col(value).alias("__v"))), F.struct(F.col(value).alias("__v")))
+    cells = known.groupBy(*cell, held.alias("__held")).agg(
+        F.sum("__w").alias("__n"), F.min_by("__w", F.struct(*[F.col(c) for c in tie])).alias("__first")
+    )
+    all_held = cells.groupBy(*cell).agg(F.sum("__n").alias("__n"))
+    up = Window.partitionBy(*by).orderBy("__range")
+    lower = all_held.select(
+        *cell, F.col("__n").alias("__inside"), (F.sum("__n").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__below"),
+        F.sum("__n").over(Window.partitionBy(*by)).alias("__whole"),
+    )
+    parts = null_safe_join(cells.where("__held is not null"), lower, cell)
+    before = F.col("__below") + F.col("__inside") - F.col("__n") + F.col("__first")  # in its first range a crossing value comes last
+    ends = parts.groupBy(*by, "__held").agg(
+        F.count("*").alias("ranges"), F.min_by(before, "__range").alias("__low"), F.max_by(F.col("__below") + F.col("__n"), "__range").alias("__high")
+    ).where("ranges > 1").select(*by, F.col("__held.__v").alias(value), "__low", "__high")
+    out = null_safe_join(own, F.broadcast(lower.drop("__inside")), cell, "left")
+    out = null_safe_join(out, F.broadcast(ends), by + [value], "left")
+    below = F.coalesce("__below", F.lit(0))
+    return out.withColumns({
+        "rn": F.col("rn") + below, "rank_low": F.coalesce("__low", F.col("rank_low") + below),
+        "rank_high": F.coalesce("__high", F.col("rank_high") + below), "n": F.coalesce("__whole", "n"),
+    }).drop("__w", "__range", "__below", "__whole", "__low", "__high")
 
 
 def share_at_or_below() -> Column:
@@ -143,13 +144,13 @@ def quantile_bucket(n_buckets: int) -> Column:
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, tie: list[str], points: dict[str, float], *,
-              extra: list[Column] | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
+              extra: list[Column] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group; `extra` aggregates ride along.
 
     Only the two neighbours of each position are aggregated, so no task holds a
     group's values (the built-in exact percentile keeps them all in memory).
     """
-    ranked = order_rank(df, by, [value] + tie, total="n", group_limit=group_limit)
+    ranked = order_rank(df, by, [value] + tie, total="n")
     aggs = list(extra or [])
     for name, q in points.items():
         pos = F.lit(q) * (F.col("n") - 1)

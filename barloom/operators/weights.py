@@ -28,8 +28,8 @@ def _triangle(n: Column) -> Column:
     return n * (n + 1) / 2.0
 
 
-def _ranked(rows: DataFrame, by: list[str], code: str, bounded: bool, prefix: str) -> DataFrame:
-    """Average rank and group size as <prefix>rank, <prefix>n."""
+def _ranked(rows: DataFrame, source: DataFrame, by: list[str], code: str, bounded: bool, prefix: str) -> DataFrame:
+    """Average rank and group size as <prefix>rank, <prefix>n; `source` holds the same rows with fewer columns."""
     if bounded:
         # At most top_n rows per group: plain windows.
         group, tied = Window.partitionBy(*by), Window.partitionBy(*by, "value")
@@ -37,7 +37,7 @@ def _ranked(rows: DataFrame, by: list[str], code: str, bounded: bool, prefix: st
         return rows.withColumns({
             f"{prefix}rank": low + (F.count("*").over(tied) - 1) / 2.0, f"{prefix}n": F.count("*").over(group),
         })
-    return ranking.with_tie_ranks(rows, by, "value", [code]).withColumns({
+    return ranking.with_tie_ranks(rows, by, "value", [code], source=source).withColumns({
         f"{prefix}rank": ranking.average_rank(), f"{prefix}n": F.col("n"),
     }).drop("rn", "n", "rank_low", "rank_high")
 
@@ -47,7 +47,8 @@ def target_weights(panel: DataFrame, methods: list[str] | str = "equal", top_n:
     """Weights summing to 1 per group, all asked methods in one pass.
 
     `by` defaults to the day; add e.g. the factor name to weigh many panels at
-    once. The output is long: by..., code, keep..., weight_method, weight.
+    once. The output is long: by..., code, keep..., weight_method, weight. Without
+    `top_n` the panel is ranked over ranges and read several times: store it first.
     """
     methods = [methods] if isinstance(methods, str) else list(methods)
     for m in methods:
@@ -55,20 +56,21 @@ def target_weights(panel: DataFrame, methods: list[str] | str = "equal", top_n:
     by = by or ["trade_date"]
     bounded = bool(top_n and top_n > 0)
     rows = select_names(panel, by, top_n, code=code)
+    if "industry_neutral" in methods:
+        if "industry" not in panel.columns:
+            raise ValueError("industry_neutral needs an industry column")
+        rows = rows.withColumn("industry", F.coalesce("industry", F.lit(UNKNOWN)))
     out, weights = rows, {}
     if {"equal", "factor_rank"} & set(methods):
-        out = _ranked(out, by, code, bounded, "__d_")
+        out = _ranked(out, rows, by, code, bounded, "__d_")
         weights["equal"] = 1.0 / F.col("__d_n")
         weights["factor_rank"] = F.col("__d_rank") / _triangle(F.col("__d_n"))
     if "industry_neutral" in methods:
-        if "industry" not in panel.columns:
-            raise ValueError("industry_neutral needs an industry column")
-        out = out.withColumn("industry", F.coalesce("industry", F.lit(UNKNOWN)))
-        out = _ranked(out, by + ["industry"], code, bounded, "__i_")
+        out = _ranked(out, rows, by + ["industry"], code, bounded, "__i_")
         if bounded:
             out = out.withColumn("__k", F.size(F.collect_set("industry").over(Window.partitionBy(*by))))
         else:
-            kinds = out.groupBy(*by).agg(F.countDistinct("industry").alias("__k"))
+            kinds = rows.groupBy(*by).agg(F.countDistinct("industry").alias("__k"))
             out = ranking.null_safe_join(out, kinds, by)
         weights["industry_neutral"] = F.col("__i_rank") / _triangle(F.col("__i_n")) / F.col("__k")
     ids = by + [code] + (keep or [])

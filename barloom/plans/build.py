@@ -53,7 +53,7 @@ def daily_basics(landed: DataFrame, master: DataFrame) -> DataFrame:
     return conform(asof.map_ids_strict(landed, master), table("daily_basic"))
 
 
-def security_master(listing: DataFrame, existing: DataFrame, *, group_limit: int = ranking.GROUP_LIMIT) -> DataFrame:
+def security_master(listing: DataFrame, existing: DataFrame) -> DataFrame:
     """Master rows; known codes keep their id, new codes get the next ids in code order.
 
     Numbering is a distributed rank, not a window over all codes.
@@ -61,7 +61,7 @@ def security_master(listing: DataFrame, existing: DataFrame, *, group_limit: int
     known = existing.groupBy("exchange_code").agg(F.min("security_id").alias("security_id"))
     top = F.coalesce(known.agg(F.max("security_id")).scalar(), F.lit(0))
     fresh = listing.select("exchange_code").distinct().join(known, "exchange_code", "left_anti")
-    numbered = ranking.order_rank(fresh, [], ["exchange_code"], group_limit=group_limit).select(
+    numbered = ranking.order_rank(fresh, [], ["exchange_code"]).select(
         "exchange_code", (top + F.col("rn")).cast("int").alias("security_id")
     )
     listed = F.coalesce("list_date", F.lit(rules.DEFAULT_LIST_DATE)) if "list_date" in listing.columns else F.lit(rules.DEFAULT_LIST_DATE)

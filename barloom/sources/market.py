@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from barloom.functions import market as mk, values as v
 from barloom.operators import calendar as cal, factors as fct, prices as pr
 from barloom.plans import build
+from barloom.session import durable
 
 INDEX_CODE = "IDX_A"
 
@@ -230,6 +231,10 @@ class Market:
         parts = fct.compute(self.bars, self.basic, self.statements, names=wanted, bound=wide_bound)
         return parts
 
+    def stored_factors(self, *names: str) -> DataFrame:
+        """The factor table written once and read back, as a job finds it that ranks it."""
+        return durable(self.factors(*names))
+
     @cached_property
     def execution(self) -> DataFrame:
         return pr.execution_frame(self.limited_bars, self.suspensions)

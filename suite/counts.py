@@ -90,7 +90,7 @@ def _(m):
       from fac group by 1, 2) f
     join (select trade_date, count(*) as n from bars0 group by 1) u using (trade_date)""", "fac bars0")
 def _(m):
-    return cv.distribution(m.factors(), m.raw_bars)
+    return cv.distribution(m.stored_factors(), m.raw_bars)
 
 
 @query("A09_coverage_series", "trade_date:d n_factor:i n_valid:i universe:i coverage:f8", """
@@ -107,7 +107,7 @@ def _(m):
       select trade_date, factor_name, count(*) as n_valid, quantile_cont(value, 0.5) as p50, avg(value) as mean from fac
       where trade_date = (select max(trade_date) from fac) group by 1, 2) f""", "fac bars0")
 def _(m):
-    return cv.matrix(m.factors(), m.raw_bars)
+    return cv.matrix(m.stored_factors(), m.raw_bars)
 
 
 @query("A11_industry_distribution", "trade_date:d industry_name:s members:i weight:f8", """
@@ -120,9 +120,9 @@ def _(m):
 
 @query("A12_industry_coverage", "trade_date:d universe:i mapped:i n_industries:i coverage:f8", """
     select b.trade_date, count(*) as universe, count(i.industry) as mapped, count(distinct i.industry) as n_industries, count(i.industry) / count(*)::double as coverage
-    from bars0 b left join inds i on i.security_id = b.security_id and i.in_date <= trade_date and i.out_date > trade_date and i.industry <> 'Brand#3' group by 1""", "bars0 inds")
+    from bars0 b left join inds i on i.security_id = b.security_id and i.in_date <= trade_date and i.out_date > trade_date group by 1""", "bars0 inds")
 def _(m):
-    return health.industry_coverage(m.industries.where("industry <> 'Brand#3'"), m.raw_bars, "sw_l1")
+    return health.industry_coverage(m.industries, m.raw_bars, "sw_l1")
 
 
 @query("A13_universe_sizes", "index_code:s trade_date:d members:i", """
@@ -146,14 +146,14 @@ def _buckets_sql(price: str) -> str:
 
 @query("A14_quintile_forward_returns", "trade_date:d factor_name:s quintile:i mean_fwd_ret:f6 names:i n_names:i", _buckets_sql("close * adj_factor"), "fac cal bars")
 def _(m):
-    return cv.forward_buckets(m.factors(), m.bars, m.calendar, min_names=5)
+    return cv.forward_buckets(m.stored_factors(), m.bars, m.calendar, min_names=5)
 
 
 @query("A14_quintile_spread_raw_close", "trade_date:d factor_name:s n_names:i spread_q5_q1:f6", f"""
     select trade_date, factor_name, max(n_names) as n_names, coalesce(max(mean_fwd_ret) filter (where quintile = 5), 0) - coalesce(max(mean_fwd_ret) filter (where quintile = 1), 0) as spread_q5_q1
     from ({_buckets_sql('close')}) z group by 1, 2""", "fac cal bars")
 def _(m):
-    return cv.spreads(cv.forward_buckets(m.factors(), m.bars, m.calendar, min_names=5, adjust="none"))
+    return cv.spreads(cv.forward_buckets(m.stored_factors(), m.bars, m.calendar, min_names=5, adjust="none"))
 
 
 @query("A16_pivot_metric", "factor_name:s main:f8 gem:f8 star:f8 bse:f8", """

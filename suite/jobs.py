@@ -160,7 +160,7 @@ _METHODS = ("equal", "factor_rank", "industry_neutral")
 def _(m):
     spec = rs.Spec(methods=_METHODS)
     panel = rs.panel(m.limited_bars, m.factors("mom_20"), m.master, spec, industry=m.industries)
-    return wt.target_weights(panel, list(_METHODS))
+    return wt.target_weights(durable(panel), list(_METHODS))
 
 
 @query("C13_weight_series_top", "trade_date:d exchange_code:s weight_method:s weight:f10", _weights_sql(
@@ -311,7 +311,7 @@ def _(m):
     select trade_date, factor_name, max(n_names) as n_names, coalesce(max(mean_fwd_ret) filter (where quintile = 5), 0) - coalesce(max(mean_fwd_ret) filter (where quintile = 1), 0) as spread_q5_q1
     from ({_buckets_sql('close * adj_factor')}) z group by 1, 2""", "fac cal bars")
 def _(m):
-    return ops.monitor(m.factors(), m.bars, m.calendar, min_names=5)["spreads"]
+    return ops.monitor(m.stored_factors(), m.bars, m.calendar, min_names=5)["spreads"]
 
 
 _CARDS = f"""

@@ -153,36 +153,33 @@ def _(m):
     select security_id, trade_date, factor_name, cume_dist() over (partition by trade_date, factor_name order by value) as pct,
            count(*) over (partition by trade_date, factor_name) as n from fac""", "fac")
 def _(m):
-    return jd.market_percentiles(m.factors())
+    return jd.market_percentiles(m.stored_factors())
 
 
-@query("W13_industry_percentile", _PRICE_COLS + " industry:s pct:f10 n:i", """
-    select f.security_id, trade_date, i.industry, cume_dist() over (partition by trade_date, i.industry order by value) as pct,
-           count(*) over (partition by trade_date, i.industry) as n
-    from fac f join inds i on i.security_id = f.security_id and i.in_date <= trade_date and i.out_date > trade_date
-    where factor_name = 'mom_20'""", "fac inds")
+@query("W13_industry_percentile", _PRICE_COLS + " factor_name:s industry:s pct:f10 n:i", """
+    select f.security_id, trade_date, factor_name, i.industry, cume_dist() over (partition by trade_date, factor_name, i.industry order by value) as pct,
+           count(*) over (partition by trade_date, factor_name, i.industry) as n
+    from fac f join inds i on i.security_id = f.security_id and i.in_date <= trade_date and i.out_date > trade_date""", "fac inds")
 def _(m):
-    return jd.industry_percentiles(m.factors("mom_20"), m.industries, "sw_l1")
+    return jd.industry_percentiles(m.stored_factors(), m.industries, "sw_l1")
 
 
-@query("W13_index_percentile", _PRICE_COLS + " pct:f10 n:i", """
+@query("W13_index_percentile", _PRICE_COLS + " factor_name:s pct:f10 n:i", """
     with v as (select f.*, m.security_id is not null as member from fac f
-               left join members m on m.security_id = f.security_id and m.in_date <= trade_date and m.out_date > trade_date
-               where factor_name = 'mom_20')
-    select a.security_id, a.trade_date, count(*) filter (where b.member and b.value <= a.value) / nullif(count(*) filter (where b.member), 0)::double as pct,
-           count(*) filter (where b.member) as n
-    from v a join v b on b.trade_date = a.trade_date group by 1, 2""", "fac members")
+               left join members m on m.security_id = f.security_id and m.in_date <= trade_date and m.out_date > trade_date)
+    select security_id, trade_date, factor_name, count(*) filter (where member) over d as n,
+           count(*) filter (where member) over (d order by value) / nullif(count(*) filter (where member) over d, 0)::double as pct
+    from v window d as (partition by trade_date, factor_name)""", "fac members")
 def _(m):
-    return jd.index_percentiles(m.factors("mom_20"), m.members, "IDX_A")
+    return jd.index_percentiles(m.stored_factors(), m.members, "IDX_A")
 
 
-@query("W14_quintile", _PRICE_COLS + " quintile:i", """
-    select security_id, trade_date, greatest(1, cast(ceil(5 * (rn - 1) / nullif(n - 1, 0)::double) as bigint)) as quintile from (
-      select *, row_number() over (partition by trade_date order by value, security_id) as rn, count(*) over (partition by trade_date) as n
-      from fac where factor_name = 'mom_20') z""", "fac")
+@query("W14_quintile", _PRICE_COLS + " factor_name:s quintile:i", """
+    select security_id, trade_date, factor_name, greatest(1, cast(ceil(5 * (rn - 1) / nullif(n - 1, 0)::double) as bigint)) as quintile from (
+      select *, row_number() over (partition by trade_date, factor_name order by value, security_id) as rn,
+             count(*) over (partition by trade_date, factor_name) as n from fac) z""", "fac")
 def _(m):
-    rows = m.factors("mom_20")
-    ranked = ranking.order_rank(rows, ["trade_date"], ["value", "security_id"], total="n")
+    ranked = ranking.order_rank(m.stored_factors(), ["trade_date", "factor_name"], ["value", "security_id"], total="n")
     return ranked.withColumn("quintile", ranking.quantile_bucket(5))
 
 

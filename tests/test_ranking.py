@@ -18,10 +18,17 @@ def skewed(spark):
     return spark.createDataFrame(data, "g string, value double, id int").cache()
 
 
-@pytest.mark.parametrize("limit", [10, 200, 1_000_000])
-def test_sliced_ranks_equal_one_window(skewed, limit, monkeypatch):
-    monkeypatch.setattr(ranking, "RUN", 4)
-    got = {r["id"]: (r["rn"], r["rank_low"], r["rank_high"], r["n"]) for r in ranking.with_tie_ranks(skewed, ["g"], "value", ["id"], group_limit=limit).collect()}
+def cut(monkeypatch, sparse, ranges=1024):
+    """Ranges of some `4 * sparse` rows."""
+    for name, x in (("SPARSE", sparse), ("PER_RANGE", 4), ("RANGES", ranges)):
+        monkeypatch.setattr(ranking, name, x)
+
+
+@pytest.mark.parametrize("sparse, ranges", [(1, 1024), (1, 7), (20, 1024), (300, 3), (1 << 40, 1024)])
+def test_ranges_give_the_ranks_of_one_window(skewed, sparse, ranges, monkeypatch):
+    cut(monkeypatch, sparse, ranges)
+    got = {r["id"]: (r["rn"], r["rank_low"], r["rank_high"], r["n"]) for r in ranking.with_tie_ranks(skewed, ["g"], "value", ["id"]).collect()}
+    assert len(got) == 6000
     groups = {}
     for r in skewed.collect():
         groups.setdefault(r["g"], []).append((r["value"], r["id"]))
@@ -31,27 +38,65 @@ def test_sliced_ranks_equal_one_window(skewed, limit, monkeypatch):
             assert got[i] == (pos, np.searchsorted(vals, x, "left") + 1, np.searchsorted(vals, x, "right"), len(rows))
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_counted_rows_only(skewed, limit):
+def test_no_task_holds_the_hot_group(skewed, monkeypatch):
+    """The group with two thirds of the rows, half of them on one value, lies in many ranges of bounded size."""
+    cut(monkeypatch, 8)
+    rows, _, _ = ranking._placed(skewed, ["g"], ["value", "id"], None, None)
+    sizes = [r["count"] for r in rows.where("g = 'hot'").groupBy("__range").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 50 and max(sizes) < 300
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark, skewed):
+    tracker, group = spark.sparkContext.statusTracker(), "ranks"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        ranked = ranking.with_tie_ranks(skewed, ["g"], "value", ["id"])
+        assert not tracker.getJobIdsForGroup(group) and ranked.count() == 6000
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_nulls_and_ties_across_cuts(spark, monkeypatch):
+    cut(monkeypatch, 1)
+    data = [(None if i % 5 == 0 else i % 2, None if i % 7 == 0 else float(i % 3), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, value double, id int").withColumn("m", F.col("id") % 3 == 0)
+    got = {r["id"]: r for r in ranking.with_tie_ranks(df, ["g"], "value", ["id"], counted="m").collect()}
+    first = lambda x: (x[1] is not None, x[1] or 0.0, x[2])
+    for g in (None, 0, 1):
+        rows, count = sorted((x for x in data if x[0] == g), key=first), 0
+        seen = {}
+        for _, v, i in rows:
+            count += i % 3 == 0
+            assert got[i]["rn"] == count
+            seen.setdefault(v, []).append(count)
+        for _, v, i in rows:
+            assert (got[i]["rank_low"], got[i]["rank_high"], got[i]["n"]) == (seen[v][0], seen[v][-1], count)
+
+
+@pytest.mark.parametrize("sparse", [3, 1 << 40])
+def test_counted_rows_only(skewed, sparse, monkeypatch):
+    cut(monkeypatch, sparse)
     marked = skewed.withColumn("m", F.col("id") % 4 == 0)
-    got = ranking.with_tie_ranks(marked, ["g"], "value", ["id"], counted="m", group_limit=limit).where("g = 'hot'").collect()
+    got = ranking.with_tie_ranks(marked, ["g"], "value", ["id"], counted="m").where("g = 'hot'").collect()
     members = [r["value"] for r in got if r["m"]]
     for r in got[::37]:
         assert r["rank_high"] == sum(x <= r["value"] for x in members)
         assert r["n"] == len(members)
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_quantiles_match_numpy(skewed, limit):
-    got = ranking.quantiles(skewed, ["g"], "value", ["id"], {"p1": 0.01, "p50": 0.5, "p75": 0.75}, group_limit=limit).collect()
+@pytest.mark.parametrize("sparse", [3, 1 << 40])
+def test_quantiles_match_numpy(skewed, sparse, monkeypatch):
+    cut(monkeypatch, sparse)
+    got = ranking.quantiles(skewed, ["g"], "value", ["id"], {"p1": 0.01, "p50": 0.5, "p75": 0.75}).collect()
     for r in got:
         vals = [x["value"] for x in skewed.where(F.col("g") == r["g"]).collect()]
         assert (r["p1"], r["p50"], r["p75"]) == pytest.approx(tuple(np.quantile(vals, [0.01, 0.5, 0.75])))
 
 
-def test_rank_without_groups(spark):
+def test_rank_without_groups(spark, monkeypatch):
+    cut(monkeypatch, 2)
     df = spark.createDataFrame([(f"c{i:03d}",) for i in range(300)], "code string")
-    got = {r["code"]: r["rn"] for r in ranking.order_rank(df, [], ["code"], group_limit=20).collect()}
+    got = {r["code"]: r["rn"] for r in ranking.order_rank(df, [], ["code"]).collect()}
     assert got == {f"c{i:03d}": i + 1 for i in range(300)}
 
 
