@@ -83,6 +83,17 @@ def execution_frame(bars: DataFrame, suspensions: DataFrame, adjust: str = "post
     )
 
 
+def _member_means(rets: DataFrame, members: DataFrame) -> DataFrame:
+    """Mean return per index and day over the members of the day.
+
+    A return is met once per index its security was ever in, however often it came and went; a sweep then keeps the days inside.
+    """
+    key = ["index_code", "security_id"]
+    ever = members.select(*key).distinct()
+    hit = asof.inside_interval(rets.join(ever, "security_id"), members.select(*key, "in_date", "out_date"), key)
+    return hit.groupBy("index_code", "trade_date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
+
+
 def member_equal_returns(bars: DataFrame, members: DataFrame, calendar: DataFrame) -> DataFrame:
     """Equal-weight return per index and day over the members valid that day.
 
@@ -96,17 +107,13 @@ def member_equal_returns(bars: DataFrame, members: DataFrame, calendar: DataFram
     ).where(F.col("__pd") == F.col("__open")).select(
         "security_id", "trade_date", (F.try_divide("px", "__p") - 1).alias("ret")
     ).where("ret is not null")
-    spans = members.select("index_code", "security_id", "in_date", "out_date")
-    hit = rets.join(spans, "security_id").where("in_date <= trade_date and out_date > trade_date")
-    return hit.groupBy("index_code", "trade_date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
+    return _member_means(rets, members)
 
 
 def member_equal_returns_filled(bars: DataFrame, members: DataFrame) -> DataFrame:
     """The same over rows of the security's own history: the last known price stands in for gaps."""
     rets = daily_returns(bars.select("security_id", "trade_date", "close", "adj_factor")).where("ret is not null")
-    spans = members.select("index_code", "security_id", "in_date", "out_date")
-    hit = rets.join(spans, "security_id").where("in_date <= trade_date and out_date > trade_date")
-    return hit.groupBy("index_code", "trade_date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
+    return _member_means(rets, members)
 
 
 def benchmark_returns(own: DataFrame, synthetic: DataFrame) -> DataFrame:

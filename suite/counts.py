@@ -267,8 +267,8 @@ def _(m):
 
 
 def _sessions(m):
-    """One session per board: holds 100 shares of each of its even-numbered securities."""
-    pos = m.listing.where("security_id % 2 = 0").select(F.col("board").alias("session_id"), "exchange_code", F.lit(100).alias("quantity"),
+    """One session per board: holds 100 shares of each of its securities."""
+    pos = m.listing.select(F.col("board").alias("session_id"), "exchange_code", F.lit(100).alias("quantity"),
                                                       F.lit(50000.0).alias("cost"))
     sessions = m.listing.select(F.col("board").alias("session_id")).distinct().select(
         "session_id", F.lit(40000.0).alias("cash"), F.lit(100000.0).alias("initial_cash"), F.lit(90000.0).alias("rebalance_total"))
@@ -279,7 +279,7 @@ def _sessions(m):
     select *, 40000 + market_value as total_asset, 40000 + market_value - 100000 as pnl_vs_initial, 40000 + market_value - 90000 as pnl_vs_rebalance,
            (40000 + market_value) / 100000.0::double - 1 as return_vs_initial from (
       select board as session_id, coalesce(sum(coalesce(close, 0) * 100), 0) as market_value, count(*) as n_positions, count(*) filter (where close is null) as n_missing_quotes
-      from (select * from listing where security_id % 2 = 0) l
+      from listing l
       left join (select * from bars0 where trade_date = date '1999-06-30') b using (security_id) group by 1) z""", "listing bars0")
 def _(m):
     import datetime as dt
@@ -293,13 +293,13 @@ def _(m):
     select s.session_id, case when k.n is not null then 40000.0 end as cash, case when k.n is not null then k.n end as n_positions, k.mark_date, k.total as mark_total_asset,
            case when k.n is null then 'not_found' end as error
     from (select distinct board as session_id from listing union all select 'nobody') s
-    left join (select board as session_id, count(*) filter (where security_id % 2 = 0) as n, max(d) as mark_date, max(t) as total from listing
+    left join (select board as session_id, count(distinct security_id) as n, max(d) as mark_date, max(t) as total from listing
                join (select board, max(trade_date) as d, max(amount) as t from bars0 join listing using (security_id)
                      where trade_date = (select max(trade_date) from bars0) group by 1) x using (board) group by 1) k using (session_id)""", "listing bars0")
 def _(m):
     sessions, pos = _sessions(m)
     last = m.raw_bars.agg(F.max("trade_date")).scalar()
-    days = m.raw_bars.where((F.col("trade_date") == last) | (F.dayofmonth("trade_date") == 1)).join(m.listing, "security_id")
+    days = m.raw_bars.join(m.listing, "security_id")
     marks = days.groupBy(F.col("board").alias("session_id"), F.col("trade_date").alias("mark_date")).agg(
         F.max("amount").alias("total_asset")).withColumn("pnl_vs_initial", F.lit(0.0))
     on_last = marks.where(F.col("mark_date") == last).select("session_id").distinct()

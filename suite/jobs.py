@@ -251,11 +251,11 @@ def _(m):
     from rets b join cal c on c.cal_date = b.trade_date join rets p on p.security_id = b.security_id and p.trade_date = c.prev_open
     join members x on x.security_id = b.security_id and x.in_date <= b.trade_date and x.out_date > b.trade_date
     where c.prev_open <> c.cal_date group by 2
-    union all select exchange_code, trade_date, ret, 'security_price' from rets join listing using (security_id) where security_id % 20 = 0 and ret is not null""", "rets cal members listing")
+    union all select exchange_code, trade_date, ret, 'security_price' from rets join listing using (security_id) where ret is not null""", "rets cal members listing")
 def _(m):
     synthetic = pr.member_equal_returns(m.bars, m.members, m.calendar)
     coded = pr.daily_returns(m.bars).join(m.listing.select("security_id", F.col("exchange_code").alias("index_code")), "security_id")
-    return pr.benchmark_returns(coded.where("security_id % 20 = 0").select("index_code", "trade_date", "ret"), synthetic)
+    return pr.benchmark_returns(coded.select("index_code", "trade_date", "ret"), synthetic)
 
 
 def _cells(m):

@@ -145,6 +145,6 @@ def _ordered(names: tuple[str, ...]) -> list[str]:
 
 def with_views(names: tuple[str, ...], body: str, out: str) -> str:
     """One statement: the needed views as CTEs, the body, and the output projection."""
-    parts = [f"{n} as ({VIEWS[n][1]})" for n in _ordered(names)] + [f"result_rows as ({body})"]
+    parts = [f"{n} as materialized ({VIEWS[n][1]})" for n in _ordered(names)] + [f"result_rows as ({body})"]
     recursive = "recursive " if "recursive_rows" in body else ""
     return f"with {recursive}" + ",\n".join(parts) + f"\nselect {out} from result_rows"
