@@ -149,11 +149,34 @@ def active_counts(intervals: DataFrame, by: list[str], days: DataFrame, *, day:
 
 def intersect(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Common validity of two interval tables: [max(in), min(out)) where it is not empty."""
-    r = right.select(*key, *columns, F.col("in_date").alias("__in"), F.col("out_date").alias("__out"))
-    both = left.join(r, key).where((F.col("in_date") < F.col("__out")) & (F.col("__in") < F.col("out_date")))
-    return both.withColumns({
-        "in_date": F.greatest("in_date", "__in"), "out_date": F.least("out_date", "__out"),
-    }).drop("__in", "__out")
+    return overlaps(left, right, on=key, columns=columns)
+
+
+def overlaps(left: DataFrame, right: DataFrame, *, on: list[str] | None = None, columns: list[str], bin_days: int = 64) -> DataFrame:
+    """Every pair of a left and a right interval that share a day (and the `on` columns), with the days they share.
+
+    The result has the left columns, the right `columns` and [in_date, out_date) of the common stretch. Intervals are placed in the
+    bins of `bin_days` they touch and joined by bin and `on` alone, so no range join and no product of a key's intervals is
+    made; a pair is taken in the first bin it shares only, which is the bin where the later of the two starts. Bins after the
+    last start of the other side hold no first bins, so an open interval is not spread to the end of time. Empty intervals and
+    those with a missing date share nothing.
+    """
+    on, far = list(on or []), rules.OPEN_END
+    held = lambda df: df.where(F.col("in_date") < F.col("out_date"))
+    bin_of = lambda d: F.floor(F.unix_date(d) / bin_days)
+
+    def placed(df: DataFrame, other: DataFrame) -> DataFrame:
+        last = F.coalesce(other.agg(F.max("in_date")).scalar(), F.lit(far))
+        end = F.greatest(F.least(F.date_sub("out_date", 1), last), "in_date")
+        return df.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("in_date")), bin_of(end))))
+
+    left = held(left)
+    right = held(right).select(*on, *columns, "in_date", "out_date")
+    spans = placed(right, left).withColumnsRenamed({"in_date": "__in", "out_date": "__out"})
+    both = placed(left, right).join(spans, [*on, "__bin"])
+    from_, to = F.greatest("in_date", "__in"), F.least("out_date", "__out")
+    shared = both.where((from_ < to) & (F.col("__bin") == bin_of(from_)))
+    return shared.withColumns({"in_date": from_, "out_date": to}).drop("__in", "__out", "__bin")
 
 
 def map_ids(df: DataFrame, ids: DataFrame, *, on: str = "exchange_code") -> tuple[DataFrame, DataFrame]:

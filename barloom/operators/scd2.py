@@ -103,6 +103,12 @@ def merge_intervals(spans: DataFrame, key: list[str]) -> DataFrame:
     ).drop("grp")
 
 
+def spans_of_days(rows: DataFrame, key: list[str], day: str) -> DataFrame:
+    """Dated rows -> [in_date, out_date) over runs of consecutive calendar days."""
+    days = rows.where(F.col(day).isNotNull()).select(*key, F.col(day).cast("date").alias("in_date")).distinct()
+    return merge_intervals(days.withColumn("out_date", F.date_add("in_date", 1)), key)
+
+
 def current_listing(master: DataFrame, *columns: str) -> DataFrame:
     """One row per security with the columns of its newest master row, whatever history the master holds."""
     if "valid_from" not in master.columns:

@@ -352,6 +352,29 @@ def _(m):
     return asof.active_counts(both, ["industry"], m.days)
 
 
+@query("J06_suspended_members", "index_code:s security_id:i spells:i days:i", """
+    select x.index_code, x.security_id, count(distinct s.spell) as spells, count(*) as days
+    from (select security_id, suspend_date, suspend_date - cast(row_number() over (partition by security_id order by suspend_date) as integer) as spell
+          from (select distinct security_id, suspend_date from susp) d) s
+    join members x on x.security_id = s.security_id and x.in_date <= suspend_date and x.out_date > suspend_date group by 1, 2""", "susp members")
+def _(m):
+    spells = scd2.spans_of_days(m.suspensions, ["security_id"], "suspend_date").withColumn("spell", F.col("in_date"))
+    met = asof.overlaps(m.members.select("index_code", "security_id", "in_date", "out_date"), spells, on=["security_id"], columns=["spell"])
+    return met.groupBy("index_code", "security_id").agg(F.countDistinct("spell").alias("spells"), F.sum(F.date_diff("out_date", "in_date")).alias("days"))
+
+
+@query("J09_industries_in_index_runs", "run_start:d run_end:d industry:s members:i days:i", """
+    with run as (select min(d) as run_start, max(d) + 1 as run_end from (
+        select d, d - cast(row_number() over (order by d) as integer) as g from (select distinct trade_date as d from bars0 where day(trade_date) between 5 and 20) x) y group by g)
+    select run_start, run_end, industry, count(*) as members, sum(least(run_end, out_date) - greatest(run_start, in_date)) as days
+    from run join inds on in_date < run_end and run_start < out_date group by 1, 2, 3""", "bars0 inds")
+def _(m):
+    runs = scd2.spans_of_days(m.raw_bars.where(F.dayofmonth("trade_date").between(5, 20)).withColumn("market", F.lit(1)), ["market"], "trade_date")
+    runs = runs.select("in_date", "out_date", F.col("in_date").alias("run_start"), F.col("out_date").alias("run_end"))
+    met = asof.overlaps(m.industries.select("industry", "security_id", "in_date", "out_date"), runs, columns=["run_start", "run_end"])
+    return met.groupBy("run_start", "run_end", "industry").agg(F.count("*").alias("members"), F.sum(F.date_diff("out_date", "in_date")).alias("days"))
+
+
 @query("J07_visible_item_on_day", "security_id:i value:f2", """
     select security_id, arg_max(net_profit, row(report_date, ann_date, update_flag)) as value from stmt where ann_date <= date '1999-05-01' group by 1""", "stmt")
 def _(m):
