@@ -62,6 +62,19 @@ def attach_interval(facts: DataFrame, intervals: DataFrame, key: list[str], colu
     )
 
 
+def attach_known(facts: DataFrame, points: DataFrame, key: list[str], column: str, *, day: str = "trade_date") -> DataFrame:
+    """Left join of each fact to the value in force on its day as far as it was known that day.
+
+    `points` hold the value from `as_of_date` on, learnt on `known_on`. Among the points with both dates at or before the fact's the one
+    with the latest `as_of_date` counts, and of these the one learnt last. A point counts from the later of its two dates on, so one
+    sweep with a running maximum does it.
+    """
+    best = points.withColumn("__since", F.greatest("as_of_date", "known_on"))
+    payload = [F.col("as_of_date"), F.col("known_on"), F.col(column).alias("__value")]
+    swept = _sweep(facts, best, key, day, "__since", payload, F.max("__chg"))
+    return swept.withColumn(column, F.col("__hit.__value")).drop("__hit")
+
+
 def inside_interval(facts: DataFrame, intervals: DataFrame, key: list[str], *, day: str = "trade_date") -> DataFrame:
     """Fact rows whose date lies in an interval of their key."""
     marked = attach_interval(facts, intervals.withColumn("__in", F.lit(True)), key, ["__in"], day=day)

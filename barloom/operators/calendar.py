@@ -10,7 +10,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from barloom.functions import values as v
+from barloom import rules
+from barloom.functions import market as mk, values as v
 
 
 def from_source_rows(df: DataFrame, day: str, is_open: str) -> DataFrame:
@@ -91,3 +92,28 @@ def take_effect(signals: DataFrame, calendar: DataFrame) -> tuple[DataFrame, Dat
     """
     linked = link(signals, calendar, "next_open", "exec_date")
     return linked.where("exec_date is not null"), linked.where("exec_date is null").drop("exec_date")
+
+
+def ordinals(calendar: DataFrame) -> DataFrame:
+    """(cal_date, ordinal): open days up to and including each date. One row per date, so one small window."""
+    upto = Window.orderBy("cal_date").rowsBetween(Window.unboundedPreceding, 0)
+    return calendar.select("cal_date", F.sum(F.col("is_open").cast("int")).over(upto).cast("int").alias("ordinal"))
+
+
+def trading_days_between(df: DataFrame, calendar: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """Open days after `start` up to `end` as arithmetic on ordinals; null where a date lies outside the calendar."""
+    numbered = F.broadcast(ordinals(calendar))  # a calendar holds one row per date
+    first = numbered.select(F.col("cal_date").alias(start), F.col("ordinal").alias("__a"))
+    last = numbered.select(F.col("cal_date").alias(end), F.col("ordinal").alias("__b"))
+    return df.join(first, start, "left").join(last, end, "left").withColumn(name, F.col("__b") - F.col("__a")).drop("__a", "__b")
+
+
+def in_no_limit_trading_days(df: DataFrame, calendar: DataFrame, *, day: str = "trade_date", name: str = "free") -> DataFrame:
+    """The no-limit window counted in trading days: the first n open days from the listing on (`list_date`, `board`).
+
+    A listing on a closed day counts from the next open one; a date before the listing is not in the window.
+    """
+    opened = calendar.select(F.col("cal_date").alias("list_date"), (1 - F.col("is_open").cast("int")).alias("__closed"))
+    aged = trading_days_between(df, calendar, "list_date", day, "__age").join(F.broadcast(opened), "list_date", "left")
+    inside = (F.col(day) >= F.col("list_date")) & (F.col("__age") - F.col("__closed") < F.coalesce(mk.by_board(rules.NO_LIMIT_DAYS, F.col("board")), F.lit(1)))
+    return aged.withColumn(name, F.coalesce(inside, F.lit(False))).drop("__age", "__closed")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom import rules
 from barloom.functions import market as mk, symbols as sy, values as v
@@ -17,15 +19,36 @@ def st_names(master: DataFrame) -> DataFrame:
     )
 
 
-def master_history(names: DataFrame) -> DataFrame:
-    """Name snapshots (exchange_code, name, as_of_date) -> validity rows, so past days keep past names."""
-    spans = scd2.attribute_intervals(names.select(
+def known_names(names: DataFrame, version: dt.date | str | Column | None = None) -> DataFrame:
+    """Name snapshots as they stood at a version: one row per code and `as_of_date`, the one learnt last.
+
+    `known_on` is the day a snapshot arrived (its own date where the column or the value is missing); a later arrival for the same
+    `as_of_date` corrects the earlier one.
+    """
+    learnt = F.coalesce("known_on", "as_of_date") if "known_on" in names.columns else F.col("as_of_date")
+    rows = names.dropna(subset=["exchange_code", "name", "as_of_date"]).withColumn("known_on", learnt)
+    if version is not None:
+        rows = rows.where(F.col("known_on") <= (version if isinstance(version, Column) else F.lit(version).cast("date")))
+    return rows.groupBy("exchange_code", "as_of_date").agg(F.max_by("name", F.struct("known_on", "name")).alias("name"))
+
+
+def master_history(names: DataFrame, version: dt.date | str | Column | None = None) -> DataFrame:
+    """Name snapshots -> validity rows as known at `version` (by default all that is known), so past days keep past names."""
+    spans = scd2.attribute_intervals(known_names(names, version).select(
         "exchange_code", F.lit("name").alias("level"), F.col("name").alias("industry"), "as_of_date"
     ))
     return spans.select("exchange_code", F.col("industry").alias("name"), F.col("in_date").alias("valid_from"),
                         F.col("out_date").alias("valid_to"))
 
 
+def st_known_then(facts: DataFrame, names: DataFrame, *, day: str = "trade_date") -> DataFrame:
+    """`is_st` of each row by the name valid on its day as it was known on that day: no look-ahead on either axis."""
+    learnt = F.coalesce("known_on", "as_of_date") if "known_on" in names.columns else F.col("as_of_date")
+    points = names.dropna(subset=["exchange_code", "name", "as_of_date"]).select(
+        "exchange_code", "as_of_date", learnt.alias("known_on"), F.contains("name", F.lit("ST")).cast("int").alias("is_st"))
+    return asof.attach_known(facts, points, ["exchange_code"], "is_st", day=day).fillna({"is_st": 0})
+
+
 def daily_bars(bars: DataFrame, factors: DataFrame, suspensions: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars with factor, flags, limits and ids; returns (rows, rejected codes).
 
@@ -53,10 +76,12 @@ def daily_basics(landed: DataFrame, master: DataFrame) -> DataFrame:
     return conform(asof.map_ids_strict(landed, master), table("daily_basic"))
 
 
-def security_master(listing: DataFrame, existing: DataFrame) -> DataFrame:
+def security_master(listing: DataFrame, existing: DataFrame, *, names: DataFrame | None = None,
+                    version: dt.date | str | None = None) -> DataFrame:
     """Master rows; known codes keep their id, new codes get the next ids in code order.
 
-    Numbering is a distributed rank, not a window over all codes.
+    With name snapshots a code has one row per name and stretch of days, as known at `version`; the first stretch reaches back to the
+    listing. Without, or for codes without snapshots, it has one row. Numbering is a distributed rank, not a window over all codes.
     """
     known = existing.groupBy("exchange_code").agg(F.min("security_id").alias("security_id"))
     top = F.coalesce(known.agg(F.max("security_id")).scalar(), F.lit(0))
@@ -67,10 +92,18 @@ def security_master(listing: DataFrame, existing: DataFrame) -> DataFrame:
     listed = F.coalesce("list_date", F.lit(rules.DEFAULT_LIST_DATE)) if "list_date" in listing.columns else F.lit(rules.DEFAULT_LIST_DATE)
     name = F.col("name") if "name" in listing.columns else F.col("symbol")
     gone = F.col("delist_date") if "delist_date" in listing.columns else F.lit(None).cast("date")
-    return listing.join(known.unionByName(numbered), "exchange_code").select(
+    rows = listing.join(known.unionByName(numbered), "exchange_code").select(
         "security_id", "exchange_code", name.alias("name"), listed.alias("list_date"), gone.alias("delist_date"),
         sy.board_of(F.col("exchange_code")).alias("board"), listed.alias("valid_from"), F.lit(rules.OPEN_END).alias("valid_to"),
     )
+    if names is None:
+        return rows
+    spans = master_history(names, version).withColumnsRenamed({"name": "__name", "valid_from": "__from", "valid_to": "__to"})
+    spans = spans.withColumn("__first", F.min("__from").over(Window.partitionBy("exchange_code")) == F.col("__from"))
+    start = F.when(F.col("__first"), F.least("__from", "valid_from")).otherwise(F.col("__from"))
+    return rows.join(spans, "exchange_code", "left").withColumns({
+        "name": F.coalesce("__name", "name"), "valid_from": F.coalesce(start, "valid_from"), "valid_to": F.coalesce("__to", "valid_to"),
+    }).drop("__name", "__from", "__to", "__first")
 
 
 def merged_listing(listed: DataFrame, delisted: DataFrame, paused: DataFrame) -> DataFrame:

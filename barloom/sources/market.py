@@ -199,6 +199,18 @@ class Market:
             v.item_map({c: F.col(c) for c in ("revenue", "net_profit", "equity")}).alias("fields"),
         )
 
+    @cached_property
+    def name_snapshots(self) -> DataFrame:
+        """Monthly names, learnt 35 days on: ST after few trading days; every fifth is corrected to the plain name 120 days on."""
+        month = F.trunc("trade_date", "month").alias("as_of_date")
+        seen = self.raw_bars.groupBy("security_id", month).agg(F.count("*").alias("n")).join(
+            self.listing.select("security_id", "exchange_code"), "security_id")
+        first = seen.select("security_id", "exchange_code", "as_of_date", F.date_add("as_of_date", 35).alias("known_on"),
+                            F.concat(F.when(F.col("n") <= 5, "ST ").otherwise(""), F.col("exchange_code")).alias("name"))
+        fixed = seen.where((F.col("security_id") + F.month("as_of_date")) % 5 == 0).select(
+            "security_id", "exchange_code", "as_of_date", F.date_add("as_of_date", 120).alias("known_on"), F.col("exchange_code").alias("name"))
+        return first.unionByName(fixed)
+
     @cached_property
     def suspensions(self) -> DataFrame:
         """Landed suspension rows, on other days than the bar flag."""

@@ -60,6 +60,33 @@ def _(m):
     return build.security_master(listing, m.listing.where("security_id % 3 <> 0").select("exchange_code", "security_id"))
 
 
+@query("C03_master_versions", "exchange_code:s name:s valid_from:d valid_to:d", """
+    with pts as (select exchange_code, as_of_date, arg_max(name, known_on) as name from names where known_on <= date '1996-06-30' group by 1, 2),
+    turns as (select *, lag(name) over (partition by exchange_code order by as_of_date) as was from pts qualify was is null or was <> name),
+    spans as (select exchange_code, name, as_of_date, was is null as is_first, coalesce(lead(as_of_date) over (partition by exchange_code order by as_of_date), date '2099-12-31') as valid_to from turns)
+    select l.exchange_code, coalesce(s.name, l.name) as name, case when s.is_first then least(s.as_of_date, l.list_date) else coalesce(s.as_of_date, l.list_date) end as valid_from,
+           coalesce(s.valid_to, date '2099-12-31') as valid_to
+    from master l left join spans s using (exchange_code)""", "master names")
+def _(m):
+    listing = m.master.select("exchange_code", "name", "list_date")
+    return build.security_master(listing, m.listing.select("exchange_code", "security_id"), names=m.name_snapshots, version="1996-06-30")
+
+
+@query("C01_bars_with_past_names", "security_id:i trade_date:d is_st:i up_limit:f2", """
+    with pts as (select security_id, as_of_date, arg_max(name, known_on) as name from names group by 1, 2),
+    spans as (select security_id, name, as_of_date, coalesce(lead(as_of_date) over (partition by security_id order by as_of_date), date '2099-12-31') as until from pts),
+    flagged as (select b.security_id, b.trade_date, b.close, l.board, coalesce(cast(contains(s.name, 'ST') as integer), 0) as is_st
+      from bars0 b join listing l using (security_id) left join spans s on s.security_id = b.security_id and s.as_of_date <= b.trade_date and s.until > b.trade_date)
+    select security_id, trade_date, is_st, round(close * (1 + cast(case when is_st = 1 and board = 'main' then 0.05 when board = 'main' then 0.10 when board = 'bse' then 0.30 else 0.20 end as double)) + 1e-9, 2) as up_limit
+    from flagged""", "bars0 listing names")
+def _(m):
+    master = build.security_master(m.master.select("exchange_code", "name", "list_date"), m.listing.select("exchange_code", "security_id"), names=m.name_snapshots)
+    landed = m.raw_bars.join(m.listing.select("security_id", "exchange_code"), "security_id").drop("security_id").withColumn("pre_close", F.col("close"))
+    none = landed.select("exchange_code", "trade_date", F.lit(1.0).alias("adj_factor"))
+    halted = landed.limit(0).select("exchange_code", F.col("trade_date").alias("suspend_date"))
+    return build.daily_bars(landed, none, halted, master)[0]
+
+
 @query("C04_statement_build", "security_id:i ann_date:d report_date:d stmt_type:s update_flag:i keys:s total:f2", """
     select security_id, ann_date, report_date, 'income' as stmt_type, update_flag, 'net_profit,revenue' as keys, net_profit + revenue as total from stmt
     union all select security_id, ann_date, report_date, 'balance', update_flag, 'equity', equity from stmt

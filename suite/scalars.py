@@ -102,6 +102,19 @@ def _(m):
                        mk.in_no_limit_window(F.col("trade_date"), F.col("list_date"), F.col("board")).alias("free"))
 
 
+@query("P10_no_limit_trading_days", "security_id:i trade_date:d free:b", """
+    with days as (select cal_date, count(*) filter (where is_open = 1) over (order by cal_date) as k, is_open from cal)
+    select b.security_id, b.trade_date, (b.trade_date >= m.list_date and d.k - f.k - (1 - f.is_open) < case when m.board in ('gem','star') then 5 else 1 end) as free
+    from bars0 b join (select security_id, board, list_date - cast(security_id % 3 as integer) + 3 as list_date from master) m using (security_id)
+    join days d on d.cal_date = b.trade_date join days f on f.cal_date = m.list_date""", "bars0 master cal")
+def _(m):
+    from barloom.operators import calendar as cal
+
+    listed = m.master.select("security_id", "board", F.date_add("list_date", 3 - F.col("security_id") % 3).alias("list_date"))
+    rows = m.raw_bars.select("security_id", "trade_date").join(listed, "security_id")
+    return cal.in_no_limit_trading_days(rows, m.calendar)
+
+
 @query("P11_board_fallback", "security_id:i b:s", """
     select security_id, case when security_id % 3 = 0 then case exchange_code[-2:] when 'BJ' then 'bse'
       when 'SH' then case when exchange_code[1:3] = '688' then 'star' else 'main' end
@@ -495,6 +508,35 @@ def _(m):
     return asof.attach_interval(m.raw_bars, spans, ["security_id"], ["is_st"]).fillna({"is_st": 0})
 
 
+@query("F08_st_known_then", "security_id:i trade_date:d is_st:i", """
+    select b.security_id, b.trade_date, coalesce(max(case when contains(n.name, 'ST') then 1 else 0 end), 0) as is_st
+    from bars0 b left join (
+      select b.security_id, b.trade_date, arg_max(n.name, row(n.as_of_date, n.known_on)) as name
+      from bars0 b join names n on n.security_id = b.security_id and n.as_of_date <= b.trade_date and n.known_on <= b.trade_date group by 1, 2) n
+    on n.security_id = b.security_id and n.trade_date = b.trade_date group by 1, 2""", "bars0 names")
+def _(m):
+    coded = m.raw_bars.select("security_id", "trade_date").join(m.listing.select("security_id", "exchange_code"), "security_id")
+    return build.st_known_then(coded, m.name_snapshots.select("exchange_code", "as_of_date", "known_on", "name"))
+
+
+@query("F08_st_both_axes", "security_id:i trade_date:d st_then:i st_now:i", """
+    with known as (select v, security_id, trade_date, arg_max(name, row(as_of_date, known_on)) as name from (
+        select d.v, b.security_id, b.trade_date, n.name, n.as_of_date, n.known_on
+        from bars0 b join names n on n.security_id = b.security_id and n.as_of_date <= b.trade_date
+        join (select date '1996-06-30' as v union all select date '2099-01-01') d on n.known_on <= d.v) z group by 1, 2, 3)
+    select b.security_id, b.trade_date, coalesce(cast(contains(x.name, 'ST') as integer), 0) as st_then, coalesce(cast(contains(y.name, 'ST') as integer), 0) as st_now
+    from bars0 b left join known x on x.v = date '1996-06-30' and x.security_id = b.security_id and x.trade_date = b.trade_date
+    left join known y on y.v = date '2099-01-01' and y.security_id = b.security_id and y.trade_date = b.trade_date""", "bars0 names")
+def _(m):
+    from barloom.operators import asof
+
+    rows, ids = m.raw_bars.select("security_id", "trade_date"), m.listing.select("security_id", "exchange_code")
+    for name, version in (("st_then", "1996-06-30"), ("st_now", None)):  # the same days as two versions of the master see them
+        spans = build.st_names(build.master_history(m.name_snapshots, version)).join(ids, "exchange_code").withColumnRenamed("is_st", name)
+        rows = asof.attach_interval(rows, spans.drop("exchange_code"), ["security_id"], [name]).fillna({name: 0})
+    return rows
+
+
 @query("F09_early_announcements", "report_date:d bad:i", """
     select report_date, count(*) filter (where a < report_date) as bad
     from (select *, ann_date - cast(45 as integer) as a from stmt) z group by 1""", "stmt")

@@ -86,6 +86,12 @@ VIEWS: dict[str, tuple[str, str]] = {
                rev * 0.9, np * 0.9, rev * 3 * 0.9 from q where (security_id + quarter(report_date)) % 5 = 0"""),
     "susp": ("bars0", """
         select security_id, trade_date as suspend_date from bars0 where (security_id + day(trade_date)) % 31 = 0"""),
+    "names": ("bars0 listing", """
+        with seen as (select security_id, exchange_code, cast(date_trunc('month', trade_date) as date) as as_of_date, count(*) as n
+                      from bars0 join listing using (security_id) group by 1, 2, 3)
+        select security_id, exchange_code, as_of_date, as_of_date + 35 as known_on, case when n <= 5 then 'ST ' else '' end || exchange_code as name from seen
+        union all
+        select security_id, exchange_code, as_of_date, as_of_date + 120, exchange_code from seen where (security_id + month(as_of_date)) % 5 = 0"""),
     "rets": ("bars", """
         select security_id, trade_date, px, px / nullif(lag(px) over (partition by security_id order by trade_date), 0) - 1 as ret
         from (select security_id, trade_date, close * nullif(adj_factor, 0) as px from bars) z"""),
