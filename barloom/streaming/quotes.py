@@ -32,36 +32,46 @@ def latest_per_code(quotes: DataFrame, *, code: str = "exchange_code", ts: str =
     return quotes.groupBy(code).agg(F.max(F.struct(ts, *rest)).alias("q")).select(code, "q.*")
 
 
-def _merge_latest(existing: DataFrame, batch: DataFrame, code: str, ts: str) -> DataFrame:
-    return latest_per_code(existing.unionByName(batch), code=code, ts=ts)
+#: Buckets of the latest-quote folder; a batch rewrites those in which a quote changes.
+BUCKETS = 64
 
 
 def start_latest(quotes: DataFrame, table: str, checkpoint: str, *, code: str = "exchange_code",
-                 ts: str = "snapshot_ts", trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest quote per code in a folder of versions `table/v=<batch>`.
-
-    Update mode emits only changed codes; each batch merges them with the newest
-    earlier version. A replayed batch rewrites its own version, so the sink is
-    idempotent. Versions older than the previous one are dropped. `trigger` as for a stream writer, e.g.
-    {"processingTime": "1 minute"}; by default it takes what is there and stops. Each batch writes one row per code anew.
+                 ts: str = "snapshot_ts", trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest quote per code in a folder `table/v=<batch>/bucket=<hash of the code>`.
+
+    The folder is the state: each batch is reduced to its newest quote per code, met with the newest version of the buckets it
+    touches, and the buckets in which a quote really changed are written anew under the batch's number; a late, older snapshot
+    changes nothing and writes nothing. A replayed batch rewrites its own version, so the sink is idempotent. Of each bucket the two
+    newest versions stay, for readers under way. `trigger` as for a stream writer, e.g. {"processingTime": "1 minute"}; by
+    default it takes what is there and stops. `buckets` must not change over the life of a folder.
     """
     columns = quotes.columns
+    place = F.pmod(F.xxhash64(code), F.lit(buckets)).cast("int")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        changed = batch.select(*columns)
-        earlier = [v for v in versions(spark, table) if v < batch_id]
-        merged = changed
-        if earlier:
-            merged = _merge_latest(spark.read.parquet(f"{table}/v={max(earlier)}").select(*columns), changed, code, ts)
-        merged.select(*columns).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
-        for v in sorted(earlier)[:-1]:
-            _delete(spark, f"{table}/v={v}")
-
-    return (
-        latest_per_code(quotes, code=code, ts=ts).writeStream.outputMode("update").foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
-    )
+        fresh = latest_per_code(batch.select(*columns), code=code, ts=ts).withColumn("bucket", place).persist()
+        try:
+            kept = bucket_versions(spark, table, before=batch_id)
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # numbers of buckets
+            held = _read(spark, table, {b: kept[b][:1] for b in touched if b in kept}, fresh.schema)
+            old = held.select(code, F.struct(ts, *[c for c in columns if c not in (code, ts)]).alias("__old"))
+            new = F.struct(ts, *[c for c in columns if c not in (code, ts)])
+            moved = fresh.join(old, code, "left").where(F.col("__old").isNull() | (new > F.col("__old"))).drop("__old")
+            changed = [r.bucket for r in moved.select("bucket").distinct().collect()]
+            if not changed:
+                return
+            stay = held.where(F.col("bucket").isin(*changed)).join(moved.select(code), code, "left_anti")
+            out = moved.select(*columns, "bucket").unionByName(stay.select(*columns, "bucket"))
+            out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={batch_id}")
+            for b in changed:
+                for v in kept.get(b, [])[1:]:
+                    _delete(spark, f"{table}/v={v}/bucket={b}")
+        finally:
+            fresh.unpersist()
+
+    return quotes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -74,21 +84,35 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
-    """Complete versions of the latest-quote folder (those with a success marker)."""
-    fs, p = _fs(spark, table)
-    if not fs.exists(p):
-        return []
-    done = []
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name[2:]))
-    return sorted(done)
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)), reverse=True)
+
+
+def bucket_versions(spark: SparkSession, table: str, *, before: int | None = None) -> dict[int, list[int]]:
+    """Complete versions (those with a success marker) of each bucket, newest first."""
+    out: dict[int, list[int]] = {}
+    for v in _numbered(spark, table, "v="):
+        fs, done = _fs(spark, f"{table}/v={v}/_SUCCESS")
+        if (before is None or v < before) and fs.exists(done):
+            for b in _numbered(spark, f"{table}/v={v}", "bucket="):
+                out.setdefault(b, []).append(v)
+    return out
+
+
+def _read(spark: SparkSession, table: str, chosen: dict[int, list[int]], schema: T.StructType) -> DataFrame:
+    paths = [f"{table}/v={v[0]}/bucket={b}" for b, v in chosen.items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", table).schema(schema).parquet(*paths).select(*schema.names)
 
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={max(versions(spark, table))}")
+    """The newest quote of every code."""
+    newest = bucket_versions(spark, table)
+    paths = [f"{table}/v={v[0]}/bucket={b}" for b, v in newest.items()]
+    return spark.read.option("basePath", table).parquet(*paths).drop("v", "bucket")
 
 
 def quote_view(latest: DataFrame, codes: list[str] | None = None, limit: int = 500, *, code: str = "exchange_code") -> DataFrame:
@@ -114,6 +138,21 @@ def window_bars(quotes: DataFrame, *, code: str, price: str, ts: str, size: str
     ).select(code, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume")
 
 
+def sessions(quotes: DataFrame, *, code: str, price: str, ts: str, gap: str = "30 minutes", delay: str = "10 minutes",
+             tie: list[str] | None = None) -> DataFrame:
+    """open/high/low/close/ticks per code and session: quotes less than `gap` apart belong together.
+
+    A session ends `gap` after its last quote. On a stream in append mode a late quote may still join two sessions; they are emitted once
+    the watermark passes the end, and quotes behind it are dropped. On a table the same rows come out at once.
+    """
+    order = F.struct(ts, *(tie or [price]))
+    rows = quotes.withWatermark(ts, delay) if quotes.isStreaming else quotes
+    return rows.groupBy(F.session_window(ts, gap).alias("w"), code).agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, order).alias("close"), F.count("*").alias("ticks"),
+    ).select(code, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "ticks")
+
+
 def start_to_parquet(df: DataFrame, path: str, checkpoint: str, *, partition_by: list[str] | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Append a stream to Parquet, by default everything available now, then stop; the checkpoint is the watermark."""

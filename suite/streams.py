@@ -71,3 +71,32 @@ def _(m):
     source="select e.*, time_bucket(interval 30 minute, ts) - k * interval 30 minute as s from events e cross join (select unnest([0, 1]) as k) o", size=60))
 def _(m):
     return _window_rows(m, size="60 minutes", slide="30 minutes")
+
+
+_SESSIONS = """select exchange_code, strftime(s, '%Y-%m-%d %H:%M:%S') as start_text, strftime(e + interval {gap} minute, '%Y-%m-%d %H:%M:%S') as end_text, open, high, low, close, ticks from (
+    select user_id, cast(user_id as varchar) as exchange_code, k, min(ts) as s, max(ts) as e, arg_min(value, row(ts, value, event_id)) as open, max(value) as high,
+           min(value) as low, arg_max(value, row(ts, value, event_id)) as close, count(*) as ticks
+    from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from (
+      select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval {gap} minute then 1 else 0 end as fresh
+      from events window w as (partition by user_id order by ts, event_id)) a) b group by 1, 2, 3) z"""
+_SESSION_COLS = "exchange_code:s start_text:s end_text:s open:f high:f low:f close:f ticks:i"
+
+
+def _session_rows(df):
+    shown = {"start_text": F.date_format("start", "yyyy-MM-dd HH:mm:ss"), "end_text": F.date_format("end", "yyyy-MM-dd HH:mm:ss")}
+    return df.withColumns(shown).drop("start", "end")
+
+
+@query("ST5_sessions", _SESSION_COLS, _SESSIONS.format(gap=720))
+def _(m):
+    events = m.table("events").select(F.col("user_id").cast("string").alias("exchange_code"), F.col("ts").cast("timestamp").alias("snapshot_ts"),
+                                      F.col("value").alias("price"), "event_id")
+    return _session_rows(qs.sessions(events, code="exchange_code", price="price", ts="snapshot_ts", gap="720 minutes", tie=["price", "event_id"]))
+
+
+@query("ST5_sessions_streamed", _SESSION_COLS, _SESSIONS.format(gap=720) + " where e + interval 720 minute <= (select max(ts) - interval 10 minute from events)")
+def _(m):
+    root = _scratch(m)
+    found = qs.sessions(_quote_stream(m), code="exchange_code", price="price", ts="snapshot_ts", gap="720 minutes", tie=["price", "event_id"])
+    qs.start_to_parquet(found, f"{root}/sessions", f"{root}/checkpoint").awaitTermination()
+    return _session_rows(m.spark.read.parquet(f"{root}/sessions"))
