@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom import rules
 from barloom.functions import values as v
-from barloom.operators import ranking
+from barloom.operators import asof, ranking, scd2
 from barloom.operators.calendar import link
 from barloom.operators.prices import by_security
 
@@ -112,6 +112,22 @@ def forward_buckets(factors: DataFrame, bars: DataFrame, calendar: DataFrame, *,
     )
 
 
+def cube(factors: DataFrame, bars: DataFrame, master: DataFrame, industry: DataFrame, level: str = "sw_l1") -> DataFrame:
+    """Valid values and securities with one, over factor, industry and board at once: `grouping` is grouping_id (4 factor, 2 industry, 1 board).
+
+    Sets: all three, factor with either, each factor, each industry, and everything. Values are first counted per security, so one
+    scan feeds a single Expand over counts, and securities are counted exactly in every set.
+    """
+    placed = asof.attach_interval(bars.select("security_id", "trade_date"), industry.where(F.col("level") == level), ["security_id"], ["industry"])
+    listed = placed.join(scd2.current_listing(master, "board"), "security_id")
+    rows = factors.where(_valid()).select("security_id", "trade_date", "factor_name").join(listed, ["security_id", "trade_date"])
+    counts = rows.groupBy("factor_name", "industry", "board", "security_id").agg(F.count("*").alias("k"))
+    f, i, b = (F.col(c) for c in ("factor_name", "industry", "board"))
+    sets = [[f, i, b], [f, i], [f, b], [f], [i], []]
+    return counts.groupingSets(sets, f, i, b).agg(
+        F.grouping_id().alias("grouping"), F.sum("k").alias("n_values"), F.countDistinct("security_id").alias("n_securities"))
+
+
 def spreads(bucket_returns: DataFrame, buckets: int = 5) -> DataFrame:
     """Top minus bottom bucket per day and factor."""
     top = F.max(F.when(F.col("quintile") == buckets, F.col("mean_fwd_ret")))

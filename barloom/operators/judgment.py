@@ -181,7 +181,7 @@ def cards(master: DataFrame, bars: DataFrame, factors: DataFrame, members: DataF
 def cards_of_signal(card_rows: DataFrame, weights: DataFrame, top_n: int) -> DataFrame:
     """Cards of the n largest weights of a signal."""
     head = weights.orderBy(F.desc("weight"), "exchange_code").limit(top_n).select("exchange_code", "weight")
-    return card_rows.join(F.broadcast(head), "exchange_code")
+    return card_rows.join(head, "exchange_code")
 
 
 def last_rows(df: DataFrame, key: str, n: int, *, day: str = "trade_date") -> DataFrame:

@@ -180,7 +180,7 @@ def excess_metrics(series: DataFrame, benchmark: DataFrame, by: list[str]) -> Da
     prev = F.lag("nav").over(_by_day(by))
     strat = series.select(*by, "trade_date", (F.try_divide(F.col("nav"), prev) - 1).alias("s")).where("s is not null")
     bench = benchmark.select("trade_date", F.col("ret").alias("b")).where("b is not null")
-    er = strat.join(F.broadcast(bench), "trade_date").select(*by, (F.col("s") - F.col("b")).alias("er"))
+    er = strat.join(bench, "trade_date").select(*by, (F.col("s") - F.col("b")).alias("er"))
     g = er.groupBy(*by).agg(
         F.count("*").alias("days"), (F.product(1.0 + F.col("er")) - 1.0).alias("excess_total"),
         (F.stddev_samp("er") * math.sqrt(YEAR)).alias("excess_ann_vol"), (F.avg("er") * YEAR).alias("excess_ann_return"),

@@ -118,6 +118,25 @@ def reusable(counts: DataFrame, min_rows: int) -> DataFrame:
     return counts.join(bars, ["source", "dt"], "left").withColumn("reusable", F.coalesce(ok, F.lit(False))).drop("bar_n")
 
 
+def reconcile(landed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows that one side holds more often than the other, as multisets over the columns both have: `side` and how many times `n`.
+
+    One signed count per distinct row: +1 landed, -1 stored, added up before and after the shuffle. Equal rows, repeated ones
+    too, cancel; a row that is there twice on one side and once on the other comes out once. Nulls are equal to each other.
+    """
+    columns = [c for c in landed.columns if c in stored.columns]
+    both = landed.select(*columns, F.lit(1).alias("__n")).unionByName(stored.select(*columns, F.lit(-1).alias("__n")))
+    left = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    return left.select(*columns, F.when(F.col("__n") > 0, "landed").otherwise("stored").alias("side"), F.abs("__n").alias("n"))
+
+
+def in_both(landed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows both sides hold, as often as both do (`n`)."""
+    columns = [c for c in landed.columns if c in stored.columns]
+    sides = landed.select(*columns, F.lit(1).alias("__l"), F.lit(0).alias("__s")).unionByName(stored.select(*columns, F.lit(0).alias("__l"), F.lit(1).alias("__s")))
+    return sides.groupBy(*columns).agg(F.least(F.sum("__l"), F.sum("__s")).alias("n")).where("n > 0")
+
+
 def alignment(published: DataFrame, present: DataFrame) -> DataFrame:
     """Published days with and without the extra table's rows."""
     have = present.select("trade_date").distinct().withColumn("present", F.lit(True))

@@ -168,8 +168,18 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, *, rank: st
     return out if rank else out.drop(name)
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of an ordered listing, with the positions it covers."""
-    if number < 1 or size < 1:
-        raise ValueError("page number and size start at 1")
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+def page_after(df: DataFrame, keys: list[str], size: int, last: Column | None = None) -> DataFrame:
+    """The next page of a listing in ascending order of `keys`, which must be unique together.
+
+    `last` is the key of the row before (a struct of the keys, see `last_key`); without it the first page is given. Every page
+    costs one filtered scan and a top `size` per task, however deep it lies.
+    """
+    if size < 1:
+        raise ValueError("page size starts at 1")
+    rows = df if last is None else df.where(F.struct(*keys) > last)
+    return rows.orderBy(*keys).limit(size)
+
+
+def last_key(page: DataFrame, keys: list[str]) -> Column:
+    """The key a page ends with, for the page after it."""
+    return page.agg(F.max(F.struct(*keys))).scalar()

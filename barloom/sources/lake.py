@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from barloom import rules
 from barloom.functions import values as v
 from barloom.schemas import LANDED, conform, landed
-from barloom.session import durable
 
 
 def dataset_path(root: str, dataset: str) -> str:
@@ -61,14 +60,22 @@ def write_raw(df: DataFrame, root: str, dataset: str, *, source: str | None = No
         counts = rows.agg(F.count("*").alias("rows"), v.content_print(rows).alias("fingerprint"))
         entry = written.select("*", counts.select(F.struct("*")).scalar().alias("c")).select("source", "dt", "c.*")
     else:
-        # computed once: the partitions and their manifest lines come from the same rows
-        named = durable(df.withColumn("source", F.lit(source)) if source is not None else df)
+        named = df.withColumn("source", F.lit(source)) if source is not None else df
+        key = F.struct(F.col("source").cast("string").alias("source"), F.col("dt").cast("string").alias("dt"))
+        seen = Observation()  # the partitions met while writing: one computation of the rows, and what is counted is what was written
         (
-            named.hint("rebalance", "source", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source", "dt").parquet(dataset_path(root, dataset))
+            named.observe(seen, F.collect_set(key).alias("parts")).hint("rebalance", "source", "dt")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "dt").parquet(dataset_path(root, dataset))
         )
+        parts = [(p["source"], p["dt"]) for p in seen.get["parts"]]
+        if not parts:
+            return
         body = [c for c in named.columns if c not in ("source", "dt")]
-        entry = named.groupBy("source", F.col("dt").cast("string").alias("dt")).agg(
+        shape = T.StructType([f for f in named.schema.fields if f.name in body] + [T.StructField(c, T.StringType()) for c in ("source", "dt")])
+        back = spark.read.schema(shape).parquet(dataset_path(root, dataset))
+        near = F.col("source").isin(*{p[0] for p in parts}) & F.col("dt").isin(*{p[1] for p in parts})  # prunes folders
+        back = back.where(near).join(spark.createDataFrame(parts, "source string, dt string"), ["source", "dt"], "left_semi")
+        entry = back.groupBy("source", F.col("dt").cast("string").alias("dt")).agg(
             F.count("*").alias("rows"), v.print_of(*body).alias("fingerprint")
         )
     append_manifest(entry.withColumn("dataset", F.lit(dataset)), root)

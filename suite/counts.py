@@ -125,6 +125,15 @@ def _(m):
     return health.industry_coverage(m.industries, m.raw_bars, "sw_l1")
 
 
+@query("A12_coverage_cube", "factor_name:s industry:s board:s grouping:i n_values:i n_securities:i", """
+    select factor_name, industry, board, grouping(factor_name, industry, board) as grouping, count(*) as n_values, count(distinct f.security_id) as n_securities
+    from fac f join bars0 b on b.security_id = f.security_id and b.trade_date = f.trade_date join listing l on l.security_id = f.security_id
+    left join (select security_id, industry, in_date, out_date from inds) i on i.security_id = f.security_id and i.in_date <= f.trade_date and i.out_date > f.trade_date
+    group by grouping sets ((factor_name, industry, board), (factor_name, industry), (factor_name, board), (factor_name), (industry), ())""", "fac bars0 listing inds")
+def _(m):
+    return cv.cube(m.factors(), m.raw_bars, m.listing, m.industries)
+
+
 @query("A13_universe_sizes", "index_code:s trade_date:d members:i", """
     select x.index_code, d.trade_date, count(*) as members from (select distinct trade_date from bars0) d
     join members x on x.in_date <= d.trade_date and x.out_date > d.trade_date group by 1, 2

@@ -245,7 +245,10 @@ def _(m):
 @query("L11_paging", "exchange_code:s trade_date:d", """
     select exchange_code, trade_date from bars0 join listing using (security_id) order by exchange_code, trade_date offset 300 limit 100""", "bars0 listing")
 def _(m):
-    return ranking.page(_priced(m), [F.col("exchange_code"), F.col("trade_date")], 4, 100)
+    rows, keys, last = _priced(m), ["exchange_code", "trade_date"], None
+    for _ in range(3):  # the key each page ends with leads to the next
+        last = ranking.last_key(ranking.page_after(rows, keys, 100, last), keys)
+    return ranking.page_after(rows, keys, 100, last)
 
 
 # ---- sets and de-duplication -------------------------------------------------------------
@@ -280,6 +283,27 @@ def _(m):
     return pb.alignment(pb.published_days(m.versions), m.basic.where("turnover_rate > 4")).where("present")
 
 
+@query("U03_reconciled_rows", "security_id:i trade_date:d volume:i side:s n:i", """
+    with landed as (select security_id, trade_date, volume from bars0 union all select security_id, trade_date, volume from bars0 where day(trade_date) = 7),
+    stored as (select security_id, trade_date, volume + case when security_id % 11 = 0 and day(trade_date) = 9 then 1 else 0 end as volume from bars0
+      union all select security_id, trade_date, volume from bars0 where day(trade_date) = 8),
+    counts as (select security_id, trade_date, volume, sum(k) as k from (select *, 1 as k from landed union all select *, -1 from stored) z group by 1, 2, 3)
+    select security_id, trade_date, volume, case when k > 0 then 'landed' else 'stored' end as side, abs(k) as n from counts where k <> 0""", "bars0")
+def _(m):
+    rows = m.raw_bars.select("security_id", "trade_date", "volume")
+    day = F.dayofmonth("trade_date")
+    bent = F.when((F.col("security_id") % 11 == 0) & (day == 9), 1).otherwise(0)
+    return pb.reconcile(rows.unionByName(rows.where(day == 7)), rows.withColumn("volume", F.col("volume") + bent).unionByName(rows.where(day == 8)))
+
+
+@query("U03_rows_in_both", "security_id:i month:d n:i", """
+    select security_id, month, least(a, b) as n from (
+      select security_id, cast(date_trunc('month', trade_date) as date) as month, count(*) as a, count(*) filter (where close > open) as b from bars0 group by 1, 2) z where least(a, b) > 0""", "bars0")
+def _(m):
+    rows = m.raw_bars.select("security_id", F.trunc("trade_date", "month").alias("month"), "open", "close")
+    return pb.in_both(rows.select("security_id", "month"), rows.where("close > open").select("security_id", "month"))
+
+
 @query("U04_thin_days", "trade_date:d row_count:i", "select trade_date, row_count from vers where row_count < 20", "vers")
 def _(m):
     return pb.continuity(m.days, m.versions, min_rows=20).where("state = 'thin'")

@@ -570,11 +570,9 @@ def _(m):
     select security_id, trade_date, close from bars0 where security_id in
       (select security_id from listing order by exchange_code limit 20)""", "bars0 listing")
 def _(m):
-    from pyspark.sql.functions import broadcast
-
-    head = rs.first_codes(m.listing, 20)  # 20 rows
+    head = rs.first_codes(m.listing, 20)
     coded = m.raw_bars.join(m.listing.select("security_id", "exchange_code"), "security_id")
-    return coded.join(broadcast(head), "exchange_code", "left_semi")
+    return coded.join(head, "exchange_code", "left_semi")
 
 
 @query("F13_suspended_from_status", "exchange_code:s suspend_date:d", """

@@ -108,8 +108,13 @@ def test_first_rank_buckets(spark, n, sizes):
     assert [counts[k] for k in sorted(counts)] == sizes
 
 
-def test_page_bounds(spark):
-    df = spark.range(25)
-    assert [r[0] for r in ranking.page(df, [F.col("id")], 3, 10).collect()] == list(range(20, 25))
+def test_pages_follow_each_other(spark):
+    data = [(None if i % 9 == 0 else i % 4, i) for i in range(95)]
+    df, keys = spark.createDataFrame(data, "a int, b int").repartition(5), ["a", "b"]
+    seen, last = [], None
+    while rows := (page := ranking.page_after(df, keys, 10, last)).collect():
+        seen += [tuple(r) for r in rows]
+        last = ranking.last_key(page, keys)
+    assert seen == sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     with pytest.raises(ValueError):
-        ranking.page(df, [F.col("id")], 0, 10)
+        ranking.page_after(df, keys, 0)
