@@ -156,6 +156,39 @@ def _(m):
     return fct.compute(m.bars, m.basic, m.statements, names=["mom_20", "ep"], bound=190, start=dt.date(1998, 1, 1), end=dt.date(1998, 12, 31))
 
 
+def _late(m):
+    """Inputs before and after: bars and ratios of some days come late, some closes and statements are corrected."""
+    from barloom.operators import refresh
+
+    late = (F.col("security_id") * 7 + F.dayofyear("trade_date")) % 97 == 0
+    bent = (F.col("security_id") % 13 == 0) & (F.dayofyear("trade_date") == 100)
+    bars = m.bars.where(~late).withColumn("close", F.when(bent, F.col("close") * 1.01).otherwise(F.col("close")))
+    told = m.statements.where(~((F.col("security_id") % 17 == 0) & (F.month("report_date") == 3)))
+    return refresh, refresh.Inputs(bars, m.basic.where(~late), told), refresh.Inputs(m.bars, m.basic, m.statements)
+
+
+@query("C10_refreshed_factors", "trade_date:d security_id:i factor_name:s version:s value:f8", "select *, 'v1' as version from fac", "fac")
+def _(m):
+    from barloom.operators import factors as fct
+
+    refresh, before, after = _late(m)
+    bound = fct.lookback_days(60)
+    stored = durable(fct.compute(*before, bound=bound))  # the table as it stood
+    return refresh.refresh(stored, before, after, bound=bound).table
+
+
+@query("C10_dirty_ranges", "security_id:i in_date:d out_date:d", """
+    with late as (select distinct security_id, trade_date from bars0 where (security_id * 7 + dayofyear(trade_date)) % 97 = 0 or (security_id % 13 = 0 and dayofyear(trade_date) = 100)),
+    cut as (select *, case when trade_date <= lag(trade_date) over (partition by security_id order by trade_date) + 191 then 0 else 1 end as fresh from late),
+    runs as (select *, sum(fresh) over (partition by security_id order by trade_date) as g from cut)
+    select security_id, min(trade_date) as in_date, max(trade_date) + 191 as out_date from runs group by security_id, g""", "bars0")
+def _(m):
+    from barloom.operators import factors as fct
+
+    refresh, before, after = _late(m)
+    return refresh.dirty_ranges(refresh.changed_days(before.bars, after.bars, ["close", "adj_factor"]), fct.lookback_days(60))
+
+
 @query("C11_factor_read", "trade_date:d exchange_code:s value:f8", """
     select trade_date, exchange_code, value from fac join listing using (security_id) where factor_name = 'bp' and trade_date <= date '1999-12-31'""", "fac listing")
 def _(m):
