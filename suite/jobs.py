@@ -658,6 +658,40 @@ def _(m):
     return rs.get_fundamental(m.statements, m.listing, "revenue", dt.date(2000, 1, 1), version="1999-06-30")
 
 
+@query("C38_sql_table_functions", "security_id:i exchange_code:s industry:s post_close:f6 last_day:d net_profit:f2", f"""
+    with day as (select date '1997-06-30' as d),
+    item as (select security_id, arg_max(net_profit, row(report_date, ann_date, update_flag)) as net_profit from stmt, day where ann_date <= d group by 1)
+    select x.security_id, x.exchange_code, i.industry, b.close * b.adj_factor as post_close, z.last_day, item.net_profit
+    from members x join day on x.in_date <= d and x.out_date > d
+    left join inds i on i.security_id = x.security_id and i.in_date <= d and i.out_date > d
+    left join bars b on b.security_id = x.security_id and b.trade_date = d
+    left join (select security_id, max(trade_date) as last_day from bars0, day where trade_date <= d group by 1) z on z.security_id = x.security_id
+    left join item on item.security_id = x.security_id""", "members inds bars bars0 stmt")
+def _(m):
+    from barloom.sources import pit_sql
+
+    pit_sql.register(m.spark, bars=m.bars, master=m.master, members=m.members.join(m.listing.select("security_id", "exchange_code"), "security_id"),
+                     industries=m.industries, statements=m.statements)
+    return m.spark.sql("""
+        SELECT m.security_id, m.exchange_code, i.industry, p.post_close, l.trade_date AS last_day, v.value AS net_profit
+        FROM members_on('IDX_A', DATE '1997-06-30') m
+        LEFT JOIN industry_on('sw_l1', DATE '1997-06-30') i ON i.security_id = m.security_id
+        LEFT JOIN price_on(DATE '1997-06-30') p ON p.security_id = m.security_id
+        LEFT JOIN last_price_by(DATE '1997-06-30') l ON l.security_id = m.security_id
+        LEFT JOIN visible_item('net_profit', DATE '1997-06-30') v ON v.security_id = m.security_id""")
+
+
+@query("C06_universe_by_sql", "security_id:i exchange_code:s", """
+    select x.security_id, x.exchange_code from members x join bars b on b.security_id = x.security_id and b.trade_date = date '1997-06-30' join master l on l.security_id = x.security_id
+    where x.in_date <= b.trade_date and x.out_date > b.trade_date and b.is_suspended <> 1 and b.is_st <> 1 and l.list_date <= b.trade_date - 120""", "members bars master")
+def _(m):
+    from barloom.sources import pit_sql
+
+    pit_sql.register(m.spark, bars=m.bars, master=m.master, members=m.members.join(m.listing.select("security_id", "exchange_code"), "security_id"),
+                     industries=m.industries, statements=m.statements)
+    return m.spark.sql("SELECT * FROM universe_on('IDX_A', DATE '1997-06-30', 120)")
+
+
 @query("C39_overview", "version:s max_date:d n:i n_codes:i monitored:d n_alerts:i session_id:s", """
     select (select max(version) from vers) as version, max(trade_date) as max_date, count(*) as n, count(distinct security_id) as n_codes, max(trade_date) as monitored,
            (select sum((coalesce(k, 0) / u::double < 0.9)::int + (coalesce(k, 0) = 0)::int) from (select count(*) filter (where is_suspended = 0) as u from bars where trade_date = (select max(trade_date) from bars)) a,
