@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 4096
+#: Whole texts that a Python worker gets at a time while a sketch is made.
+_TEXTS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -25,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows at a time go to a Python worker in jobs run inside; 0 leaves the session's number."""
+    before = spark.conf.get(_BATCH)
+    try:
+        if rows:
+            spark.conf.set(_BATCH, rows)
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str, batch: int = 0, codec: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed.
 
@@ -32,13 +47,8 @@ def written(df: DataFrame, name: str, batch: int = 0, codec: str = "snappy") ->
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    try:
-        if batch:
-            spark.conf.set(_BATCH, batch)
+    with batches_of(spark, batch):
         df.write.parquet(path, compression=codec)
-    finally:
-        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -154,6 +164,8 @@ def summed_sketch(pieces: DataFrame, bits: int, finish: Callable[[np.ndarray], n
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([finish(total).astype(np.uint8).tobytes()], pa.binary())], ["piece", "data"])
 
     out = np.tile(finish(np.zeros(width, np.int64)).astype(np.uint8), ((1 << bits) // width, 1))
-    for row in pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect():
+    with batches_of(pieces.sparkSession, _TEXTS):
+        rows = pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect()
+    for row in rows:
         out[row.piece] = np.frombuffer(row.data, np.uint8)
     return out.reshape(-1)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import Sketch, WordHashes, mixed, shingles, summed_sketch, texts, written
+from barloom.llm.common import Sketch, WordHashes, discard, mixed, shingles, summed_sketch, texts, written
 
 PERCENT = 80
 WORDS = 5
@@ -31,7 +31,7 @@ ROUNDS, SHARES = 3, 8
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Rows with whole texts or sets that a Python worker gets at a time.
-BATCH = 1_000
+BATCH = 512
 #: The counting sketch has 2**SKETCH_BITS slots, a byte each once ranked; more slots tell rarer passages from chance.
 SKETCH_BITS = 22
 
@@ -62,7 +62,7 @@ def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """`doc_id, n, set_key, group_key, prefix` per row; keys are 128-bit hashes of the set and of its size and prefix."""
+    """`doc_id, n, set_key, group_key, prefix` per row, written; keys are 128-bit hashes of the set and of its size and prefix."""
     rank = docs.sparkSession.sparkContext.broadcast(ranks(docs, bits))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,10 @@ def signatures(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                     ["doc_id", "n", "set_key", "group_key", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n int, set_key binary, group_key binary, prefix array<bigint>")
+    signed = docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n int, set_key binary, group_key binary, prefix array<bigint>")
+    signed = written(signed, "signatures", BATCH)
+    rank.destroy()
+    return signed
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -122,7 +125,9 @@ def whole_sets(docs: DataFrame, ids: DataFrame, bits: int = SKETCH_BITS) -> Data
                     [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "s"]
                 )
 
-    return written(docs.select("doc_id", "text").mapInArrow(whole, "id bigint, n int, s binary").where("n > 0"), "sets", BATCH)
+    sets = written(docs.select("doc_id", "text").mapInArrow(whole, "id bigint, n int, s binary").where("n > 0"), "sets", BATCH)
+    wanted.destroy()
+    return sets
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -158,9 +163,11 @@ def connected(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         low = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        moved = written(low.join(up, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("component")).alias("moved")), "labels")
+        before, moved = labels, written(low.join(up, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("component")).alias("moved")), "labels")
+        discard(before)
         labels = moved.select("node", "component")
         if moved.where("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -215,7 +222,7 @@ def groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     with nothing. Rows with one id are one document, linked by any of its texts; a null id has no links and a null component.
     Other columns are not looked at; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
-    signed = written(signatures(docs, bits), "signatures", BATCH)
+    signed = signatures(docs, bits)
     full = signed.where("n > 0 and doc_id is not null")
     sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n")), "distinct")
     grouped = full.groupBy("group_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -230,7 +237,8 @@ def groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         others = lists.join(inside.select("id", "rep").where("id != rep"), "id").select("t", F.col("rep").alias("id"), "n")
         lists = lists.union(within).union(others)
     able = lists.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _shared(F.col("n"))).select("id")
-    lists = written(lists.join(able, "id"), "able")
+    every, lists = lists, written(lists.join(able, "id"), "able")
+    discard(every)
     whole = whole_sets(docs, lists.select("id").distinct(), bits)
 
     spark = docs.sparkSession

@@ -178,8 +178,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with their columns and no others."""
-    measured = docs.select("doc_id", F.col(stratum).alias("stratum"), measures(F.col("text")).alias("m"))
-    limits = thresholds(measured, labels, risk, error)
     own = "llm risk rules"  # no column of the documents is named like this
-    rows = docs.select(F.struct("*").alias(own), F.col(stratum).alias("stratum"), measures(F.col("text")).alias("m"))
+    # measured once: the cutoffs and the verdicts are made from the stored counts
+    rows = written(docs.select(F.struct("*").alias(own), F.col(stratum).alias("stratum"), measures(F.col("text")).alias("m")), "measured")
+    limits = thresholds(rows.select(F.col(f"`{own}`")["doc_id"].alias("doc_id"), "stratum", "m"), labels, risk, error)
     return with_cutoffs(rows, limits, "stratum").where(kept(F.col("m"), F.col("cutoffs"))).select(f"`{own}`.*")
