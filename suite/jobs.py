@@ -624,7 +624,7 @@ _PLAN = f"""select exchange_code, side, quantity, case when not lot_ok then 'bel
       when side = 'buy' and close * 1.0005::double * quantity + greatest(close * 1.0005::double * quantity * 0.0003::double, 5.0) > 800000.0 + 1e-6 then 'cash' end as reason from (
     select l.exchange_code, case when coalesce(t.shares, 0) > coalesce(h.q, 0) then 'buy' else 'sell' end as side, abs(coalesce(t.shares, 0) - coalesce(h.q, 0)) as quantity,
            b.close, b.is_suspended, b.up_limit, b.down_limit, abs(coalesce(t.shares, 0) - coalesce(h.q, 0)) >= case l.board when 'star' then 200 else 100 end as lot_ok
-    from listing l left join (select exchange_code, coalesce(cast(floor(floor((10000000.0::double * 0.1::double) / close) / 100) * 100 as bigint), 0) as shares from (
+    from listing l left join (select exchange_code, coalesce(cast(floor(floor((10000000.0::double * (1.0::double / count(*) over ())) / close) / 100) * 100 as bigint), 0) as shares from (
         select l.exchange_code, b.close from fac f join listing l using (security_id) left join lbars b on b.security_id = f.security_id and b.trade_date = f.trade_date
         where factor_name = 'turn_20' and f.trade_date = {D} order by value desc, l.exchange_code limit 10) x) t on t.exchange_code = l.exchange_code
     left join (select exchange_code, 300 as q from listing where security_id % 4 = 0) h on h.exchange_code = l.exchange_code
