@@ -2,13 +2,15 @@
 
 In any common order two such sets share SHARED shingles (or all they have in common, if fewer) among the first
 `n - ceil(0.8 n) + SHARED` of each. The order here puts shingles from rarely used slots of a counting sketch first, so passages that many
-documents share come last. Documents with the same shingles are one set; sets with the same size and prefix are one group, and only
-groups are joined.
+documents share come last. Documents with the same shingles are one set; sets with the same size and prefix are one group, and groups
+are joined: their pairs are filtered first, and only pairs that stay are expanded to members and verified.
 
 Lists of groups that share a prefix shingle are not paired off. In a few rounds every group is checked against the one list leader of
-its size that it shares most with, which joins large sets of near copies with a few checks a member. Then only pairs that still lie in
-different components are formed, each member outside a list's commonest component against the list; so no link between
-components is missed. Every link is checked on the whole shingle sets.
+its size that it shares most with, which joins large sets of near copies with a few checks a member. Then only pairs of groups that still
+lie in different components are formed, each group outside a list's commonest component against the list; so no link between
+components is missed. A pair of `m` and `n` shingles needs `need = ceil(0.8 (m + n) / 1.8)` in common, so SHARED of them are among the
+first `m - need + SHARED` of one and `n - need + SHARED` of the other: a shared shingle further back does not make a pair. Every link is
+checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -177,16 +179,16 @@ def _bands(n: Column) -> Column:
     return F.array(*[F.struct(F.lit(v).alias("v"), F.floor((unit + v) / 2).alias("band")) for v in (0, 1)])
 
 
-def _with_components(lists: DataFrame, components: DataFrame | None) -> DataFrame:
+def _with_components(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
-        return lists.withColumn("component", F.col("id"))
-    return lists.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of lists that hold more than one component."""
-    several = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("t")
-    return rows.join(several, "t")
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of lists in which more than one component meets."""
+    several = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("split").alias("any")).where("low < high or any")
+    return rows.join(several.select("t"), "t")
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -200,14 +202,38 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return best.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """`a, b, need`, one row per list `t` in which a pair of different components meets early enough in both prefixes.
+
+    `rows(t, place, id, n, component, split)`; a split group has members of several components, so it meets any other. No pair is formed
+    inside the commonest component of a list.
+    """
+    mode = rows.where("not split").groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("component", F.struct("c", "component")).alias("mode"))
+    named = rows.join(mode, "t", "left").withColumn("inner", ~F.col("split") & F.coalesce(F.col("component") == F.col("mode"), F.lit(False)))
+    x, y = (named.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "place", "component", "split", "inner")]) for side in "xy")
+    m, n = F.col("x_n"), F.col("y_n")
+    need = F.ceil(PERCENT * (m + n) / (100 + PERCENT))
+    meet = (F.col("x_place") + need < m + SHARED) & (F.col("y_place") + need < n + SHARED)
+    differ = (F.col("x_component") != F.col("y_component")) | (F.col("x_split") | F.col("y_split")) & (F.col("x_id") != F.col("y_id"))
+    pairs = x.where("not x_inner").join(y, "t").where(_near(m, n) & meet & differ & (F.col("y_inner") | (F.col("x_id") < F.col("y_id"))))
+    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), need.alias("need"))
+
+
 def rest_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs in different components that share enough of their lists, without forming pairs inside the commonest component of a list."""
-    mode = rows.groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("component", F.struct("c", "component")).alias("mode"))
-    x = rows.join(mode, "t").where("component != mode").select("t", "mode", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component")])
-    y = rows.select("t", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "component")])
-    pairs = x.join(y, "t").where((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("mode")) | (F.col("x_id") < F.col("y_id"))) & _near(F.col("x_n"), F.col("y_n")))
-    counted = pairs.groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("x_n", "y_n")).alias("n"))
-    return counted.where(F.col("c") >= _shared(F.col("n"))).select("a", "b")
+    """Pairs in different components that share enough of their lists."""
+    counted = apart(rows).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    return counted.where(F.col("c") >= F.least(F.lit(SHARED), F.col("need"))).select("a", "b")
+
+
+def members(pairs: DataFrame, inside: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Pairs of groups `a, b` as pairs of their members in different components; `inside(id, rep)` lists the members of groups with several."""
+    for side in "ab":
+        names = inside.select(F.col("id").alias(side), F.col("rep").alias("member"))
+        pairs = pairs.join(names, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
+        if components is not None:
+            pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        pairs = pairs.withColumn(f"of_{side}", F.coalesce(f"of_{side}", side) if components is not None else F.col(side))
+    return pairs.where("of_a != of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shared(n: Column) -> Column:
@@ -226,35 +252,44 @@ def groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n")), "distinct")
     grouped = full.groupBy("group_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = grouped.select(F.explode("prefix").alias("t"), "id", "n")
+    posted = grouped.select(F.posexplode("prefix").alias("place", "t"), "id", "n")
     shared = posted.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    lists = written(posted.join(shared, "t").select("t", "id", "n"), "lists")
-    # sets of one group share its lists, and as many more as any pair must share
-    many = sets.groupBy("group_key").agg(F.min("rep").alias("id"), F.count("*").alias("c")).where("c > 1")
-    inside = written(sets.join(many, "group_key").select("group_key", "id", "rep", "n"), "inside")
-    if not inside.isEmpty():
-        within = inside.select(F.explode(F.array(*[F.xxhash64("group_key", F.lit(i)) for i in range(SHARED)])).alias("t"), F.col("rep").alias("id"), "n")
-        others = lists.join(inside.select("id", "rep").where("id != rep"), "id").select("t", F.col("rep").alias("id"), "n")
-        lists = lists.union(within).union(others)
-    able = lists.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _shared(F.col("n"))).select("id")
-    every, lists = lists, written(lists.join(able, "id"), "able")
+    every = written(posted.join(shared, "t").select("t", "place", "id", "n"), "lists")
+    able = every.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _shared(F.col("n"))).select("id")
+    lists = written(every.join(able, "id").withColumn("split", F.lit(False)), "able")
     discard(every)
-    whole = whole_sets(docs, lists.select("id").distinct(), bits)
+    many = sets.groupBy("group_key").agg(F.min("rep").alias("id"), F.count("*").alias("c")).where("c > 1").select("group_key", "id")
+    inside = written(sets.join(many, "group_key").select("id", "rep", "n"), "inside")
+    whole = whole_sets(docs, lists.select("id").union(inside.select("rep")).distinct(), bits)
 
     spark = docs.sparkSession
     links = tried = spark.createDataFrame([], "a bigint, b bigint")
     components = None
+    several = not inside.isEmpty()
+    if several:  # members of a group against its smallest
+        tried = inside.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = written(verified(whole, tried), "links", BATCH)
+        components = connected(links)
     for k in range(ROUNDS):
         # which pairs are tried first needs no more than a part of the lists; the rest is looked for in all of them
-        rows = _mixed(_with_components(lists.where(F.pmod("t", F.lit(SHARES)) == k), components))
+        rows = _open(_with_components(lists.where(F.pmod("t", F.lit(SHARES)) == k), components))
         pairs = written(star_pairs(rows).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried, links = tried.union(pairs), links.union(written(verified(whole, pairs), "links", BATCH))
             components = connected(links)
-    rows = written(_mixed(_with_components(lists, components)).distinct(), "mixed")
-    rest = written(rest_pairs(rows).join(tried, ["a", "b"], "left_anti"), "rest")
+    rows = _with_components(lists, components)
+    if several:
+        own = _with_components(inside.select("id", "rep", "n").withColumnsRenamed({"id": "t", "rep": "id"}), components)
+        torn = own.groupBy(F.col("t").alias("id")).agg((F.min("component") < F.max("component")).alias("torn"))
+        rows = rows.join(torn, "id", "left").withColumn("split", F.coalesce("torn", F.lit(False))).drop("torn")
+    rows = written(_open(rows), "open")
+    rest = rest_pairs(rows)
+    if several:
+        rest = members(rest, inside, components).union(apart(own.withColumns({"place": F.lit(0), "split": F.lit(False)})).select("a", "b"))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.union(written(verified(whole, rest), "links", BATCH))
+    discard(lists, rows)
     # the sets of an id with several texts belong together
     owned = full.join(sets, "set_key").select("doc_id", "rep")
     lowest = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")

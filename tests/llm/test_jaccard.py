@@ -101,3 +101,37 @@ def test_components_of_a_long_chain(spark):
 def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     same(QUERIES["op9_grouped_prefix_join"](spark, sf), [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
+
+
+@pytest.mark.parametrize("tail", [6, 24])
+def test_members_of_one_group(spark, tail):
+    """Texts with one rare passage, equal in size, that go on with common passages of their own: one group, linked or torn by the tail's length."""
+    passage = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    start, tails = passage("start", 12), [passage(f"t{k}x", tail) for k in range(6)]
+    rare = [passage(f"rare{g}y", 70) for g in range(3)]
+    rows = [(100 * g + k, f"{rare[g]} {start} {tails[k]}") for g in range(3) for k in range(6)]
+    # the common passages occur in many other texts, so the rare passage makes the prefix
+    rows += [(1000 + 10 * i + k, f"{passage(f'own{i}z', 60 + i)} {start} {tails[k]}") for i in range(12) for k in range(6)]
+    # a text with a part of the rare passage has another size and group and is near to some members only
+    rows += [(5000 + g, " ".join(rare[g].split()[4:]) + f" {start} {tails[2]}") for g in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard.signatures(docs)
+    assert signed.groupBy("group_key").count().where("count >= 6").count() >= 3
+    same(jaccard.groups(docs), rows)
+
+
+def test_groups_without_links_make_few_pairs(spark):
+    """Texts that share two thirds of their shingles with all others are no candidates."""
+    r = random.Random(3)
+    base = [f"b{j}" for j in range(300)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for j in range(0, 300, 25):
+            words[j + r.randrange(20)] = f"n{i}x{j}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard.signatures(docs)
+    lists = signed.selectExpr("posexplode(prefix) as (place, t)", "doc_id as id", "n", "doc_id as component", "false as split")
+    assert jaccard.rest_pairs(lists).count() < 120
+    same(jaccard.groups(docs), rows)
