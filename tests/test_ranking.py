@@ -118,3 +118,34 @@ def test_pages_follow_each_other(spark):
     assert seen == sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     with pytest.raises(ValueError):
         ranking.page_after(df, keys, 0)
+
+
+def test_small_groups_are_not_cut(spark, monkeypatch):
+    """Many groups, each below the size of a range, together far above it: one range each, no cut for a row to carry."""
+    cut(monkeypatch, 1)
+    df = spark.range(3000).select((F.col("id") % 1000).alias("g"), F.col("id").cast("double").alias("value"), "id")
+    rows, known, cuts = ranking._placed(df, ["g"], ["value", "id"], None, None)
+    assert cuts.count() == 0 and known.count() == 0
+    assert [tuple(r) for r in rows.groupBy("__range").count().collect()] == [(0, 3000)]
+    got = ranking.with_tie_ranks(df, ["g"], "value", ["id"])
+    assert got.where("rn = id div 1000 + 1 and rank_low = rn and rank_high = rn and n = 3").count() == 3000
+
+
+@pytest.mark.parametrize("sparse", [1, 1 << 40])
+def test_cuts_from_cheaper_rows(skewed, sparse, monkeypatch):
+    """Cuts taken per coarser group from rows without the attached column give the ranks of the finer groups."""
+    cut(monkeypatch, sparse)
+    fine = skewed.withColumn("part", F.col("id") % 4).where("id % 5 <> 0")
+    got = {r["id"]: (r["rn"], r["rank_low"], r["rank_high"], r["n"]) for r in ranking.with_tie_ranks(
+        fine, ["g", "part"], "value", ["id"], sampled=skewed).collect()}
+    single = {r["id"]: (r["rn"], r["n"]) for r in ranking.order_rank(fine, ["g", "part"], ["value", "id"], total="n", sampled=skewed).collect()}
+    groups = {}
+    for r in skewed.collect():
+        if r["id"] % 5:
+            groups.setdefault((r["g"], r["id"] % 4), []).append((r["value"], r["id"]))
+    assert len(got) == len(single) == 4800
+    for rows in groups.values():
+        ordered, vals = sorted(rows), sorted(x for x, _ in rows)
+        for pos, (x, i) in enumerate(ordered, 1):
+            assert got[i] == (pos, np.searchsorted(vals, x, "left") + 1, np.searchsorted(vals, x, "right"), len(rows))
+            assert single[i] == (pos, len(rows))
