@@ -204,3 +204,16 @@ def test_coverage_alerts(spark):
     assert alerts == [("bp", "error"), ("bp", "warn"), ("ep", "warn")]
     assert cv.report(covered, 0.9).first()["n_alerts"] == 3
     assert cv.report(cv.coverage(fac, px, ["ep"]), 0.5).first()["passed"]
+
+
+def test_histogram_rows_stay_where_they_are(spark):
+    """The edges go to the rows: counting starts where the rows lie, and only counts are dealt by factor."""
+    from barloom.operators import coverage
+
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, "a").alias("factor_name"), F.col("id").cast("double").alias("value"))
+    df = df.repartition(3).localCheckpoint()
+    out = coverage.histogram(df, ["factor_name"], bins=10)
+    with_hint = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in with_hint
+    assert out.agg(F.sum("n")).head()[0] == 1000
+    assert [r["n"] for r in out.where("factor_name is null").collect()] == [10] * 10
