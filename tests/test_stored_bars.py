@@ -8,7 +8,7 @@ from barloom.sources.market import Market
 from suite import QUERIES
 
 NAMES = [
-    "C41_research_acceptance", "C19_experiment_matrix", "C01_bars_with_past_names",
+    "C41_research_acceptance", "C19_experiment_matrix", "C01_bars_with_past_names", "C12_target_weights",
 ]
 
 
