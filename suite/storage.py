@@ -190,7 +190,7 @@ def _(m):
     select trade_date, security_id, factor_name, 'v1' as version, case when trade_date = date '1998-06-15' and factor_name = 'mom_20' then value + 1 else value end as value
     from fac where factor_name in ('mom_20', 'turn_20') and trade_date <> date '1998-06-16' or factor_name = 'turn_20'""", "fac")
 def _(m):
-    root, rows = _root(m), m.factors("mom_20", "turn_20")
+    root, rows = _root(m), m.stored().factors("mom_20", "turn_20")
     tb.write_partitioned(rows, root, "factor_value")
     bumped = rows.where("trade_date = '1998-06-15'").withColumn("value", F.col("value") + 1)
     tb.replace_factor_days(bumped, root, ["mom_20"], "v1", [dt.date(1998, 6, 15), dt.date(1998, 6, 16)])

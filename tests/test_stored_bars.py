@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from barloom.sources import tables as tb
 from barloom.sources.market import Market
 from suite import QUERIES
 
@@ -47,3 +48,10 @@ def test_trades_are_added_up_once(spark, sf, name):
     df = QUERIES[name].run(spark, sf)
     assert not _adds_up_trades(df)
     df.collect()
+
+
+def test_factor_slices_come_from_stored_bars(spark, sf, monkeypatch):
+    kept, write = [], tb.write_partitioned
+    monkeypatch.setattr(tb, "write_partitioned", lambda df, *a: (kept.append(df), write(df, *a)))
+    QUERIES["S13_replace_factor_slice"].run(spark, sf)
+    assert kept and not any(map(_adds_up_trades, kept))
