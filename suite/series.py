@@ -111,7 +111,7 @@ def _(m):
            case when rn >= 10 then avg(close) {_last(10)} end as ma10, case when rn >= 20 then avg(close) {_last(20)} end as boll_mid, dif, k
     from bars0 b join ({_RECURSIVE}) z using (security_id, trade_date)""", "bars0")
 def _(m):
-    return ta.compute(m.raw_bars)
+    return ta.compute(m.stored().raw_bars)
 
 
 @query("W10_payload_head", "security_id:i n:i start:d last_day:d last_close:f", """
