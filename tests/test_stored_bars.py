@@ -11,6 +11,7 @@ from suite import QUERIES
 NAMES = [
     "C41_research_acceptance", "C19_experiment_matrix", "C01_bars_with_past_names", "C12_target_weights",
     "C10_refreshed_factors", "L10_cards_of_signal", "W10_indicator_table", "C21_security_cards",
+    "C17_portfolio_series",
 ]
 
 
