@@ -27,7 +27,7 @@ BROADCAST_STATES = 4_000_000
 #: Slots (as a power of 2) by which tasks pass over most contexts that are no candidates; others are dropped by their counts.
 SKETCH_BITS = 22
 #: Keys a task counts before it hands on what it has.
-HELD = 1_000_000
+HELD = 2_000_000
 _ODD, _FOLLOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _END = b""  # no word is empty
 
@@ -91,6 +91,8 @@ def _followed(train: DataFrame, level: int, slots, words) -> DataFrame:
     def flush(waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         context, suffix, symbol = (np.concatenate(x) for x in zip(*waiting))
         _, first, n = np.unique(follower(context, symbol), return_index=True, return_counts=True)
+        order = np.lexsort((symbol[first], context[first]))  # rows of a context in a row: shuffled, they compress better
+        first, n = first[order], n[order]
         return pa.RecordBatch.from_arrays([*(_signed(x[first]) for x in (context, suffix, symbol)), pa.array(n.astype(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def grow(train: DataFrame, counts: DataFrame, mass: float, words) -> tuple[DataF
         pairs = _followed(train, level, share(slots), words).withColumn("total", F.sum("c").over(Window.partitionBy("context"))).where(F.col("total") >= LEAST)
         lower = symbols.select("next", F.col("root").alias("below")) if below is None else below
         rows = pairs.join(lower, ["next"] if below is None else ["suffix", "next"])
-        rows = written(rows.select("context", "next", "c", "total", "below"), f"tested-{level}")
+        rows = written(rows.select("context", "next", "c", "total", "below"), f"tested-{level}", codec="zstd")
         gain = F.sum(F.col("c") * F.ln(F.col("c") / F.col("total") / F.col("below")))
         kept = F.sum(F.when(F.col("c") >= FOLLOW_LEAST, F.col("c")).otherwise(0))
         fits = rows.groupBy("context").agg(gain.alias("gain"), F.count("*").alias("kinds"), F.max("total").alias("n"), kept.alias("kept"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm import suffix_states
-from barloom.llm.common import WordHashes, remainder, texts, written
+from barloom.llm.common import WordHashes, remainder, shuffles_removed, texts, written
 
 #: Share of the training tokens from which a word is a symbol of its own in contexts; rarer ones are one symbol there.
 WORD_SHARE = 1e-5
@@ -231,9 +231,10 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     held = remainder(id_col, 5) == 1 if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
     train = rows.where(~F.col("held"))
-    counts = written(word_counts(train), "words")
-    voc = vocabulary(counts)
-    states, followers = (written(x, name) for x, name in zip(suffix_states.grow(train, counts, voc.mass, words), ("states", "followers")))
+    with shuffles_removed(docs.sparkSession):
+        counts = written(word_counts(train), "words")
+        voc = vocabulary(counts)
+        states, followers = [written(x, name) for x, name in zip(suffix_states.grow(train, counts, voc.mass, words), ("states", "followers"))]
     small = states.count() + followers.count() <= suffix_states.BROADCAST_STATES
     shared = docs.sparkSession.sparkContext.broadcast((voc, suffix_states.Gains(states, followers) if small else None))
     text_key = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)

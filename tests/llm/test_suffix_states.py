@@ -82,3 +82,25 @@ def test_states_grow_with_the_corpus(spark):
     frame = spark.createDataFrame(many, "doc_id long, text string")
     got = st.score(frame, F.lit(False)).where("doc_id = 3").first()
     assert got.n_states >= 2 and got.score > got.base_score + 2
+
+
+def test_shuffle_files_go_when_their_query_ends(spark):
+    import pytest
+
+    from barloom.llm import common
+
+    before = spark.conf.get(common._CLEANUP)
+    with pytest.raises(ValueError), common.shuffles_removed(spark):
+        assert spark.conf.get(common._CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(common._CLEANUP) == before
+
+
+def test_the_tree_is_grown_with_shuffles_removed(spark, monkeypatch):
+    from barloom.llm import common, suffix_tree
+
+    seen, write = [], common.written
+    monkeypatch.setattr(suffix_tree, "written", lambda df, *a, **k: (seen.append(df.sparkSession.conf.get(common._CLEANUP)), write(df, *a, **k))[1])
+    docs = spark.createDataFrame([(i, "a b c " * 20) for i in range(40)], "doc_id long, text string")
+    assert suffix_tree.score(docs).count() == 40
+    assert seen == ["true"] * 3
