@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm import jaccard, nbsvm, packing, risk_rules
 from barloom.llm.common import table, written
 
+#: Whole texts that a Python worker gets at a time while they are packed.
+BATCH = 512
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the naive Bayes support vectors predict to be good."""
@@ -29,8 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two tokens, none across documents: one row per piece, with its ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Sequences of a power of two tokens, none across documents: one row per piece, with its ids.
+
+    Written here, as executors still hold what the join needed: whole texts and ids go to and from Python in small batches.
+    """
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return written(pieces, "packed", batch=BATCH, codec="zstd")
 
 
 STAGES = [
@@ -46,6 +53,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = written(stage(spark, docs, sf_dir), f"stage-{i}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)  # writes its rows itself

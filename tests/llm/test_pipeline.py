@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -43,3 +44,15 @@ def test_stages_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
     assert risk_rules.RISK <= 0.05
+
+
+def test_texts_are_packed_in_small_batches(spark, monkeypatch):
+    """Rows of one partition go to Python by the few hundred, not as many as the session allows; the result is stored by then."""
+    sizes = lambda docs, path: docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", sizes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1)
+    got = corpus_pipeline.packed(spark, docs, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    rows = [r.n for r in got.collect()]
+    assert sum(rows) == 2000 and max(rows) <= corpus_pipeline.BATCH < 2000
