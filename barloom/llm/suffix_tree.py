@@ -1,12 +1,11 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of the last words, kept as Spark tables that grow with the corpus (`suffix_states`). A context stays if what follows it
+States are contexts of the last words, as many as the corpus has, found where their tokens meet (`suffix_states`). A context stays if what follows it
 diverges from what follows its suffix by more than its own size pays for. A state keeps the words that follow it more than once; the
 rest of its probability goes to its suffix's distribution, down to smoothed word frequencies. A token is scored by the longest
 suffix of its history that is a state.
 
-Counts of at most 1 / WORD_SHARE words are sent to the tasks; those of all others are joined by a shuffle, with the same result. `grow`
-and `Tree` hold a small tree of one or two frequent words in memory; `score` doesn't use them.
+`grow`, `Tree` and `vocabulary` hold a small tree of one or two frequent words in memory; `score` doesn't use them.
 """
 
 from __future__ import annotations
@@ -18,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm import suffix_states
-from barloom.llm.common import WordHashes, remainder, shuffles_removed, texts, written
+from barloom.llm.common import discard, remainder, shuffles_removed, texts, written
 
 #: Share of the training tokens from which a word is a symbol of its own in contexts; rarer ones are one symbol there.
 WORD_SHARE = 1e-5
@@ -34,6 +32,8 @@ FOLLOW_SHARE, FOLLOW_LEAST = 0.002, 2
 PRIOR = 20.0
 #: Words (or keys) a task counts before it hands on what it has.
 HELD = 500_000
+#: Whole texts that a Python worker gets at a time.
+BATCH = 512
 _RARE, _END = 0, 1
 _SHIFT = 21  # symbols fit in 21 bits, as 1 / WORD_SHARE < 2**21
 
@@ -229,62 +229,22 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     looked at; an empty table gives an empty one; without training rows every token is unknown.
     """
     held = remainder(id_col, 5) == 1 if held_out is None else held_out
+    spark, share = docs.sparkSession, docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    train = rows.where(~F.col("held"))
-    with shuffles_removed(docs.sparkSession):
-        counts = written(word_counts(train), "words")
-        voc = vocabulary(counts)
-        states, followers = [written(x, name) for x, name in zip(suffix_states.grow(train, counts, voc.mass, words), ("states", "followers"))]
-    small = states.count() + followers.count() <= suffix_states.BROADCAST_STATES
-    shared = docs.sparkSession.sparkContext.broadcast((voc, suffix_states.Gains(states, followers) if small else None))
-    text_key = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
-    z = math.log10(voc.mass)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text, with the null word, and one per rare word of it."""
-        voc, gains = shared.value
-        logs, hashes = np.log10(voc.counts + 0.5), WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out, many = [], texts(batch, 2)
-                split = [words(t) for t in many]
-                gain, met = gains.of(suffix_states.Symbols(split, hashes), len(many)) if gains else np.zeros((2, len(many)))
-                for i, (doc, out_held, t, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), many, split)):
-                    s, key = voc.encode(w), text_key(t)
-                    frequent = s[s > _RARE]
-                    known = len(frequent) if voc.counts[_END] else 0
-                    out.append((doc, key, out_held, None, 1, len(s), known, float(logs[frequent].sum()), float(gain[i]), int(met[i])))
-                    for x, n in Counter(x for x in w if x not in voc.symbol).items():
-                        out.append((doc, key, None, x, n, 0, 0, 0.0, 0.0, 0))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[i], k) for i, (_, k, _) in enumerate(fields)], [n for n, _, _ in fields])
-
-    doc_type = rows.schema["doc_id"].dataType.simpleString()
-    fields = [
-        ("doc_id", rows.limit(0).toArrow().schema.field("doc_id").type, doc_type), ("key", pa.int64(), "bigint"), ("held", pa.bool_(), "boolean"), ("word", pa.binary(), "binary"),
-        ("n", pa.int64(), "bigint"), ("tokens", pa.int64(), "bigint"), ("known", pa.int64(), "bigint"), ("logs", pa.float64(), "double"), ("gain", pa.float64(), "double"), ("states", pa.int64(), "bigint"),
-    ]
-    parts = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in fields))
-    rare = counts.where("word is not null").select("word", "c")
-    each = parts.join(rare, "word", "left")
-    tail = F.col("word").isNotNull()
-    log = F.when(tail, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(F.col("logs"))
-    # rows that repeat an id and a text were counted together: every sum is so many times one row's
-    sums = each.groupBy("doc_id", "key").agg(
-        F.max("held").alias("held"), F.count_if(~tail).alias("copies"), F.sum("tokens").alias("n_tokens"),
-        F.sum(F.when(tail & F.col("c").isNotNull(), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(log).alias("logs"), F.sum("gain").alias("gain"), F.sum("states").alias("n_states"),
-    )
-    if not small:
-        by_text = suffix_states.joined_gains(rows, states, followers, words, text_key).withColumnsRenamed({"gain": "own", "states": "own_states"})
-        sums = sums.join(by_text, "key", "left").withColumns({
-            "gain": F.coalesce("own", F.lit(0.0)) * F.col("copies"), "n_states": F.coalesce("own_states", F.lit(0)) * F.col("copies"),
-        })
-    one = lambda c: (F.col(c) / F.col("copies")).cast("bigint").alias(c)
-    base = F.col("logs") / F.col("copies") - one("n_tokens") * F.lit(z)
-    out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return out.select(
-        "doc_id", F.coalesce("held", F.lit(False)).alias("held_out"), one("n_tokens"), one("n_known"), F.lit(int(voc.tokens)).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain") / F.col("copies")).alias("score"), one("n_states"),
+    ids = suffix_states.Ids(rows.limit(0).toArrow().schema.field("doc_id").type, rows.schema["doc_id"].dataType.simpleString())
+    with shuffles_removed(spark):
+        chunks = written(suffix_states.encoded(rows, words, ids), "encoded", batch=BATCH)
+        numbers = written(suffix_states.numbered(chunks), "numbers")
+        counts, tokens = suffix_states.counted(chunks, numbers)
+        shared, groups = share(counts), suffix_states.Groups.of(tokens)
+        whole = written(suffix_states.coded(chunks, numbers, shared, ids), "coded")
+        every = whole.where("part = -1")
+        often, followers = suffix_states.sent(every, numbers, shared, groups)
+    discard(chunks, numbers)
+    rows_of = suffix_states.dealt(every, shared, share(often), groups)
+    found = suffix_states.gains(rows_of if followers is None else rows_of.unionByName(followers), shared)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(counts.mass))
+    return suffix_states.scored(whole, found, ids).select(
+        "doc_id", F.coalesce("held", F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(int(counts.tokens)).cast("bigint").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("gain")).alias("score"), "n_states",
     )

@@ -104,3 +104,55 @@ def test_the_tree_is_grown_with_shuffles_removed(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c " * 20) for i in range(40)], "doc_id long, text string")
     assert suffix_tree.score(docs).count() == 40
     assert seen == ["true"] * 3
+
+
+@pytest.mark.parametrize("often", [60, 10**9])
+def test_against_dictionaries_over_many_groups(spark, docs, monkeypatch, often):
+    """Several chunks, sets of several groups, and contexts of every level that are split over groups or not: the same gains."""
+    for name, value in {"BROADCAST_STATES": often, "CHUNK": 3000, "GROUP": 500, "SETS": 3, "SET": 10**9, "HELD": 50}.items():
+        monkeypatch.setattr(ss, name, value)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    _, want = brute([t for i, t in docs if i % 5], docs)
+    got = st.score(frame, F.col("doc_id") % 5 == 0).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        gain, met = want[r.doc_id]
+        assert abs(r.score - r.base_score - gain) < 1e-6 and r.n_states == met
+
+
+def test_contexts_that_occur_often_are_split_at_every_level(spark, docs, monkeypatch):
+    """Words, pairs and triples over the limit, no others; each has several groups, which hold those of longer ones."""
+    seen, sent = [], ss.sent
+    monkeypatch.setattr(ss, "BROADCAST_STATES", 60)
+    monkeypatch.setattr(ss, "sent", lambda *a: seen.append(sent(*a)) or seen[-1])
+    st.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 5 == 0)
+    often, _ = seen[0]
+    seqs = [t.encode().split() for _, t in docs]
+    ends = [Counter(tuple(s[j : j + k]) for s in seqs for j in range(len(s) - k + 1)) for k in range(1, ss.DEPTH + 1)]
+    assert [len(k) for k in often.keys] == [sum(n > 60 for n in c.values()) for c in ends]
+    groups = often.groups(16)
+    for level in range(1, ss.DEPTH):
+        assert all(own <= groups[level - 1][key >> 32] for own, key in zip(groups[level], often.keys[level].tolist()))
+    assert max(map(len, groups[0])) > 4
+
+
+def test_intermediates_are_smaller_than_the_texts(spark):
+    """What a query leaves in the shared folder takes fewer bytes than the texts have, and its rows are packed by chunk."""
+    from pathlib import Path
+
+    from barloom.session import work_dir
+
+    rng = np.random.default_rng(2)
+    many = [(i, " ".join(f"word{x}" for x in rng.zipf(1.3, 400) % 5000)) for i in range(1000)]
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    assert st.score(spark.createDataFrame(many, "doc_id long, text string")).count() == len(many)
+    left = sum(f.stat().st_size for d in set(folder.glob("llm-*")) - before for f in d.rglob("*.parquet"))
+    assert left < 0.6 * sum(len(t) for _, t in many)
+    rows = sum(spark.read.parquet(str(d)).count() for d in set(folder.glob("llm-*")) - before)
+    assert rows < 2 * len(many)
+
+
+def test_numbers_survive_packing():
+    for x in (np.zeros(0, np.int64), np.array([0, 1, 255, 256, 2**32 - 1]), np.arange(100_000) * 40_000):
+        assert (ss.unpack(ss.pack(x)) == x).all() and ss.unpack(ss.pack(x)).dtype == np.uint32
