@@ -24,6 +24,7 @@ def _(m):
 
 
 _PRICE_COLS = "security_id:i trade_date:d"
+_FACTOR_INPUT = ("close", "volume", "adj_factor")  # what factors read of the bars
 
 
 @query("W02_momentum", _PRICE_COLS + " mom_20:f mom_60:f", "select security_id, trade_date, mom_20, mom_60 from fac_price", "fac_price")
@@ -171,6 +172,7 @@ def _(m):
            count(*) filter (where member) over (d order by value) / nullif(count(*) filter (where member) over d, 0)::double as pct
     from v window d as (partition by trade_date, factor_name)""", "fac members")
 def _(m):
+    m = m.stored("members", columns=_FACTOR_INPUT)
     return jd.index_percentiles(m.stored_factors(), m.members, "IDX_A")
 
 
