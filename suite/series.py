@@ -162,6 +162,7 @@ def _(m):
            count(*) over (partition by trade_date, factor_name, i.industry) as n
     from fac f join inds i on i.security_id = f.security_id and i.in_date <= trade_date and i.out_date > trade_date""", "fac inds")
 def _(m):
+    m = m.stored("industries", columns=_FACTOR_INPUT)
     return jd.industry_percentiles(m.stored_factors(), m.industries, "sw_l1")
 
 
