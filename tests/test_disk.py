@@ -77,6 +77,39 @@ def test_percentiles_keep_three_columns_of_the_bars(spark, sf, name, monkeypatch
     assert kept["bars"] == ["security_id", "trade_date", "close", "volume", "adj_factor"]
 
 
+def test_refresh_leaves_bucketed_rows_where_they_are(spark, rows):
+    """Rows to keep are told by a join on the security alone; rows without one, or of another version or factor, follow their own ranges."""
+    from barloom.operators import refresh
+
+    bars = [(s, D + dt.timedelta(days=d), 10.0 + d % 3, 1.0, 100.0, 0.5 + d % 4) for s in (1, 2, None) for d in range(40)]
+    def inputs(bent):
+        table = spark.createDataFrame([(s, d, c * (2 if (s, d.day) in bent else 1), a, mv, t + ((s, d.day) in bent)) for s, d, c, a, mv, t in bars],
+                                      "security_id int, trade_date date, close double, adj_factor double, total_mv double, turnover_rate double")
+        none = spark.createDataFrame([], "security_id int, ann_date date, report_date date, stmt_type string, update_flag int, fields map<string,double>")
+        return refresh.Inputs(table.select("security_id", "trade_date", "close", "adj_factor"), table.select("security_id", "trade_date", "total_mv", "turnover_rate"), none)
+
+    before, after = inputs(set()), inputs({(1, 25), (None, 30)})
+    names = ["mom_20", "turn_20"]
+    odd = [(_day(30), 1, "mom_20", "v0", 1.0), (None, 1, "mom_20", "v1", 2.0), (_day(30), 1, "mine", "v1", 3.0), (_day(30), 1, "mom_20", None, 4.0)]
+    from barloom.operators import factors as fct
+
+    odd = spark.createDataFrame(odd, "trade_date date, security_id int, factor_name string, version string, value double")
+    stored = bucketed(fct.compute(*before, names=names).unionByName(odd), "factors", "security_id", ["factor_name"])
+    got = refresh.refresh(stored, before, after, names=names)
+    assert rows(got.table) == rows(fct.compute(*after, names=names).unionByName(odd))
+    kept = [x for x in _exchanges(refresh._kept(stored, [(names, got.ranges.drop("factor_name"))], "v1")) if "factor_name" in x]
+    assert all("isnull" in x for x in kept)  # only the branch of rows without a security
+
+
+def test_refresh_compares_the_ratios_once(spark, sf, monkeypatch):  # noqa: F811
+    from barloom.operators import publish as pb
+
+    seen, reconcile = [], pb.reconcile
+    monkeypatch.setattr(pb, "reconcile", lambda a, b: (seen.append(a.columns), reconcile(a, b))[1])
+    QUERIES["C10_refreshed_factors"].run(spark, sf).collect()
+    assert [c[2:] for c in seen[:2]] == [["turnover_rate", "total_mv"], ["close", "adj_factor"]] and len(seen) == 3
+
+
 def _written(monkeypatch) -> dict:
     from barloom.sources import market
 
