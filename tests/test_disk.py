@@ -110,9 +110,45 @@ def test_refresh_compares_the_ratios_once(spark, sf, monkeypatch):  # noqa: F811
     assert [c[2:] for c in seen[:2]] == [["turnover_rate", "total_mv"], ["close", "adj_factor"]] and len(seen) == 3
 
 
+def test_execution_leaves_bucketed_bars_where_they_are(spark, sf):  # noqa: F811
+    from barloom.sources.market import Market
+
+    m = Market(spark, sf).stored(columns=("open", "close", "volume", "pre_close", "adj_factor", "is_suspended"))
+    assert not any("open" in x or "trade_date" in x for x in _exchanges(m.execution))
+
+
+def test_experiment_attaches_industries_to_the_chosen_only(spark, sf, monkeypatch, rows):  # noqa: F811
+    from barloom.operators import weights as wt
+    from barloom.plans import research as rs
+    from barloom.sources.market import Market
+
+    m, spec, seen, attach = Market(spark, sf), rs.Spec(methods=("industry_neutral",), top_n=1, filters=()), [], asof.attach_interval
+    monkeypatch.setattr(asof, "attach_interval", lambda df, *a, **k: (seen.append(df), attach(df, *a, **k))[1])
+    args = (m.limited_bars, m.factors("mom_20"), m.master, spec)
+    whole, chosen = rs.panel(*args, industry=m.industries), rs.panel(*args, industry=m.industries, selected=True)
+    assert rows(chosen) == rows(wt.select_names(whole, ["factor_name", "trade_date"], 1)) and seen[-1].count() < seen[-2].count()
+    assert rows(rs.weight_series(chosen, spec)) == rows(rs.weight_series(whole, spec))
+
+
+def test_series_is_the_same_by_shuffles(spark, sf, monkeypatch, rows):  # noqa: F811
+    """Few positions are sent to the bars; many are joined by a shuffle."""
+    from barloom.operators import performance as pf
+
+    from barloom.operators import prices as pr
+    from barloom.plans import research as rs
+    from barloom.sources.market import Market
+
+    m, spec = Market(spark, sf), rs.Spec(top_n=1, filters=())
+    weights = rs.weight_series(rs.panel(m.limited_bars, m.factors("mom_20"), m.master, spec), spec)
+    args = (weights, pr.daily_returns(m.bars), m.execution, m.calendar)
+    few = rows(pf.portfolio_series(*args, by=["factor_name", "weight_method"]))
+    monkeypatch.setattr(pf, "FEW", 0)
+    assert few and few == rows(pf.portfolio_series(*args, by=["factor_name", "weight_method"]))
+
+
 def _written(monkeypatch) -> dict:
     from barloom.sources import market
 
-    kept, write = {}, market.written
-    monkeypatch.setattr(market, "written", lambda df, name: (kept.update({name: df.columns}), write(df, name))[1])
+    kept, write = {}, market.bucketed
+    monkeypatch.setattr(market, "bucketed", lambda df, name, *a: (kept.update({name: df.columns}), write(df, name, *a))[1])
     return kept
